@@ -168,6 +168,7 @@ HIGH_PRIORITY_LEGACY = ["urgent", "critical", "important", "asap", "immediately"
 LOW_PRIORITY_LEGACY = ["low priority", "when possible", "nice to have", "eventually"]
 TITLES = r"(?i)^(Dr\.|Mr\.|Ms\.|Mrs\.)\s*"
 FIRST_PERSON = ["i", "i'll", "i'm"]
+PLACEHOLDER_OWNERS = ["current speaker", "[current speaker]", "speaker"]
 ACTION_VERBS = [
     "will", "should", "need to", "must", "going to", "plan to",
     "assigned", "responsible", "handle", "complete", "review", "follow up",
