@@ -24,6 +24,11 @@ def lit_array(terms) -> Column:
     return F.array(*[F.lit(t) for t in terms])
 
 
+def let(value, body) -> Column:
+    """body(value) with value computed once per row, however often body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def strip(c) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -109,21 +114,19 @@ def strip_fillers(c, fillers=rules.FILLERS) -> Column:
     pairs = [tuple(f.split()) for f in fillers if len(f.split()) == 2]
     if any(len(f.split()) > 2 for f in fillers) or {a for a, _ in pairs} & {b for _, b in pairs}:
         raise ValueError("filler phrases must have at most two words and must not chain")
-    phrases = lit_array([" ".join(p) for p in pairs])
-    w = words(c)
+    phrases = [" ".join(p) for p in pairs]
 
-    def keep(word, i):
-        low = F.lower(word)
-        with_next = F.concat_ws(" ", low, F.lower(F.get(w, i + 1)))
-        with_prev = F.concat_ws(" ", F.lower(F.get(w, i - 1)), low)
-        bare = F.rtrim(low, F.lit(".,!?;:"))
-        return ~(
-            F.array_contains(phrases, with_next)
-            | F.array_contains(phrases, with_prev)
-            | F.array_contains(lit_array(single), bare)
-        )
+    def kept(w):
+        def keep(word, i):
+            low = F.lower(word)
+            with_next = F.concat_ws(" ", low, F.lower(F.get(w, i + 1)))
+            with_prev = F.concat_ws(" ", F.lower(F.get(w, i - 1)), low)
+            bare = F.rtrim(low, F.lit(".,!?;:"))
+            return ~(with_next.isin(phrases) | with_prev.isin(phrases) | bare.isin(single))
+
+        return F.array_join(F.filter(w, keep), " ")
 
-    return F.array_join(F.filter(w, keep), " ")
+    return let(words(c), kept)
 
 
 def collapse_repeats(c) -> Column:
@@ -139,30 +142,38 @@ def restore_punctuation(c) -> Column:
     current or the next word. Only those positions enter the fold, so its
     accumulator stays small even for long texts.
     """
-    w = words(c)
-    markers = lit_array(rules.DISCOURSE_MARKERS)
-    n = F.size(w)
+    markers = rules.DISCOURSE_MARKERS
 
-    def is_marker(i):
-        return F.coalesce(F.array_contains(markers, F.lower(F.get(w, i))), F.lit(False))
+    def ends_of(w):
+        n = F.size(w)
+        marked = F.transform(w, lambda x: F.lower(x).isin(markers))
 
-    spots = F.filter(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-        lambda i: is_marker(i) | ((i < n - 1) & is_marker(i + 1)),
-    )
-    ends = F.aggregate(
-        spots,
-        F.array(F.lit(-1)),
-        lambda acc, i: F.when(i - F.element_at(acc, -1) > 6, F.concat(acc, F.array(i))).otherwise(acc),
-    )
-    ends = F.when(F.element_at(ends, -1) < n - 1, F.concat(ends, F.array(n - 1))).otherwise(ends)
-    sentence_words = F.transform(
-        F.slice(ends, F.lit(2), F.size(ends) - 1),
-        lambda e, i: F.slice(w, F.get(ends, i) + 2, e - F.get(ends, i)),
-    )
-    return F.when(
-        n > 0, F.array_join(F.transform(sentence_words, _punctuate), " ")
-    ).otherwise(c)
+        def positions(m):
+            spots = F.filter(
+                F.sequence(F.lit(0), n - 1), lambda i: F.get(m, i) | F.coalesce(F.get(m, i + 1), F.lit(False))
+            )
+            ends = F.aggregate(
+                spots,
+                F.array(F.lit(-1)),
+                lambda acc, i: F.when(i - F.element_at(acc, -1) > 6, F.concat(acc, F.array(i))).otherwise(acc),
+            )
+            return let(ends, lambda e: F.when(F.element_at(e, -1) < n - 1, F.concat(e, F.array(n - 1))).otherwise(e))
+
+        return let(marked, positions)
+
+    def whole(w):
+        return let(
+            ends_of(w),
+            lambda ends: F.array_join(
+                F.transform(
+                    F.slice(ends, F.lit(2), F.size(ends) - 1),
+                    lambda e, i: let(F.slice(w, F.get(ends, i) + 2, e - F.get(ends, i)), _punctuate),
+                ),
+                " ",
+            ),
+        )
+
+    return let(words(c), lambda w: F.when(F.size(w) > 0, whole(w)).otherwise(c))
 
 
 def _punctuate(sentence) -> Column:
@@ -180,7 +191,7 @@ def _punctuate(sentence) -> Column:
     body = F.array_join(F.transform(sentence, place), " ")
     asks = first.isin(rules.QUESTION_WORDS) | has_any(plain, rules.REQUEST_PHRASES)
     mark = F.when(asks, "?").otherwise(".")
-    return F.when(body.rlike(r"[.!?]$"), body).otherwise(F.concat(body, mark))
+    return let(body, lambda b: F.when(b.rlike(r"[.!?]$"), b).otherwise(F.concat(b, mark)))
 
 
 def normalise_name(c) -> Column:

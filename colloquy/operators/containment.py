@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.text import let
 from colloquy.operators.ordering import near_window
 
 
@@ -39,25 +40,27 @@ def _tail(c: Column, n: Column) -> Column:
 
 def _offers(hay: DataFrame, text: str, keep: list[str], span: int) -> DataFrame:
     """Rows (keep…, _need, _span) — _span is the run of `span` tokens starting here."""
-    t = F.split(F.col(text), " ")
-    places = F.transform(
-        F.sequence(F.lit(0), F.size(t) - 1),
-        lambda i: F.struct(
-            F.get(t, i).alias("u"),
-            F.get(t, i + 1).alias("v"),
-            F.get(t, i + 2).alias("x"),
-            F.array_join(F.slice(t, i + 1, span), " ").alias("s"),
-        ),
-    )
+
+    def places_of(t):
+        return F.transform(
+            F.sequence(F.lit(0), F.size(t) - 1),
+            lambda i: F.struct(
+                F.get(t, i).alias("u"),
+                F.get(t, i + 1).alias("v"),
+                F.get(t, i + 2).alias("x"),
+                F.array_join(F.slice(t, i + 1, span), " ").alias("s"),
+            ),
+        )
+
+    places = let(F.split(F.col(text), " "), places_of)
     rows = hay.select(*keep, F.explode(F.array_distinct(places)).alias("_p")).select(*keep, "_p.*")
     u, v, x = F.col("u"), F.col("v"), F.col("x")
-    pieces = F.flatten(
-        F.array(*[
-            F.when(F.length(u) >= q, F.transform(F.sequence(F.lit(1), F.length(u) - q + 1), lambda p, q=q: F.concat(F.lit("1|"), F.substr(u, p, F.lit(q)))))
-            .otherwise(F.array().cast("array<string>"))
-            for q in (1, 2, 3)
-        ])
-    )
+
+    def pieces_of(q):
+        cut = F.transform(F.sequence(F.lit(1), F.length(u) - q + 1), lambda p: F.concat(F.lit("1|"), F.substr(u, p, F.lit(q))))
+        return F.when(F.length(u) >= q, cut).otherwise(F.array().cast("array<string>"))
+
+    pieces = F.concat(*[pieces_of(q) for q in (1, 2, 3)])
 
     def ends(first, last, most, middle=None):
         tag = "3" if middle is not None else "2"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.functions import text as tx
-from colloquy.session import use_checkpoint_dir
+from colloquy.session import materialize
 
 
 def first_occurrence(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -109,22 +109,21 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame, keys: list[str], item: st
     whose earlier neighbours are all decided; each round is a join, and lineage is
     cut with checkpoint(), so a lost executor costs one round at most.
     """
-    use_checkpoint_dir(nodes.sparkSession)
-    e = edges.select(*keys, "a", "b").checkpoint()
+    e = materialize(edges.select(*keys, "a", "b"))
     followers = e.select(*keys, F.col("b").alias(item)).distinct()
     leaders = nodes.select(*keys, item).join(followers, [*keys, item], "left_anti")
     undecided = followers
-    decided = leaders.checkpoint()
+    decided = materialize(leaders)
     while True:
         taken = e.join(decided.withColumnRenamed(item, "a"), [*keys, "a"]).select(*keys, F.col("b").alias(item)).distinct()
-        open_rows = undecided.join(taken, [*keys, item], "left_anti").checkpoint()
+        open_rows = materialize(undecided.join(taken, [*keys, item], "left_anti"))
         if open_rows.isEmpty():
             break
         blocked = (
             e.join(open_rows.withColumnRenamed(item, "a"), [*keys, "a"]).select(*keys, F.col("b").alias(item)).distinct()
         )
         new = open_rows.join(blocked, [*keys, item], "left_anti")
-        decided = decided.unionByName(new).checkpoint()
+        decided = materialize(decided.unionByName(new))
         undecided = open_rows.join(decided, [*keys, item], "left_anti")
     follow = (
         e.join(decided.withColumnRenamed(item, "a"), [*keys, "a"])

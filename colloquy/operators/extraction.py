@@ -101,14 +101,7 @@ def extract_actions(segments: DataFrame, patterns=rules.ACTION_PATTERNS, min_cha
             owners = tx.extract_all(text, pattern, owner_group)
         else:
             owners = F.transform(actions, lambda a: speaker)
-        found.append(
-            F.transform(
-                F.arrays_zip(owners.alias("o"), actions.alias("a")),
-                lambda z, i, no=no: F.struct(
-                    F.lit(no).alias("pattern_no"), i.alias("match_no"), z["o"].alias("o"), tx.drop_trailing_marks(tx.strip(z["a"])).alias("a")
-                ),
-            )
-        )
+        found.append(_numbered_matches(no, owners, actions))
     rows = segments.filter(text.rlike("|".join(f"(?:{p})" for p, _, _ in patterns))).select(
         "meeting_id", "seg_id", "text", speaker.alias("_who"), F.explode(F.concat(*found)).alias("m")
     )
@@ -128,6 +121,15 @@ def extract_actions(segments: DataFrame, patterns=rules.ACTION_PATTERNS, min_cha
     )
 
 
+def _numbered_matches(no: int, owners, actions) -> Column:
+    return F.transform(
+        F.arrays_zip(owners.alias("o"), actions.alias("a")),
+        lambda z, i: F.struct(
+            F.lit(no).alias("pattern_no"), i.alias("match_no"), z["o"].alias("o"), tx.drop_trailing_marks(tx.strip(z["a"])).alias("a")
+        ),
+    )
+
+
 def extract_actions_basic(segments: DataFrame, similarity: str | None = None) -> DataFrame:
     """Verb gate, then four owner patterns in order, due date, priority and confidence."""
     t = F.col("text")

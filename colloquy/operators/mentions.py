@@ -118,17 +118,17 @@ def entity_mentions(segments: DataFrame) -> DataFrame:
 
 def action_deadlines(segments: DataFrame, ref: Column) -> DataFrame:
     """(action, deadline text, deadline date) for every match of the deadline patterns."""
-    found = []
-    for no, pattern in enumerate(rules.ACTION_DEADLINES):
+
+    def matches(no, pattern):
         a, d = tx.extract_all(F.col("text"), pattern, 1), tx.extract_all(F.col("text"), pattern, 2)
-        found.append(
-            F.transform(
-                F.arrays_zip(a.alias("a"), d.alias("d")),
-                lambda z, i, no=no: F.struct(
-                    F.lit(no).alias("pattern_no"), i.alias("match_no"), tx.strip(z["a"]).alias("action"), tx.strip(z["d"]).alias("deadline_text")
-                ),
-            )
+        return F.transform(
+            F.arrays_zip(a.alias("a"), d.alias("d")),
+            lambda z, i: F.struct(
+                F.lit(no).alias("pattern_no"), i.alias("match_no"), tx.strip(z["a"]).alias("action"), tx.strip(z["d"]).alias("deadline_text")
+            ),
         )
+
+    found = [matches(no, p) for no, p in enumerate(rules.ACTION_DEADLINES)]
     rows = segments.select("meeting_id", "seg_id", ref.alias("_ref"), F.explode(F.concat(*found)).alias("m"))
     dated = rows.select("meeting_id", "seg_id", "_ref", "m.*").withColumn("deadline_date", tp.parse_date(F.col("deadline_text"), F.col("_ref")))
     return dated.drop("_ref").withColumn("confidence", F.when(F.col("deadline_date").isNotNull(), 0.8).otherwise(0.6))

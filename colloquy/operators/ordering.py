@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.session import materialize
+
 BLOCK = 8192
 BLOCKS_PER_GROUP = 1024
 _BLK = "_blk"
@@ -141,15 +143,12 @@ def scan_states(
     function state → state with n_states entries. Blocks are turned into such
     functions in parallel, the functions are chained (first in groups of blocks,
     then over the groups), and every block is replayed from its own entry state.
-    No task sees more than one block of rows or one list of block functions.
+    No task sees more than one block of rows or one list of block functions. The rows
+    and the replayed result are checkpointed, since both are read more than once.
     """
     key_fields = [df.schema[k] for k in keys]
     fn_schema = T.StructType([*key_fields, T.StructField(_BLK, T.LongType()), T.StructField("_fn", T.ArrayType(T.IntegerType()))])
-    grp_schema = T.StructType([*key_fields, T.StructField("_grp", T.LongType()), T.StructField("_fn", T.ArrayType(T.IntegerType()))])
-    entry_schema = T.StructType([*key_fields, T.StructField("_grp", T.LongType()), T.StructField("_entry", T.IntegerType())])
-    blk_entry_schema = T.StructType([*key_fields, T.StructField(_BLK, T.LongType()), T.StructField("_entry", T.IntegerType())])
     out_schema = T.StructType([*[f for f in df.schema.fields], T.StructField(name, T.IntegerType())])
-    n_keys = len(keys)
     sort_cols = [order, *ties]
     cols = df.columns
 
@@ -164,27 +163,6 @@ def scan_states(
                 where = back[where]
         return pd.DataFrame([(*key, live[where].astype("int32"))], columns=[*keys, _BLK, "_fn"])
 
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        state = np.arange(n_states)
-        for fn in pdf.sort_values(_BLK)["_fn"]:
-            state = np.asarray(fn)[state]
-        return pd.DataFrame([(*key, state.astype("int32"))], columns=[*keys, "_grp", "_fn"])
-
-    def enter_groups(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, state = [], first_state
-        for g, fn in pdf.sort_values("_grp")[["_grp", "_fn"]].itertuples(index=False):
-            rows.append((*key, g, state))
-            state = int(fn[state])
-        return pd.DataFrame(rows, columns=[*keys, "_grp", "_entry"])
-
-    def enter_blocks(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, state = [], None
-        for b, fn, entry in pdf.sort_values(_BLK)[[_BLK, "_fn", "_entry"]].itertuples(index=False):
-            state = int(entry) if state is None else state
-            rows.append((*key[:n_keys], b, state))
-            state = int(fn[state])
-        return pd.DataFrame(rows, columns=[*keys, _BLK, "_entry"])
-
     def replay(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(sort_cols, kind="stable")
         state = np.array([int(pdf["_entry"].iloc[0])], dtype=np.int64)
@@ -196,13 +174,33 @@ def scan_states(
         out[name] = before
         return out
 
-    b = _blocked(df, order, block)
+    b = materialize(_blocked(df, order, block))
     need = list(dict.fromkeys([*keys, _BLK, *sort_cols, *inputs]))
-    fns = b.select(*need).groupBy(*keys, _BLK).applyInPandas(block_function, fn_schema)
+    fns = materialize(b.select(*need).groupBy(*keys, _BLK).applyInPandas(block_function, fn_schema))
     grouped = fns.withColumn("_grp", F.floor(F.col(_BLK) / group).cast("long"))
-    group_fns = grouped.groupBy(*keys, "_grp").applyInPandas(chain, grp_schema)
-    group_entry = group_fns.groupBy(*keys).applyInPandas(enter_groups, entry_schema)
+    ordered = F.array_sort(F.collect_list(F.struct(_BLK, "_fn")))
+    lists = grouped.groupBy(*keys, "_grp").agg(ordered.alias("_l"))
+    every_state = F.sequence(F.lit(0), F.lit(n_states - 1))
+    chained = lists.withColumn(
+        "_fn", F.aggregate("_l", every_state, lambda acc, f: F.transform(acc, lambda s: F.get(f["_fn"], s)))
+    )
+    group_list = chained.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_grp").alias(_BLK), "_fn"))).alias("_g"))
+    group_entry = group_list.select(*keys, F.explode(_entries(F.col("_g"), F.lit(first_state))).alias("_e")).select(
+        *keys, F.col(f"_e.{_BLK}").alias("_grp"), F.col("_e.state").alias("_start")
+    )
     block_entry = (
-        grouped.join(group_entry, [*keys, "_grp"]).groupBy(*keys, "_grp").applyInPandas(enter_blocks, blk_entry_schema)
+        lists.join(group_entry, [*keys, "_grp"])
+        .select(*keys, F.explode(_entries(F.col("_l"), F.col("_start"))).alias("_e"))
+        .select(*keys, F.col(f"_e.{_BLK}").alias(_BLK), F.col("_e.state").alias("_entry"))
+    )
+    return materialize(b.join(block_entry, [*keys, _BLK]).groupBy(*keys, _BLK).applyInPandas(replay, out_schema))
+
+
+def _entries(functions: Column, start: Column) -> Column:
+    """State on entering each function of an ordered list: array of (block, state)."""
+    step = lambda acc, f: F.concat(
+        acc,
+        F.array(F.struct(f[_BLK].alias(_BLK), F.element_at(acc, -1)["next"].alias("state"), F.get(f["_fn"], F.element_at(acc, -1)["next"]).alias("next"))),
     )
-    return b.join(block_entry, [*keys, _BLK]).groupBy(*keys, _BLK).applyInPandas(replay, out_schema)
+    seed = F.array(F.struct(F.lit(-1).cast("long").alias(_BLK), F.lit(-1).alias("state"), start.cast("int").alias("next")))
+    return F.filter(F.aggregate(functions, seed, step), lambda e: e[_BLK] >= 0)

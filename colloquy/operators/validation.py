@@ -23,17 +23,15 @@ def word_overlap(items: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def _phrases(text):
-    w = tx.words(F.lower(text))
-    stop = tx.lit_array(rules.STOPWORDS)
-    grams = F.flatten(
-        F.array(*[
-            F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i, n=n: F.slice(w, i, n)))
-            .otherwise(F.array().cast("array<array<string>>"))
-            for n in (2, 3, 4)
-        ])
-    )
-    useful = F.filter(grams, lambda g: F.size(F.filter(g, lambda x: ~F.array_contains(stop, x))) * 2 >= F.size(g))
-    return F.transform(useful, lambda g: F.array_join(g, " "))
+    def grams(w, n):
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.slice(w, i, n))
+        return F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<array<string>>"))
+
+    def useful(w):
+        runs = F.concat(*[grams(w, n) for n in (2, 3, 4)])
+        return F.filter(runs, lambda g: F.size(F.filter(g, lambda x: ~x.isin(rules.STOPWORDS))) * 2 >= F.size(g))
+
+    return F.transform(tx.let(tx.words(F.lower(text)), useful), lambda g: F.array_join(g, " "))
 
 
 def phrase_support(items: DataFrame, segments: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from colloquy.operators import summaries as sm
 from colloquy.operators import validation as va
 from colloquy.operators import windows as wi
 from colloquy.operators.dedup import union_items
+from colloquy.session import materialize
 
 
 def preprocess(
@@ -47,7 +48,7 @@ def enhanced_preprocess(segments: DataFrame, diarization: DataFrame, calendar: D
     """Speakers by time, then by calendar, punctuation, pronouns, then the cleaning chain."""
     spoken = sp.map_speakers_to_participants(sp.assign_speakers_by_time(segments, diarization), calendar)
     punctuated = spoken.withColumn("text", tx.restore_punctuation(F.col("text")))
-    return preprocess(wi.resolve_pronouns(punctuated))
+    return preprocess(materialize(wi.resolve_pronouns(punctuated)))
 
 
 @dataclass

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,3 +48,9 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="colloquy-checkpoint-"))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a result that several later steps read to the checkpoint folder and cut its lineage."""
+    use_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
