@@ -29,6 +29,11 @@ def let(value, body) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def if_long(value, least: int, most: int = 2**31 - 1) -> Column:
+    """The text itself when its length is in range, else NULL."""
+    return let(value, lambda t: F.when(F.length(t).between(least, most), t))
+
+
 def strip(c) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -311,11 +316,9 @@ def risk_description(c) -> Column:
     for pattern, groups in rules.RISK_DESCRIPTION:
         joined = F.concat_ws(" ", *[strip(extract(c, pattern, g + 1)) for g in range(groups)])
         cut = drop_trailing_marks(F.regexp_replace(joined, r"(?i)^(that|is|with)\s+", ""))
-        options.append(F.when(F.length(cut) > 15, cut))
+        options.append(if_long(cut, 16))
     whole = drop_trailing_marks(strip(F.regexp_replace(c, r"^\s*\w+:\s*", "")))
-    options.append(
-        F.when(has_any(c, rules.RISK_FALLBACK_WORDS) & (F.length(whole) > 20) & (F.length(whole) < 200), whole)
-    )
+    options.append(F.when(has_any(c, rules.RISK_FALLBACK_WORDS), if_long(whole, 21, 199)))
     return F.coalesce(*options)
 
 
@@ -335,30 +338,32 @@ def argmax_category(c, categories=rules.RISK_CATEGORIES_LEGACY, default="Other")
 
 def risk_title(c) -> Column:
     """Title by four patterns (10–80 characters), else built around a risk noun."""
+    def capital(x):
+        return F.concat(F.upper(F.substr(x, F.lit(1), F.lit(1))), F.lower(F.substr(x, F.lit(2))))
+
+    def first_word_up(t):
+        head = F.split(t, " ", 2)
+        return F.concat_ws(" ", capital(F.get(head, F.lit(0))), F.get(head, F.lit(1)))
+
     options = []
     for pattern in rules.RISK_TITLE:
         t = F.regexp_replace(strip(extract(c, pattern, 1)), r"\s+", " ")
-        head = F.split(t, " ", 2)
-        first = F.get(head, F.lit(0))
-        capital = F.concat(
-            F.upper(F.substr(first, F.lit(1), F.lit(1))), F.lower(F.substr(first, F.lit(2)))
-        )
-        shown = F.when(F.length(t) >= 10, F.concat_ws(" ", capital, F.get(head, F.lit(1)))).otherwise(t)
-        options.append(F.when(t.isNotNull() & F.length(t).between(10, 80), shown))
+        # a match outside 10–80 characters still ends the search, as it is
+        options.append(let(t, lambda x: F.when(F.length(x).between(10, 80), first_word_up(x)).otherwise(x)))
     low = F.lower(c)
-    for noun in rules.RISK_TITLE_WORDS:
-        t = strip(extract(c, rf"(?i)([A-Z][^.]*?{noun}[^.]*?)(?:\s+(?:delay|issue|problem|risk|concern))", 1))
+
+    def suffixed(t):
         has = F.lower(t)
-        t = (
+        return (
             F.when(low.contains("delay") & ~has.contains("delay"), F.concat(t, F.lit(" Delay")))
             .when(low.rlike("issue|problem") & ~has.rlike("issue|problem"), F.concat(t, F.lit(" Issues")))
             .otherwise(t)
         )
-        shown = F.array_join(
-            F.transform(words(t), lambda x: F.concat(F.upper(F.substr(x, F.lit(1), F.lit(1))), F.lower(F.substr(x, F.lit(2))))),
-            " ",
-        )
-        options.append(F.when(F.length(t).between(10, 80), shown))
+
+    for noun in rules.RISK_TITLE_WORDS:
+        t = strip(extract(c, rf"(?i)([A-Z][^.]*?{noun}[^.]*?)(?:\s+(?:delay|issue|problem|risk|concern))", 1))
+        named = let(if_long(let(t, suffixed), 10, 80), lambda x: F.array_join(F.transform(words(x), capital), " "))
+        options.append(F.when(low.contains(noun), named))
     return F.coalesce(*options)
 
 
@@ -374,27 +379,25 @@ def risk_priority(c) -> Column:
 def risk_impact(c) -> Column:
     options = []
     for pattern in rules.RISK_IMPACT:
-        t = strip(extract(c, pattern, 1))
-        options.append(F.when((F.length(t) > 10) & (F.length(t) < 200), t))
+        options.append(if_long(strip(extract(c, pattern, 1)), 11, 199))
     return F.coalesce(*options)
 
 
 def clean_risk_text(c, context) -> Column:
     """Leading filler off, capital first; short texts take a clause from the context."""
     t = strip(F.regexp_replace(c, rules.RISK_LEADING_FILLER, ""))
-    t = upper_first(t)
-    options = []
+    options = [if_long(upper_first(t), 20)]
     for pattern in rules.RISK_CONTEXT_DESCRIPTION:
-        clause = strip(extract(context, pattern, 1))
-        options.append(F.when(F.length(clause).between(15, 200), upper_first(clause)))
-    return F.when(F.length(t) >= 20, t).otherwise(F.coalesce(*options, F.lit("")))
+        options.append(let(if_long(strip(extract(context, pattern, 1)), 15, 200), upper_first))
+    return F.coalesce(*options, F.lit(""))
 
 
 def clean_action_text(c) -> Column:
-    t = upper_first(F.regexp_replace(c, rules.TRAILING_FILLER, ""))
-    return strip(
-        F.when(~t.rlike(r"[.!?]$") & (word_count(t) > 5), F.concat(t, F.lit("."))).otherwise(t)
-    )
+
+    def stop(t):
+        return F.when(~t.rlike(r"[.!?]$") & (word_count(t) > 5), F.concat(t, F.lit("."))).otherwise(t)
+
+    return strip(let(let(F.regexp_replace(c, rules.TRAILING_FILLER, ""), upper_first), stop))
 
 
 def compound_parts(c) -> Column:

@@ -304,35 +304,46 @@ def action_with_details(sentence, owner, context5) -> Column:
         named, sentence,
     )
     purpose = tx.strip(tx.extract(full, rules.PURPOSE_PHRASE, 1))
-    low = F.lower(action)
-    action = F.when(
-        purpose.isNotNull() & ~F.contains(low, purpose) & ~low.contains("for "), F.concat(action, F.lit(" for "), purpose)
-    ).otherwise(action)
+
+    def add_purpose(a):
+        low = F.lower(a)
+        new = purpose.isNotNull() & ~F.contains(low, purpose) & ~low.contains("for ")
+        return F.when(new, F.concat(a, F.lit(" for "), purpose)).otherwise(a)
 
     contact = F.filter(F.split(full, r"\."), lambda s: F.lower(s).rlike(tx.alternation(rules.CONTACT_WORDS)))
     names = F.flatten(
         F.transform(contact, lambda s: F.array(tx.extract_all(s, rules.TWO_NAMES, 1), tx.extract_all(s, rules.TWO_NAMES + r",\s+", 1)))
     )
 
-    def put(text, found):
-        name = F.get(F.filter(found, lambda m: ~F.contains(F.lower(text), F.lower(m))), F.lit(0))
+    def insert(text, name):
         tagged = F.concat(F.lit("("), name, F.lit(")"))
+
+        def at(parts, left, right):
+            return F.concat(F.get(parts, F.lit(0)), F.lit(left), tagged, F.lit(right), F.get(parts, F.lit(1)))
+
         w = tx.words(text)
+        near_end = F.concat_ws(" ", F.array_join(F.slice(w, 1, F.size(w) - 1), " "), tagged, F.element_at(w, -1))
         return (
             F.when(name.isNull(), text)
-            .when(F.lower(text).contains(" by "), F.array_join(F.split(text, " by ", 2), F.concat(F.lit(" "), tagged, F.lit(" by "))))
-            .when(F.lower(text).contains("account manager"), F.array_join(F.split(text, "account manager", 2), F.concat(F.lit("account manager "), tagged)))
-            .when(F.size(w) > 3, F.concat_ws(" ", F.array_join(F.slice(w, 1, F.size(w) - 1), " "), tagged, F.element_at(w, -1)))
+            .when(text.contains(" by "), at(F.split(text, " by ", 2), " ", " by "))
+            .when(text.contains("account manager"), at(F.split(text, "account manager", 2), "account manager ", ""))
+            .when(F.size(w) > 3, near_end)
             .otherwise(F.concat_ws(" ", text, tagged))
         )
 
-    # the names of one clause arrive as an array of arrays, one entry per look-up
-    action = F.aggregate(names, action, put)
+    def put(text, found):
+        new = F.get(F.filter(found, lambda m: ~F.contains(F.lower(text), F.lower(m))), F.lit(0))
+        return tx.let(new, lambda name: insert(text, name))
+
     when_ = tx.strip(tx.extract(full, rules.TIME_PHRASE, 0))
-    action = F.when(
-        when_.isNotNull() & ~F.lower(action).contains("by ") & ~F.contains(action, when_), F.concat_ws(" ", action, when_)
-    ).otherwise(action)
-    return tx.clean_action_text(action)
+
+    def add_time(a):
+        new = when_.isNotNull() & ~F.lower(a).contains("by ") & ~F.contains(a, when_)
+        return F.when(new, F.concat_ws(" ", a, when_)).otherwise(a)
+
+    # one entry per look-up in a clause; at most one name of each is put in
+    named_action = F.aggregate(names, tx.let(action, add_purpose), put)
+    return tx.clean_action_text(tx.let(named_action, add_time))
 
 
 def extract_actions_from_intents(segments: DataFrame) -> DataFrame:
