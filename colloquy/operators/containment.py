@@ -1,15 +1,18 @@
 """Which short text is a substring of which long text, by equi-join.
 
 contains(long, short) as a join condition compares every pair of a group. Here
-both sides are reduced to a key that any match must share:
-
-* short text of one word: the first (up to three) characters; every distinct
-  token of the long text offers its 1–3 character pieces,
-* two words: the end of the first word and the start of the second,
-* three words or more: the same plus the second word in the middle.
-
-Candidates are then checked with contains(), so the result is exact. Words are
-separated by single spaces, as in the text itself.
+both sides are reduced to a key that any match must share, by the number of words
+in the short text (words are separated by single spaces, as in the text itself):
+
+* 1 word: its first (up to three) characters; each distinct token of the long text
+  offers its 1–3 character pieces,
+* 2 words: the end of the first and the start of the second (up to three characters),
+* 3–4 words: end of the first, the whole second, start of the third,
+* 5 words or more: the second to fourth word, which must be whole tokens.
+
+A long text only builds the keys of a class if its group has short texts of that
+class. Candidates are then checked with contains(), so the result is exact for short
+texts that hold more than spaces.
 """
 
 from __future__ import annotations
@@ -20,74 +23,78 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import let
 from colloquy.operators.ordering import near_window
 
+CLASSES = (1, 2, 3, 5)
+
+
+def _class_of(n: Column) -> Column:
+    return F.when(n >= 5, 5).when(n >= 3, 3).otherwise(n)
+
 
 def _need(needles: DataFrame, text: str) -> DataFrame:
-    t = F.split(F.col(text), " ")
-    n = F.size(t)
-    w1, w2, w3 = F.get(t, F.lit(0)), F.get(t, F.lit(1)), F.get(t, F.lit(2))
-    head = F.substr(w1, F.lit(1), F.least(F.lit(3), F.length(w1)))
+    """Adds _class and the key _need of every short text."""
+    rows = needles.withColumn("_t", F.split(F.trim(F.col(text)), " ")).filter(F.trim(F.col(text)) != "")
+    w1, w2, w3, w4 = (F.get("_t", F.lit(i)) for i in range(4))
+    cut = lambda c, most: F.least(F.lit(most), F.length(c))
+    c = _class_of(F.size("_t"))
     key = (
-        F.when(n == 1, F.concat(F.lit("1|"), head))
-        .when(n == 2, F.concat_ws("|", F.lit("2"), _tail(w1, F.least(F.lit(3), F.length(w1))), F.left(w2, F.least(F.lit(3), F.length(w2)))))
-        .otherwise(F.concat_ws("|", F.lit("3"), _tail(w1, F.least(F.lit(2), F.length(w1))), w2, F.left(w3, F.least(F.lit(2), F.length(w3)))))
+        F.when(c == 1, F.left(w1, cut(w1, 3)))
+        .when(c == 2, F.concat_ws("|", F.right(w1, cut(w1, 3)), F.left(w2, cut(w2, 3))))
+        .when(c == 3, F.concat_ws("|", F.right(w1, cut(w1, 2)), w2, F.left(w3, cut(w3, 2))))
+        .otherwise(F.concat_ws("|", w2, w3, w4))
     )
-    return needles.filter(F.length(text) > 0).withColumn("_need", key)
+    return rows.withColumn("_class", c).withColumn("_need", key).drop("_t")
 
 
-def _tail(c: Column, n: Column) -> Column:
-    return F.right(c, n)
+def _offers(hay: DataFrame, text: str, keep: list[str], span: int, cls: int) -> DataFrame:
+    """Rows (keep…, _need, _span) of one class; _span is the run of `span` tokens at this place."""
+    tokens = F.split(F.col(text), " ")
+    if cls == 1:
+        rows = hay.select(*keep, F.explode(F.array_distinct(tokens)).alias("u")).distinct()
+        u = F.col("u")
 
+        def pieces(q):
+            cut = F.transform(F.sequence(F.lit(1), F.length(u) - q + 1), lambda p: F.substr(u, p, F.lit(q)))
+            return F.when(F.length(u) >= q, cut).otherwise(F.array().cast("array<string>"))
 
-def _offers(hay: DataFrame, text: str, keep: list[str], span: int) -> DataFrame:
-    """Rows (keep…, _need, _span) — _span is the run of `span` tokens starting here."""
+        need = F.array_distinct(F.concat(*[pieces(q) for q in (1, 2, 3)]))
+        return rows.select(*keep, u.alias("_span"), F.explode(need).alias("_need"))
 
-    def places_of(t):
+    def places(t):
+        at = lambda i, k: F.get(t, i + k).alias("uvxy"[k])
         return F.transform(
             F.sequence(F.lit(0), F.size(t) - 1),
-            lambda i: F.struct(
-                F.get(t, i).alias("u"),
-                F.get(t, i + 1).alias("v"),
-                F.get(t, i + 2).alias("x"),
-                F.array_join(F.slice(t, i + 1, span), " ").alias("s"),
-            ),
+            lambda i: F.struct(at(i, 0), at(i, 1), at(i, 2), at(i, 3), F.array_join(F.slice(t, i + 1, span), " ").alias("s")),
         )
 
-    places = let(F.split(F.col(text), " "), places_of)
-    rows = hay.select(*keep, F.explode(F.array_distinct(places)).alias("_p")).select(*keep, "_p.*")
-    u, v, x = F.col("u"), F.col("v"), F.col("x")
-
-    def pieces_of(q):
-        cut = F.transform(F.sequence(F.lit(1), F.length(u) - q + 1), lambda p: F.concat(F.lit("1|"), F.substr(u, p, F.lit(q))))
-        return F.when(F.length(u) >= q, cut).otherwise(F.array().cast("array<string>"))
-
-    pieces = F.concat(*[pieces_of(q) for q in (1, 2, 3)])
-
-    def ends(first, last, most, middle=None):
-        tag = "3" if middle is not None else "2"
-        out = []
-        for a in range(1, most + 1):
-            for b in range(1, most + 1):
-                parts = [F.lit(tag), F.right(first, F.lit(a))]
-                if middle is not None:
-                    parts.append(middle)
-                parts.append(F.left(last, F.lit(b)))
-                ok = (F.length(first) >= a) & (F.length(last) >= b)
-                out.append(F.when(ok, F.concat_ws("|", *parts)))
-        return F.array_compact(F.array(*out))
-
-    need = F.concat(pieces, ends(u, v, 3), ends(u, x, 2, v))
-    return rows.select(*keep, F.col("s").alias("_span"), F.explode(F.array_distinct(need)).alias("_need"))
+    rows = hay.select(*keep, F.explode(let(tokens, places)).alias("_p")).select(*keep, "_p.*")
+    u, v, x, y = (F.col(c) for c in "uvxy")
+    if cls == 5:
+        return rows.filter(v.isNotNull() & x.isNotNull() & y.isNotNull()).select(
+            *keep, F.col("s").alias("_span"), F.concat_ws("|", v, x, y).alias("_need")
+        )
+    most, last = (3, v) if cls == 2 else (2, x)
+    options = []
+    for a in range(1, most + 1):
+        for b in range(1, most + 1):
+            parts = [F.right(u, F.lit(a)), *([v] if cls == 3 else []), F.left(last, F.lit(b))]
+            options.append(F.when((F.length(u) >= a) & (F.length(last) >= b), F.concat_ws("|", *parts)))
+    return rows.filter(last.isNotNull()).select(*keep, F.col("s").alias("_span"), F.explode(F.array_compact(F.array(*options))).alias("_need"))
 
 
 def contains_pairs(
     needles: DataFrame, needle_id: str, needle: str, hay: DataFrame, hay_id: str, text: str, keys: list[str]
 ) -> DataFrame:
     """(keys…, needle_id, hay_id) for every short text contained in a long text of the same key."""
-    n = _need(needles.select(*keys, needle_id, needle), needle).select(*keys, needle_id, "_need")
-    h = _offers(hay.select(*keys, hay_id, text), text, [*keys, hay_id], 1).drop("_span")
-    candidates = n.join(h, [*keys, "_need"]).select(*keys, needle_id, hay_id).distinct()
+    n = _need(needles.select(*keys, needle_id, needle), needle).select(*keys, needle_id, "_class", "_need")
+    candidates = None
+    for cls in CLASSES:
+        mine = n.filter(F.col("_class") == cls).drop("_class")
+        groups = hay.select(*keys, hay_id, text).join(mine.select(*keys).distinct(), keys, "left_semi")
+        found = mine.join(_offers(groups, text, [*keys, hay_id], 1, cls).drop("_span"), [*keys, "_need"]).select(*keys, needle_id, hay_id)
+        candidates = found if candidates is None else candidates.unionByName(found)
     return (
-        candidates.join(needles.select(*keys, needle_id, needle), [*keys, needle_id])
+        candidates.distinct()
+        .join(needles.select(*keys, needle_id, needle), [*keys, needle_id])
         .join(hay.select(*keys, hay_id, text), [*keys, hay_id])
         .filter(F.contains(F.col(text), F.col(needle)))
         .select(*keys, needle_id, hay_id)
@@ -114,9 +121,17 @@ def found_in_meeting(needles: DataFrame, needle: str, segments: DataFrame, lower
 
     Exact for needles of up to `span` words.
     """
-    keys = ["meeting_id"]
+    if span > 4:
+        raise ValueError("phrases of up to four words")
     distinct = needles.select("meeting_id", needle).filter(F.length(needle) > 0).distinct()
     n = _need(distinct, needle)
-    h = _offers(running_text(segments, lower, span - 1), "text", keys, span)
-    cond = [n["meeting_id"] == h["meeting_id"], n["_need"] == h["_need"], F.contains(h["_span"], n[needle])]
-    return n.join(h, cond, "left_semi").select("meeting_id", needle)
+    text = running_text(segments, lower, span - 1)
+    out = None
+    for cls in (1, 2, 3):
+        mine = n.filter(F.col("_class") == cls)
+        groups = text.join(mine.select("meeting_id").distinct(), "meeting_id", "left_semi")
+        h = _offers(groups, "text", ["meeting_id"], span, cls)
+        cond = [mine["meeting_id"] == h["meeting_id"], mine["_need"] == h["_need"], F.contains(h["_span"], mine[needle])]
+        hit = mine.join(h, cond, "left_semi").select("meeting_id", needle)
+        out = hit if out is None else out.unionByName(hit)
+    return out

@@ -406,8 +406,12 @@ def risk_mitigations(full, following, limit: int = 5) -> Column:
         found(rules.MITIGATION_FOR), found(rules.MITIGATION_BULLET), found(rules.MITIGATION_WE),
         F.array_compact(F.transform(following, from_next)),
     )
-    low = F.transform(everything, F.lower)
-    return F.slice(F.filter(everything, lambda m, i: F.array_position(low, F.lower(m)) == i + 1), 1, limit)
+
+    def distinct(found):
+        first = lambda low: F.filter(found, lambda m, i: F.array_position(low, F.lower(m)) == i + 1)
+        return F.slice(tx.let(F.transform(found, F.lower), first), 1, limit)
+
+    return tx.let(everything, distinct)
 
 
 def risk_owners(full) -> Column:

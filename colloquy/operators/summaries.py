@@ -53,11 +53,13 @@ def _prf(match, n_pred, n_ref, name):
 def rouge_n(pairs: DataFrame, key: str, n: int = 1, predicted: str = "summary", reference: str = "source") -> DataFrame:
     """N-gram precision, recall and F (no stemming)."""
 
+    def runs(t):
+        joined = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, joined).otherwise(F.array().cast("array<string>"))
+
     def grams(c):
         t = _rouge_tokens(F.col(c))
-        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(
-            F.array().cast("array<string>")
-        )
+        return t if n == 1 else tx.let(t, runs)
 
     both = pairs.select(key, F.explode(grams(predicted)).alias("g"), F.lit(1).alias("p"), F.lit(0).alias("r")).unionByName(
         pairs.select(key, F.explode(grams(reference)).alias("g"), F.lit(0).alias("p"), F.lit(1).alias("r"))

@@ -109,10 +109,12 @@ def semantic_chunks(
 def word_chunks(texts: DataFrame, key: str, max_tokens: int = 650, text: str = "text") -> DataFrame:
     """Fixed runs of int(.75·max_tokens) words, (key, chunk_no, chunk)."""
     size = int(max_tokens * 0.75)
-    w = tx.words(F.col(text))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(size))
-    chunks = F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " "))
-    return texts.select(key, F.posexplode(chunks).alias("chunk_no", "chunk"))
+
+    def chunks(w):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(size))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " "))
+
+    return texts.select(key, F.posexplode(tx.let(tx.words(F.col(text)), chunks)).alias("chunk_no", "chunk"))
 
 
 def overlap_chunks(texts: DataFrame, key: str, size: int = 8000, overlap: int = 1000, text: str = "text") -> DataFrame:

@@ -211,7 +211,7 @@ def with_ctes(body: str) -> str:
 
     def visit(sql: str) -> None:
         for name in CTES:
-            if name not in need and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql):
+            if name not in need and re.search(rf"(?:\bFROM|\bJOIN|,)\s+{name}\b", sql):
                 visit(CTES[name])
                 if name not in need:
                     need.append(name)

@@ -68,7 +68,7 @@ if __name__ == "__main__":
     parts = sys.argv[2:]
     spark, con, bad = local_session(8), connect(folder), []
     for name in entry.queries():
-        if parts and not any(p in name for p in parts):
+        if parts and not any(p == name or (p.endswith("*") and p[:-1] in name) for p in parts):
             continue
         t = time.time()
         try:
