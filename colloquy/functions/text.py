@@ -458,6 +458,11 @@ def date_format_valid(c) -> Column:
     return hit
 
 
+def two_digits(c) -> Column:
+    """A score shown with two digits; halves of the stored binary value go up."""
+    return F.format_string("%.2f", F.floor(F.round(c, 9) * 100 + 0.5) / 100)
+
+
 def confidence_band(c) -> Column:
     return F.when(c >= 0.8, "High").when(c >= 0.6, "Medium").otherwise("Low")
 

@@ -23,78 +23,87 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import let
 from colloquy.operators.ordering import near_window
 
-CLASSES = (1, 2, 3, 5)
-
-
-def _class_of(n: Column) -> Column:
-    return F.when(n >= 5, 5).when(n >= 3, 3).otherwise(n)
-
 
 def _need(needles: DataFrame, text: str) -> DataFrame:
     """Adds _class and the key _need of every short text."""
     rows = needles.withColumn("_t", F.split(F.trim(F.col(text)), " ")).filter(F.trim(F.col(text)) != "")
     w1, w2, w3, w4 = (F.get("_t", F.lit(i)) for i in range(4))
     cut = lambda c, most: F.least(F.lit(most), F.length(c))
-    c = _class_of(F.size("_t"))
+    n = F.size("_t")
+    c = F.when(n >= 5, 5).when(n >= 3, 3).otherwise(n)
     key = (
-        F.when(c == 1, F.left(w1, cut(w1, 3)))
-        .when(c == 2, F.concat_ws("|", F.right(w1, cut(w1, 3)), F.left(w2, cut(w2, 3))))
-        .when(c == 3, F.concat_ws("|", F.right(w1, cut(w1, 2)), w2, F.left(w3, cut(w3, 2))))
-        .otherwise(F.concat_ws("|", w2, w3, w4))
+        F.when(c == 1, F.concat_ws("|", F.lit("1"), F.left(w1, cut(w1, 3))))
+        .when(c == 2, F.concat_ws("|", F.lit("2"), F.right(w1, cut(w1, 3)), F.left(w2, cut(w2, 3))))
+        .when(c == 3, F.concat_ws("|", F.lit("3"), F.right(w1, cut(w1, 2)), w2, F.left(w3, cut(w3, 2))))
+        .otherwise(F.concat_ws("|", F.lit("5"), w2, w3, w4))
     )
     return rows.withColumn("_class", c).withColumn("_need", key).drop("_t")
 
 
-def _offers(hay: DataFrame, text: str, keep: list[str], span: int, cls: int) -> DataFrame:
-    """Rows (keep…, _need, _span) of one class; _span is the run of `span` tokens at this place."""
-    tokens = F.split(F.col(text), " ")
-    if cls == 1:
-        rows = hay.select(*keep, F.explode(F.array_distinct(tokens)).alias("u")).distinct()
-        u = F.col("u")
-
-        def pieces(q):
-            cut = F.transform(F.sequence(F.lit(1), F.length(u) - q + 1), lambda p: F.substr(u, p, F.lit(q)))
-            return F.when(F.length(u) >= q, cut).otherwise(F.array().cast("array<string>"))
-
-        need = F.array_distinct(F.concat(*[pieces(q) for q in (1, 2, 3)]))
-        return rows.select(*keep, u.alias("_span"), F.explode(need).alias("_need"))
-
-    def places(t):
-        at = lambda i, k: F.get(t, i + k).alias("uvxy"[k])
-        return F.transform(
-            F.sequence(F.lit(0), F.size(t) - 1),
-            lambda i: F.struct(at(i, 0), at(i, 1), at(i, 2), at(i, 3), F.array_join(F.slice(t, i + 1, span), " ").alias("s")),
-        )
-
-    rows = hay.select(*keep, F.explode(let(tokens, places)).alias("_p")).select(*keep, "_p.*")
-    u, v, x, y = (F.col(c) for c in "uvxy")
-    if cls == 5:
-        return rows.filter(v.isNotNull() & x.isNotNull() & y.isNotNull()).select(
-            *keep, F.col("s").alias("_span"), F.concat_ws("|", v, x, y).alias("_need")
-        )
-    most, last = (3, v) if cls == 2 else (2, x)
-    options = []
-    for a in range(1, most + 1):
-        for b in range(1, most + 1):
-            parts = [F.right(u, F.lit(a)), *([v] if cls == 3 else []), F.left(last, F.lit(b))]
-            options.append(F.when((F.length(u) >= a) & (F.length(last) >= b), F.concat_ws("|", *parts)))
-    return rows.filter(last.isNotNull()).select(*keep, F.col("s").alias("_span"), F.explode(F.array_compact(F.array(*options))).alias("_need"))
+def _offers(hay: DataFrame, needs: DataFrame, text: str, keys: list[str], keep: list[str], span: int) -> DataFrame:
+    """Rows (keep…, _need, _span): the keys a long text offers, of the classes its group asks for.
+
+    _span is the run of `span` tokens at this place.
+    """
+    asked = needs.groupBy(*keys).agg(F.collect_set("_class").alias("_asked"))
+    rows = hay.select(*dict.fromkeys([*keys, *keep, text])).join(asked, keys)
+    none = F.array().cast("array<struct<n: string, s: string>>")
+
+    def entry(need, tokens, i):
+        return F.struct(need.alias("n"), F.array_join(F.slice(tokens, i + 1, span), " ").alias("s"))
+
+    def pieces(tokens):
+        def of(u):
+            cuts = [
+                F.when(F.length(u) >= q, F.transform(F.sequence(F.lit(1), F.length(u) - q + 1), _cutter(u, q))).otherwise(none)
+                for q in (1, 2, 3)
+            ]
+            return F.concat(*cuts)
+
+        return F.flatten(F.transform(F.array_distinct(tokens), of))
+
+    def ends(tokens, cls):
+        most, step = (3, 1) if cls == 2 else (2, 2)
+
+        def of(i):
+            u, v, last = F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + step)
+            out = []
+            for a in range(1, most + 1):
+                for b in range(1, most + 1):
+                    parts = [F.lit(str(cls)), F.right(u, F.lit(a)), *([v] if cls == 3 else []), F.left(last, F.lit(b))]
+                    out.append(F.when((F.length(u) >= a) & (F.length(last) >= b), entry(F.concat_ws("|", *parts), tokens, i)))
+            return F.array_compact(F.array(*out))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), of))
+
+    def runs(tokens):
+        def of(i):
+            parts = [F.get(tokens, i + k) for k in (1, 2, 3)]
+            return F.when(i + 3 < F.size(tokens), entry(F.concat_ws("|", F.lit("5"), *parts), tokens, i))
+
+        return F.array_compact(F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), of))
+
+    def offered(tokens):
+        wants = lambda cls, made: F.when(F.array_contains("_asked", cls), made).otherwise(none)
+        return F.concat(wants(1, pieces(tokens)), wants(2, ends(tokens, 2)), wants(3, ends(tokens, 3)), wants(5, runs(tokens)))
+
+    offers = let(F.split(F.col(text), " "), offered)
+    return rows.select(*keep, F.explode(offers).alias("_o")).select(*keep, F.col("_o.n").alias("_need"), F.col("_o.s").alias("_span"))
+
+
+def _cutter(u: Column, q: int):
+    return lambda p: F.struct(F.concat(F.lit("1|"), F.substr(u, p, F.lit(q))).alias("n"), u.alias("s"))
 
 
 def contains_pairs(
     needles: DataFrame, needle_id: str, needle: str, hay: DataFrame, hay_id: str, text: str, keys: list[str]
 ) -> DataFrame:
     """(keys…, needle_id, hay_id) for every short text contained in a long text of the same key."""
-    n = _need(needles.select(*keys, needle_id, needle), needle).select(*keys, needle_id, "_class", "_need")
-    candidates = None
-    for cls in CLASSES:
-        mine = n.filter(F.col("_class") == cls).drop("_class")
-        groups = hay.select(*keys, hay_id, text).join(mine.select(*keys).distinct(), keys, "left_semi")
-        found = mine.join(_offers(groups, text, [*keys, hay_id], 1, cls).drop("_span"), [*keys, "_need"]).select(*keys, needle_id, hay_id)
-        candidates = found if candidates is None else candidates.unionByName(found)
+    n = _need(needles.select(*keys, needle_id, needle), needle)
+    h = _offers(hay, n, text, keys, [*keys, hay_id], 1).drop("_span")
+    candidates = n.select(*keys, needle_id, "_need").join(h, [*keys, "_need"]).select(*keys, needle_id, hay_id).distinct()
     return (
-        candidates.distinct()
-        .join(needles.select(*keys, needle_id, needle), [*keys, needle_id])
+        candidates.join(needles.select(*keys, needle_id, needle), [*keys, needle_id])
         .join(hay.select(*keys, hay_id, text), [*keys, hay_id])
         .filter(F.contains(F.col(text), F.col(needle)))
         .select(*keys, needle_id, hay_id)
@@ -121,17 +130,8 @@ def found_in_meeting(needles: DataFrame, needle: str, segments: DataFrame, lower
 
     Exact for needles of up to `span` words.
     """
-    if span > 4:
-        raise ValueError("phrases of up to four words")
     distinct = needles.select("meeting_id", needle).filter(F.length(needle) > 0).distinct()
     n = _need(distinct, needle)
-    text = running_text(segments, lower, span - 1)
-    out = None
-    for cls in (1, 2, 3):
-        mine = n.filter(F.col("_class") == cls)
-        groups = text.join(mine.select("meeting_id").distinct(), "meeting_id", "left_semi")
-        h = _offers(groups, "text", ["meeting_id"], span, cls)
-        cond = [mine["meeting_id"] == h["meeting_id"], mine["_need"] == h["_need"], F.contains(h["_span"], mine[needle])]
-        hit = mine.join(h, cond, "left_semi").select("meeting_id", needle)
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    h = _offers(running_text(segments, lower, span - 1), n, "text", ["meeting_id"], ["meeting_id"], span)
+    cond = [n["meeting_id"] == h["meeting_id"], n["_need"] == h["_need"], F.contains(h["_span"], n[needle])]
+    return n.join(h, cond, "left_semi").select("meeting_id", needle)

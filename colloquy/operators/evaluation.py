@@ -159,7 +159,7 @@ def improvement_report(criterion_scores: DataFrame, components: DataFrame, expla
         .otherwise("Significant improvements are needed for production readiness.")
     )
     sentence = F.concat(
-        F.lit("Overall extraction quality: "), quality_level(a), F.lit(" ("), F.format_string("%.2f", a), F.lit("/10). Found "),
+        F.lit("Overall extraction quality: "), quality_level(a), F.lit(" ("), tx.two_digits(a), F.lit("/10). Found "),
         F.col("n_strengths").cast("string"), F.lit(" strong areas and "), F.col("n_weaknesses").cast("string"),
         F.lit(" areas for improvement. "), closing,
     )

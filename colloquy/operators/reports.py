@@ -114,7 +114,7 @@ def markdown_report(summaries: DataFrame, decisions: DataFrame, actions: DataFra
 
 def evaluation_report(components: DataFrame, criterion_scores: DataFrame, report: DataFrame, improvements: DataFrame) -> DataFrame:
     """Evaluation as ordered Markdown lines per job."""
-    two = lambda c: F.format_string("%.2f", F.col(c))
+    two = lambda c: tx.two_digits(F.col(c))
 
     def lines(df, section, grp, no, cols):
         return df.select("job_id", F.lit(section).alias("section"), grp.alias("grp"), no.cast("long").alias("item_no"),

@@ -15,6 +15,7 @@ from colloquy.operators import dedup as dd
 from colloquy.operators import evaluation as ev
 from colloquy.operators import extraction as ex
 from colloquy.operators import provenance as pv
+from colloquy.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,7 +75,7 @@ class Tables:
 
     @cached_property
     def items(self) -> DataFrame:
-        return dd.union_items(self.decisions, self.actions, self.risks)
+        return materialize(dd.union_items(self.decisions, self.actions, self.risks))
 
     @cached_property
     def provenance(self) -> DataFrame:
@@ -114,11 +115,11 @@ class Tables:
     @cached_property
     def eval_scores(self) -> DataFrame:
         """Score of every source and criterion for every labelled document."""
-        cells = F.array(*[
-            F.struct(F.lit(s).alias("source"), F.lit(sn).alias("sn"), F.lit(c).alias("component"), F.lit(k).alias("criterion"), F.lit(i).alias("cn"))
+        cells = ", ".join(
+            f"named_struct('source', '{s}', 'sn', {sn}, 'component', '{c}', 'criterion', '{k}', 'cn', {i})"
             for sn, s in enumerate(ev.SOURCES) for i, (c, k, _) in enumerate(ev.rules.EVAL_SCHEMA)
-        ])
-        j = self.read("labels").select(F.col("doc_id").alias("job_id"), F.explode(cells).alias("c")).select("job_id", "c.*")
+        )
+        j = self.read("labels").selectExpr("doc_id AS job_id", f"inline(array({cells}))")
         score = ((F.col("job_id") * 7 + F.col("cn") * 3 + F.col("sn") * 5) % 11).cast("double")
         why = F.when((F.col("job_id") + F.col("cn") + F.col("sn")) % 3 == 0, F.concat(F.lit("note "), F.col("cn").cast("string"))).otherwise("")
         # some jobs have no human review
@@ -126,7 +127,7 @@ class Tables:
 
     @cached_property
     def criterion_scores(self) -> DataFrame:
-        return ev.weighted_criterion_scores(self.eval_scores)
+        return materialize(ev.weighted_criterion_scores(self.eval_scores))
 
     @cached_property
     def components(self) -> DataFrame:

@@ -66,12 +66,12 @@ class Extraction:
 def extract_all(segments: DataFrame) -> Extraction:
     """Items, their sources, their validation, summaries and one quality row per meeting."""
     decisions, actions, risks = ex.extract_decisions(segments), ex.extract_actions(segments), ex.extract_risks(segments)
-    raw = union_items(decisions, actions, risks)
-    links = pv.link_provenance_lexical(raw, segments)
+    raw = materialize(union_items(decisions, actions, risks))
+    links = materialize(pv.link_provenance_lexical(raw, segments))
     boosted = pv.boost_confidence(raw.filter("kind = 'decision'"), links)
     items = ex.filter_confidence(boosted.unionByName(raw.filter("kind <> 'decision'")))
     summaries = sm.extractive_summary(segments)
-    all_summaries = segments.select("meeting_id").distinct().join(summaries, "meeting_id", "left").na.fill("", ["summary"])
+    all_summaries = materialize(segments.select("meeting_id").distinct().join(summaries, "meeting_id", "left").na.fill("", ["summary"]))
     counts = ev.extraction_counts(items, all_summaries)
     meta = ev.meeting_metadata(segments, all_summaries, decisions)
     meetings = ev.quality_gate(counts, ev.redundancy_ratio(all_summaries)).join(meta, "meeting_id")
@@ -92,7 +92,8 @@ class Evaluation:
 
 
 def evaluate_scores(scores: DataFrame, schema: DataFrame) -> Evaluation:
-    criteria = ev.weighted_criterion_scores(scores)
+    scores = materialize(scores)
+    criteria = materialize(ev.weighted_criterion_scores(scores))
     components = ev.component_scores(criteria, schema)
     recs = ev.recommendations(criteria, components, scores)
     return Evaluation(

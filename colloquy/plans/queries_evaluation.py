@@ -98,7 +98,7 @@ def _(t):
 
 @register("improvement_report", f"""
 SELECT t.job_id, round(t.aggregate_score, 6) AS aggregate_score, n_strengths, n_weaknesses, strengths, weaknesses, coalesce(r.n, 0) AS n_recommendations,
-  'Overall extraction quality: ' || {_LEVEL('t.aggregate_score')} || ' (' || printf('%.2f', t.aggregate_score) || '/10). Found ' || n_strengths || ' strong areas and ' || n_weaknesses || ' areas for improvement. '
+  'Overall extraction quality: ' || {_LEVEL('t.aggregate_score')} || ' (' || printf('%.2f', floor(round(t.aggregate_score, 9) * 100 + 0.5) / 100) || '/10). Found ' || n_strengths || ' strong areas and ' || n_weaknesses || ' areas for improvement. '
    || CASE WHEN t.aggregate_score >= 7 THEN 'The system is performing well overall.' WHEN t.aggregate_score >= 5 THEN 'The system shows acceptable performance with room for improvement.' ELSE 'Significant improvements are needed for production readiness.' END AS summary
 FROM totals t JOIN (SELECT job_id, count(*) FILTER (overall_score >= 6) AS n_strengths, count(*) FILTER (overall_score < 6) AS n_weaknesses,
    coalesce(string_agg(component, ', ' ORDER BY component) FILTER (overall_score >= 6), '') AS strengths, coalesce(string_agg(component, ', ' ORDER BY component) FILTER (overall_score < 6), '') AS weaknesses FROM components GROUP BY 1) c ON c.job_id = t.job_id

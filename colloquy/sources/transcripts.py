@@ -28,7 +28,7 @@ def files_table(files: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(
         F.xxhash64("path").alias("meeting_id"), name.alias("name"), F.round(F.col("length") / (1024 * 1024), 2).alias("size_mb"),
-        F.decode("content", F.lit("UTF-8")).alias("content"), "path",
+        F.decode("content", "UTF-8").alias("content"), "path",
     )
 
 
