@@ -151,32 +151,45 @@ def scan_states(
     out_schema = T.StructType([*[f for f in df.schema.fields], T.StructField(name, T.IntegerType())])
     sort_cols = [order, *ties]
     cols = df.columns
-
-    def block_function(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sort_cols, kind="stable")
-        live, where = np.arange(n_states, dtype=np.int64), np.arange(n_states)
-        for i, row in enumerate(zip(*[pdf[c].tolist() for c in inputs])):
-            live = step(live, *row)
-            if i % 16 == 0 and len(live) > 1:
-                # different entry states soon meet: keep one copy of each
-                live, back = np.unique(live, return_inverse=True)
-                where = back[where]
-        return pd.DataFrame([(*key, live[where].astype("int32"))], columns=[*keys, _BLK, "_fn"])
-
-    def replay(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sort_cols, kind="stable")
-        state = np.array([int(pdf["_entry"].iloc[0])], dtype=np.int64)
-        before = np.empty(len(pdf), dtype="int32")
-        for i, row in enumerate(zip(*[pdf[c].tolist() for c in inputs])):
-            before[i] = state[0]
-            state = step(state, *row)
-        out = pdf[cols].copy()
-        out[name] = before
-        return out
+    group_cols = [*keys, _BLK]
+
+    def block_functions(batches):
+        for part, bounds in _whole_blocks(batches, group_cols):
+            values = [part[c].tolist() for c in inputs]
+            out = []
+            for first, end in bounds:
+                live, where = np.arange(n_states, dtype=np.int64), np.arange(n_states)
+                for i in range(first, end):
+                    live = step(live, *[v[i] for v in values])
+                    if i % 16 == 0 and len(live) > 1:
+                        # different entry states soon meet: keep one copy of each
+                        live, back = np.unique(live, return_inverse=True)
+                        where = back[where]
+                out.append(live[where].astype("int32"))
+            result = part.iloc[[first for first, _ in bounds]][group_cols].copy()
+            result["_fn"] = out
+            yield result
+
+    def replay(batches):
+        for part, bounds in _whole_blocks(batches, group_cols):
+            values = [part[c].tolist() for c in inputs]
+            entry = part["_entry"].to_numpy()
+            before = np.empty(len(part), dtype="int32")
+            for first, end in bounds:
+                state = np.array([entry[first]], dtype=np.int64)
+                for i in range(first, end):
+                    before[i] = state[0]
+                    state = step(state, *[v[i] for v in values])
+            out = part[cols].copy()
+            out[name] = before
+            yield out
+
+    def sorted_blocks(rows):
+        return rows.repartition(*group_cols).sortWithinPartitions(*group_cols, *sort_cols)
 
     b = materialize(_blocked(df, order, block))
     need = list(dict.fromkeys([*keys, _BLK, *sort_cols, *inputs]))
-    fns = materialize(b.select(*need).groupBy(*keys, _BLK).applyInPandas(block_function, fn_schema))
+    fns = materialize(sorted_blocks(b.select(*need)).mapInPandas(block_functions, fn_schema))
     grouped = fns.withColumn("_grp", F.floor(F.col(_BLK) / group).cast("long"))
     ordered = F.array_sort(F.collect_list(F.struct(_BLK, "_fn")))
     lists = grouped.groupBy(*keys, "_grp").agg(ordered.alias("_l"))
@@ -193,7 +206,28 @@ def scan_states(
         .select(*keys, F.explode(_entries(F.col("_l"), F.col("_start"))).alias("_e"))
         .select(*keys, F.col(f"_e.{_BLK}").alias(_BLK), F.col("_e.state").alias("_entry"))
     )
-    return materialize(b.join(block_entry, [*keys, _BLK]).groupBy(*keys, _BLK).applyInPandas(replay, out_schema))
+    return materialize(sorted_blocks(b.join(block_entry, [*keys, _BLK])).mapInPandas(replay, out_schema))
+
+
+def _whole_blocks(batches, group_cols):
+    """Sorted rows batch by batch, cut at block ends: (rows, [(first, end) of each block]).
+
+    A block that is split over batches is held back until it is complete, so at most
+    one block is kept besides the batch at hand.
+    """
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if rows.empty:
+            continue
+        groups = rows[group_cols]
+        starts = np.flatnonzero((groups != groups.shift()).any(axis=1).to_numpy())
+        last = starts[-1]
+        if last > 0:
+            yield rows.iloc[:last], list(zip(starts[:-1], starts[1:]))
+        held = rows.iloc[last:].reset_index(drop=True)
+    if held is not None:
+        yield held, [(0, len(held))]
 
 
 def _entries(functions: Column, start: Column) -> Column:

@@ -51,14 +51,14 @@ def stream_job_status(log: DataFrame, order: str = "ts") -> DataFrame:
     return log.groupBy("job_id").agg(F.max_by(F.struct(*rest), order).alias("_r")).select("job_id", "_r.*")
 
 
-def status_table_writer(out: str):
+def status_table_writer(out: str, order: str = "ts"):
     """foreachBatch sink: the table of current states is rewritten as version n from version n-1."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = latest_status(batch)
+        fresh = latest_status(batch, order)
         if batch_id > 0:
-            fresh = latest_status(fresh.unionByName(spark.read.parquet(f"{out}/version={batch_id - 1}")))
+            fresh = latest_status(fresh.unionByName(spark.read.parquet(f"{out}/version={batch_id - 1}")), order)
         fresh.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
 
     return write

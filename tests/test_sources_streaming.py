@@ -61,7 +61,7 @@ def test_stream_status_and_reviews(spark, tmp_path):
     log.filter("event_id < 2").write.parquet(str(tmp_path / "log"))
     log.filter("event_id >= 2").write.mode("append").parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
-    q = stream.writeStream.foreachBatch(flows.status_table_writer(str(tmp_path / "st"))).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(flows.status_table_writer(str(tmp_path / "st"), "event_id")).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination()
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "st").iterdir())
     got = {(r.job_id, r.event_id) for r in spark.read.parquet(str(tmp_path / "st" / f"version={last}")).collect()}
