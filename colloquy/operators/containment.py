@@ -45,8 +45,13 @@ def _offers(hay: DataFrame, needs: DataFrame, text: str, keys: list[str], keep:
 
     _span is the run of `span` tokens at this place.
     """
-    asked = needs.groupBy(*keys).agg(F.collect_set("_class").alias("_asked"))
-    rows = hay.select(*dict.fromkeys([*keys, *keep, text])).join(asked, keys)
+    rows = hay.select(*dict.fromkeys([*keys, *keep, text]))
+    if keys:
+        rows = rows.join(needs.groupBy(*keys).agg(F.collect_set("_class").alias("_asked")), keys)
+    else:
+        # one group for everything: at most four class numbers are read
+        known = sorted(r["_class"] for r in needs.select("_class").distinct().collect())
+        rows = rows.withColumn("_asked", F.array(*[F.lit(c) for c in known]).cast("array<int>"))
     none = F.array().cast("array<struct<n: string, s: string>>")
 
     def entry(need, tokens, i):
@@ -98,7 +103,10 @@ def _cutter(u: Column, q: int):
 def contains_pairs(
     needles: DataFrame, needle_id: str, needle: str, hay: DataFrame, hay_id: str, text: str, keys: list[str]
 ) -> DataFrame:
-    """(keys…, needle_id, hay_id) for every short text contained in a long text of the same key."""
+    """(keys…, needle_id, hay_id) for every short text contained in a long text of the same key.
+
+    keys may be empty: then every short text is looked up in every long text.
+    """
     n = _need(needles.select(*keys, needle_id, needle), needle)
     h = _offers(hay, n, text, keys, [*keys, hay_id], 1).drop("_span")
     candidates = n.select(*keys, needle_id, "_need").join(h, [*keys, "_need"]).select(*keys, needle_id, hay_id).distinct()

@@ -225,12 +225,12 @@ def default_review_grid(jobs: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- item metrics
-def match_items_to_gold(items: DataFrame, gold: DataFrame) -> DataFrame:
+def match_items_to_gold(items: DataFrame, gold: DataFrame, keys: tuple[str, ...] = ("meeting_id", "kind")) -> DataFrame:
     """Items contained in a gold text of their meeting and kind, or containing one; each once.
 
-    items(meeting_id, kind, item_id, text), gold(meeting_id, kind, gold_id, text).
+    items(keys…, item_id, text), gold(keys…, gold_id, text).
     """
-    keys = ["meeting_id", "kind"]
+    keys = list(keys)
     p = items.select(*keys, "item_id", F.lower("text").alias("_p")).filter("_p <> ''")
     g = gold.select(*keys, "gold_id", F.lower("text").alias("_g")).filter("_g <> ''")
     inside = contains_pairs(p, "item_id", "_p", g, "gold_id", "_g", keys)

@@ -173,10 +173,9 @@ def _(t):
 @register("match_documents_to_benchmark", "SELECT DISTINCT d.doc_id AS item_id FROM documents d JOIN benchmark b ON contains(lower(b.text), lower(d.text)) OR contains(lower(d.text), lower(b.text))")
 def _(t):
     """Documents that hold a benchmark passage (or lie inside one), by whole texts."""
-    one = [F.lit(0).alias("meeting_id"), F.lit("text").alias("kind")]
-    docs = t.read("documents").select(*one, F.col("doc_id").alias("item_id"), "text")
-    gold = t.read("benchmark").select(*one, F.col("item_id").alias("gold_id"), "text")
-    return ev.match_items_to_gold(docs, gold).select("item_id")
+    docs = t.read("documents").select(F.col("doc_id").alias("item_id"), "text")
+    gold = t.read("benchmark").select(F.col("item_id").alias("gold_id"), "text")
+    return ev.match_items_to_gold(docs, gold, ())
 
 
 @register("precision_recall_f1", """
