@@ -13,6 +13,9 @@ import numpy as np
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation, for operators whose words are runs of letters and digits.
+BREAK = SPACE.copy()
+BREAK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -79,8 +82,8 @@ class Words:
         return begin, mix((run[begin + size] - run[begin]) * down[begin])
 
 
-def words_of(texts: list[bytes | None], lower: bool = False) -> Words:
-    """Words of UTF-8 texts; null counts as empty."""
+def words_of(texts: list[bytes | None], lower: bool = False, space: np.ndarray = SPACE) -> Words:
+    """Words of UTF-8 texts; null counts as empty. `space` tells which bytes part words."""
     blobs = [t or b"" for t in texts]
     data = np.frombuffer(b"\n".join(blobs), np.uint8)
     if lower:
@@ -92,7 +95,7 @@ def words_of(texts: list[bytes | None], lower: bool = False) -> Words:
         part = data[lo:hi]
         inside = np.empty(len(part) + 2, bool)
         inside[0] = inside[-1] = False
-        np.logical_not(SPACE[part], out=inside[1:-1])
+        np.logical_not(space[part], out=inside[1:-1])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         s, e = edge[::2], edge[1::2]
         up, down = powers(BYTE_BASE, len(part) + 1)
