@@ -5,7 +5,7 @@ read those. TF-IDF passages of BLOCK words over SLOTS hashed terms get a randomi
 task sums its part of A'(A W) (a table of fixed size), Spark adds the parts, and an orthonormal basis of the sum is the
 latent space. Benchmark items, cut into segments, are searched for in windows of the texts. An inverted index of the items'
 rare words leaves the windows that can hold `loose` of a segment (a lossless bound); those of a cosine of at least COSINE
-in the latent space are candidates. A segment without rare words is compared with every window. The longest common
+in the latent space, or that can hold `exact` of it, are candidates. A segment without rare words is compared with every window. The longest common
 subsequence of the item and the passage around the window decides: at least `exact` of the item, or at least `loose`
 together with `answer` of the item's answer (column answer if given, else its last sentence, or its last five words if
 that is short). Items are the stated query set: they are read in groups of ITEM_GROUP and meet all rows group by group.
@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from colloquy.llm.words import BREAK, binary_list, chunks, words_of
 from colloquy.session import materialize
 
-SLOTS = 1 << 14
-RANK, EXTRA = 24, 8
+RANK, EXTRA = 48, 8
 BLOCK, SEGMENT = 8, 56
+PASSAGE = 32
 SPANS = (2, 4, 8)  # window sizes in blocks: at a step of one block they hold any 9, 25 and 57 words
 COSINE = 0.2
-RARE = 0.02
+COMMON = 0.01
 SHORT = 8
 ITEM_GROUP = 2048
 PARTS = 16
@@ -50,6 +50,12 @@ def _number(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n.tobytes() for n in numbers], pa.binary())], names=["id", "words"])
 
 
+def _vocabulary(batches):
+    for batch in batches:
+        numbers = word_numbers(binary_list(batch.column(batch.schema.get_field_index("text"))))
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(numbers) if numbers else []).astype(np.int32))], names=["number"])
+
+
 def _batches(numbers: list[np.ndarray], limit: int = 1 << 18):
     lo = total = 0
     for i, n in enumerate(numbers):
@@ -61,48 +67,49 @@ def _batches(numbers: list[np.ndarray], limit: int = 1 << 18):
         yield lo, numbers[lo:]
 
 
-def _blocks(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of all words, first word of every block of BLOCK words, and the first block of every text."""
+def _hits(numbers: list[np.ndarray], term_of: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block (of `width` words) and term of every word that is a term, and the first block of every text."""
     size = np.fromiter(map(len, numbers), np.int64, len(numbers))
-    count = -(-size // BLOCK)
-    first_word, first_block = np.cumsum(size) - size, np.concatenate([[0], np.cumsum(count)])
-    k = np.arange(first_block[-1]) - np.repeat(first_block[:-1], count)
-    slots = (np.concatenate(numbers) if len(numbers) else np.zeros(0, np.uint16)) & np.uint16(SLOTS - 1)
-    return slots, np.repeat(first_word, count) + BLOCK * k, first_block
+    first_block = np.concatenate([[0], np.cumsum(-(-size // width))])
+    term = term_of[np.concatenate(numbers)]
+    at = np.flatnonzero(term >= 0)
+    text = np.searchsorted(np.cumsum(size), at, side="right")
+    return first_block[text] + (at - (np.cumsum(size) - size)[text]) // width, term[at], first_block
 
 
-def _frequency(batches):
-    """Passages that hold a term, summed over a task; slot -1 counts the passages."""
-    df, passages = np.zeros(SLOTS, np.int64), 0
-    for batch in batches:
-        for _, numbers in _batches([np.frombuffer(x, np.uint16) for x in batch.column(0).to_pylist()]):
-            slots, begin, _ = _blocks(numbers)
-            passages += len(begin)
-            block = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(slots))))
-            df += np.bincount(np.unique(block * SLOTS + slots) % SLOTS, minlength=SLOTS)
-    at = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], passages), pa.int64())], names=["slot", "df"])
+def _frequency(term_of: np.ndarray):
+    """Passages that hold a term, summed over a task; term -1 counts the passages."""
 
+    def run(batches):
+        df, passages, terms = np.zeros(term_of.max() + 1, np.int64), 0, term_of.max() + 1
+        for batch in batches:
+            for _, numbers in _batches([np.frombuffer(x, np.uint16) for x in batch.column(0).to_pylist()]):
+                block, term, first = _hits(numbers, term_of, PASSAGE)
+                passages += int(first[-1])
+                df += np.bincount(np.unique(block * terms + term) % terms, minlength=terms)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], passages), pa.int64())], names=["term", "df"])
 
-def _product(weights: np.ndarray):
-    """A task's part of A'(A W), as PARTS row blocks. weights: idf * W by slot."""
+    return run
+
+
+def _product(term_of: np.ndarray, weights: np.ndarray):
+    """A task's part of A'(A W), as PARTS row blocks. weights: idf * W by term."""
 
     def run(batches):
-        out = np.zeros((SLOTS, weights.shape[1]), np.float32)
+        out = np.zeros(weights.shape, np.float64)
         for batch in batches:
             for _, numbers in _batches([np.frombuffer(x, np.uint16) for x in batch.column(0).to_pylist()]):
-                slots, begin, _ = _blocks(numbers)
-                if not len(slots):
+                block, term, _ = _hits(numbers, term_of, PASSAGE)
+                if not len(term):
                     continue
-                image = np.add.reduceat(weights[slots], begin, axis=0)
-                block = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(slots))))
-                order = np.argsort(slots, kind="stable")
-                ranked = slots[order]
-                edge = np.concatenate([[0], np.flatnonzero(np.diff(ranked)) + 1])
-                out[ranked[edge]] += np.add.reduceat(image[block[order]], edge, axis=0)
-        step = SLOTS // PARTS
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([out[i * step:(i + 1) * step].tobytes() for i in range(PARTS)], pa.binary())],
-                                         names=["part", "cells"])
+                edge = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1])
+                image = np.add.reduceat(weights[term], edge, axis=0)[np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(term))))]
+                order = np.argsort(term, kind="stable")
+                edge = np.concatenate([[0], np.flatnonzero(np.diff(term[order])) + 1])
+                out[term[order][edge]] += np.add.reduceat(image[order], edge, axis=0)
+        rows = np.array_split(out.astype(np.float32), PARTS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["part", "cells"])
 
     return run
 
@@ -112,21 +119,33 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"part": table["part"][:1], "cells": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def latent_space(numbered: DataFrame, rank: int = RANK, extra: int = EXTRA) -> tuple[np.ndarray, np.ndarray]:
-    """idf-weighted orthonormal basis (SLOTS x rank) of the passages' term space, by one power step of a randomised SVD,
-    and the slots that more than a share RARE of all passages hold."""
+def latent_space(numbered: DataFrame, vocabulary: np.ndarray, rank: int = RANK, extra: int = EXTRA) -> tuple[np.ndarray, np.ndarray]:
+    """Term of every word number (-1: none), and the idf-weighted orthonormal basis (terms x rank) of the passages' space.
+
+    Terms are the words of the vocabulary (word numbers) that at most a share COMMON of all passages hold. One power step of
+    a randomised SVD; at most 65,536 terms, so the tables have a fixed bound.
+    """
     words = numbered.select("words")
-    counts = words.mapInArrow(_frequency, "slot int, df bigint").groupBy("slot").agg(F.sum("df").alias("df")).toPandas()
-    df = np.zeros(SLOTS)
-    inner = counts[counts["slot"] >= 0]
-    df[inner["slot"].to_numpy()] = inner["df"].to_numpy()
-    passages = max(1, int(counts.loc[counts["slot"] < 0, "df"].sum()))
-    idf = (np.log((passages + 1) / (df + 1)) + 0.1).astype(np.float32)
-    test = np.random.default_rng(0).standard_normal((SLOTS, rank + extra)).astype(np.float32) * idf[:, None]
-    parts = words.mapInArrow(_product(test), "part int, cells binary").groupBy("part").applyInArrow(_add, "part int, cells binary").toPandas().sort_values("part")
-    image = np.concatenate([np.frombuffer(bytes(x), np.float32) for x in parts["cells"]]).reshape(SLOTS, -1) * idf[:, None]
-    basis, _, _ = np.linalg.svd(image.astype(np.float64), full_matrices=False)
-    return (basis[:, :rank] * idf[:, None]).astype(np.float32), df > RARE * passages
+    term_of = np.full(1 << 16, -1, np.int64)
+    term_of[vocabulary] = np.arange(len(vocabulary))
+    counts = words.mapInArrow(_frequency(term_of), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    df = np.zeros(len(vocabulary))
+    inner = counts[counts["term"] >= 0]
+    df[inner["term"].to_numpy()] = inner["df"].to_numpy()
+    passages = max(1, int(counts.loc[counts["term"] < 0, "df"].sum()))
+    rare = np.flatnonzero(df <= COMMON * passages)
+    term_of[:] = -1
+    term_of[vocabulary[rare]] = np.arange(len(rare))
+    idf = np.log((passages + 1) / (df[rare] + 1)).astype(np.float32)[:, None]
+    test = np.random.default_rng(0).standard_normal((len(rare), rank + extra)).astype(np.float32) * idf
+    parts = words.mapInArrow(_product(term_of, test), "part int, cells binary").groupBy("part").applyInArrow(_add, "part int, cells binary").toPandas()
+    image = np.zeros((0, rank + extra), np.float32)
+    if len(parts) and len(rare):
+        image = np.concatenate([np.frombuffer(bytes(x), np.float32) for x in parts.sort_values("part")["cells"]]).reshape(len(rare), -1)
+    basis, _, _ = np.linalg.svd((image * idf[: len(image)]).astype(np.float64), full_matrices=False)
+    space = np.zeros((len(rare), rank), np.float32)
+    space[: len(basis), : min(rank, basis.shape[1])] = (basis[:, :rank] * idf[: len(basis)])
+    return term_of, space
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -146,57 +165,96 @@ def common_length(item: np.ndarray, passage: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
-def _holds_run(item: np.ndarray, passage: np.ndarray) -> bool:
-    n = len(item)
-    return any((passage[i:i + n] == item).all() for i in np.flatnonzero(passage[: len(passage) - n + 1] == item[0])) if len(passage) >= n else False
-
-
-def _search(space: np.ndarray, common: np.ndarray, items: list[tuple[int, np.ndarray, np.ndarray]], exact: float, loose: float, answer: float):
+def _overlap(words: np.ndarray, answer_words: np.ndarray, passage: np.ndarray, exact: float, loose: float, answer: float) -> float:
+    """Share of an item found in order in some part of the passage at most half longer than the item; 0 if it doesn't count."""
+    n = len(words)
+    if n < SHORT:
+        starts = np.flatnonzero(passage[: len(passage) - n + 1] == words[0]) if len(passage) >= n else []
+        return float(any((passage[i:i + n] == words).all() for i in starts))
+    inside = np.zeros(1 << 16, bool)
+    inside[words] = True
+    if common_length(words, passage[inside[passage]]) < loose * n:
+        return 0.0
+    inside[answer_words] = True
+    size, best = int(1.5 * n) + 2, 0.0
+    for i in range(0, max(1, len(passage) - size + n // 4 + 1), max(1, n // 4)):
+        part = passage[i:i + size]
+        part = part[inside[part]]
+        score = common_length(words, part) / n
+        if score > best and (score >= exact or score >= loose and common_length(answer_words, part) >= answer * len(answer_words)):
+            best = score
+    return best
+
+
+def _search(term_of: np.ndarray, space: np.ndarray, items: list[tuple[int, np.ndarray, np.ndarray]], exact: float, loose: float, answer: float):
     segments = [(k, i) for k, (_, words, _) in enumerate(items) for i in range(0, len(words), SEGMENT)]
     owner = np.array([k for k, _ in segments])
     pieces = [items[k][1][i:i + SEGMENT] for k, i in segments]
     length = np.array([len(p) for p in pieces])
-    latent = _unit(np.add.reduceat(space[np.concatenate(pieces) & np.uint16(SLOTS - 1)], np.cumsum(length) - length, axis=0))
     span = np.array(SPANS)[np.searchsorted([(s - 1) * BLOCK + 1 for s in SPANS[:-1]], length)]
-    # how many of its rare words a passage must hold at least to have `loose` of a segment
-    rare = [p[~common[p & np.uint16(SLOTS - 1)]] for p in pieces]
-    need = np.ceil(loose * length).astype(np.int64) - (length - np.array([len(r) for r in rare]))
-    posted = np.unique(np.concatenate([np.stack([r.astype(np.int64), np.full(len(r), g)], 1) for g, r in enumerate(rare)]), axis=0)
-    post = np.searchsorted(posted[:, 0], np.arange((1 << 16) + 1))
-    plain = np.flatnonzero(need <= 0)  # nothing rare to look up: every window is compared
+    terms = [term_of[p][term_of[p] >= 0] for p in pieces]
+    common = length - np.array([len(t) for t in terms])
+    latent = _unit(np.stack([space[t].sum(0) for t in terms]))
+    # terms that a window must hold for `exact` of a segment; for `loose` of it, with those that its text must hold of the answer
+    need, need_loose = (np.ceil(x * length - 1e-9).astype(np.int64) - common for x in (exact, loose))
+    answers = [items[k][2] for k in owner]
+    need_answer = np.array([int(np.ceil(answer * len(a) - 1e-9)) - int((term_of[a] < 0).sum()) for a in answers])
+    last = len(pieces)
+    posted = np.unique(np.concatenate([np.stack([t, np.full(len(t), g)], 1) for g, t in enumerate(
+        [*terms, *[term_of[a][term_of[a] >= 0] for a in answers]])] or [np.zeros((0, 2), np.int64)]), axis=0).astype(np.int64)
+    post = np.searchsorted(posted[:, 0], np.arange(len(space) + 1))
+    plain = np.flatnonzero(need_loose <= 0)
 
     def windows(numbers: list[np.ndarray]):
         """(text, block, segment) of windows that can hold a segment and lie near it in the latent space."""
-        slots, begin, first = _blocks(numbers)
-        if not len(slots):
+        block, term, first = _hits(numbers, term_of, BLOCK)
+        blocks = int(first[-1])
+        if not blocks:
             return
-        words = np.concatenate(numbers)
         text = np.repeat(np.arange(len(numbers)), np.diff(first))
-        block = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(slots))))
-        count = post[words.astype(np.int64) + 1] - post[words]
-        hit = np.flatnonzero(count)
-        count = count[hit]
-        segment = posted[np.repeat(post[words[hit]] - np.cumsum(count) + count, count) + np.arange(count.sum()), 1]
-        block = np.repeat(block[hit], count)
-        _, back, total = np.unique(text[block] * len(length) + segment, return_inverse=True, return_counts=True)
-        able = (total[back] >= need[segment]) & (need[segment] > 0)
-        block, segment = block[able], segment[able]
+        edge = np.searchsorted(block, np.arange(blocks + 1))
+        image = np.concatenate([np.zeros((1, space.shape[1])), np.cumsum(space[term], axis=0, dtype=np.float64)])[edge]
+        count = post[term + 1] - post[term]
+        at = np.repeat(block, count)
+        segment = posted[np.repeat(post[term] - np.cumsum(count) + count, count) + np.arange(count.sum()), 1]
+        key, back, total = np.unique(text[at] * (2 * last) + segment, return_inverse=True, return_counts=True)
+        total = np.append(total, 0)
+
+        def held(kind: np.ndarray) -> np.ndarray:
+            """Hits of the text for a segment or (kind + last) its answer."""
+            spot = np.minimum(np.searchsorted(key, kind), len(key) - 1)
+            return np.where(key[spot] == kind, total[spot], 0)
+
+        own = segment < last
+        at, segment, back = at[own], segment[own], back[own]
+        here = total[back]
+        asked = held(text[at] * (2 * last) + segment + last) >= need_answer[segment]
+        least = np.where(asked, np.maximum(need_loose, 1)[segment], need[segment])
+        able = here >= least
+        at, segment, least = at[able], segment[able], least[able]
         size = span[segment]
-        shifted = np.repeat(block - size + 1, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        segment, block = np.repeat(segment, size), np.repeat(block, size)
-        inside = shifted >= first[text[block]]
-        pair, total = np.unique(shifted[inside] * len(length) + segment[inside], return_counts=True)
-        at, segment = pair // len(length), pair % len(length)
-        able = total >= need[segment]
-        at, segment = at[able], segment[able]
-        image = np.concatenate([np.zeros((1, space.shape[1])), np.cumsum(np.add.reduceat(space[slots], begin, axis=0), axis=0, dtype=np.float64)])
+        shifted = np.repeat(at - size + 1, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        segment, at, least = np.repeat(segment, size), np.repeat(at, size), np.repeat(least, size)
+        inside = shifted >= first[text[at]]
+        pair, where, total = np.unique(shifted[inside] * last + segment[inside], return_index=True, return_counts=True)
+        able = total >= least[inside][where]
+        at, segment, full = pair[able] // last, pair[able] % last, total[able]
         end = np.minimum(at + span[segment], first[text[at] + 1])
-        near = np.einsum("ij,ij->i", _unit(image[end] - image[at]), latent[segment]) >= COSINE
+        near = (np.einsum("ij,ij->i", _unit(image[end] - image[at]), latent[segment]) >= COSINE) | (full >= np.maximum(need[segment], 1))
         yield text[at[near]], at[near] - first[text[at[near]]], segment[near]
-        for g in plain:
-            end = np.minimum(np.arange(len(begin)) + span[g], first[text + 1])
-            at = np.flatnonzero(_unit(image[end] - image[:-1]) @ latent[g] >= COSINE)
-            yield text[at], at - first[text[at]], np.full(len(at), g)
+        words = np.concatenate(numbers)
+        size = np.fromiter(map(len, numbers), np.int64, len(numbers))
+        begin = np.repeat(np.cumsum(size) - size, np.diff(first)) + BLOCK * (np.arange(blocks) - first[text])
+        for g in plain:  # nothing rare to look up: every window is compared, by all its words
+            end = np.minimum(np.arange(blocks) + span[g], first[text + 1])
+            mine = np.zeros(1 << 16, np.int64)
+            mine[pieces[g]] = 1
+            total = np.concatenate([[0], np.cumsum(mine[words])])[np.append(begin, len(words))]
+            near = np.flatnonzero(total[end] - total[:-1] >= np.ceil(loose * length[g] - 1e-9))
+            if common[g] < length[g]:
+                full = (total[end] - total[:-1])[near] >= np.ceil(exact * length[g] - 1e-9)
+                near = near[full | (_unit(image[end[near]] - image[near]) @ latent[g] >= COSINE)]
+            yield text[near], near - first[text[near]], np.full(len(near), g)
 
     def run(batches):
         for batch in batches:
@@ -204,18 +262,16 @@ def _search(space: np.ndarray, common: np.ndarray, items: list[tuple[int, np.nda
             hits: list[dict[int, float]] = [{} for _ in numbers]
             for lo, part in _batches(numbers):
                 for text, at, segment in windows(part):
-                    for d, b, g in zip(text.tolist(), at.tolist(), segment.tolist(), strict=True):
+                    order = np.lexsort((at, segment, text))
+                    done: tuple = ()
+                    for d, b, g in zip(text[order].tolist(), at[order].tolist(), segment[order].tolist(), strict=True):
                         item_id, words, answer_words = items[owner[g]]
                         own = hits[lo + d]
-                        if own.get(item_id, 0.0) >= 1.0:
+                        if own.get(item_id, 0.0) >= 1.0 or done[:2] == (d, g) and b <= done[2]:
                             continue
-                        passage = part[d][max(0, b * BLOCK - len(words)):(b + span[g]) * BLOCK + len(words)]
-                        if len(words) < SHORT:
-                            score = 1.0 if _holds_run(words, passage) else 0.0
-                        else:
-                            score = common_length(words, passage) / len(words)
-                            if score < exact and not (score >= loose and common_length(answer_words, passage) >= answer * len(answer_words)):
-                                score = 0.0
+                        done = (d, g, b + int(span[g]))  # the passage holds the windows that begin up to there
+                        passage = part[d][max(0, b * BLOCK - len(words)):(b + 2 * int(span[g])) * BLOCK + len(words)]
+                        score = _overlap(words, answer_words, passage, exact, loose, answer)
                         if score > own.get(item_id, 0.0):
                             own[item_id] = score
             found = [(i, item, score) for i, own in enumerate(hits) for item, score in sorted(own.items())]
@@ -232,9 +288,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     numbered = materialize(rows.mapInArrow(_number, f"id {kind}, words binary"))
-    space, common = latent_space(numbered)
     given = F.col("answer") if "answer" in benchmark.columns else F.regexp_extract(F.rtrim("text"), r"([^.!?\n]+[.!?]*)$", 1)
     asked = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), F.col("text").cast("string"), given.cast("string").alias("answer"))
+    words = materialize(asked.mapInArrow(_vocabulary, "number int").distinct()).toPandas()["number"].to_numpy()
+    term_of, space = latent_space(numbered, np.sort(words).astype(np.int64))
     out = None
 
     def searched(group: list) -> DataFrame:
@@ -243,7 +300,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         items = [(r.item_id, w, a if len(a) >= 3 else w[-5:]) for r, w, a in zip(group, texts, answers, strict=True) if len(w)]
         if not items:
             return numbered.limit(0).select(F.col("id").alias("row"), F.lit(0).cast("bigint").alias("item_id"), F.lit(0.0).alias("overlap"))
-        return numbered.mapInArrow(_search(space, common, items, exact, loose, answer), f"row {kind}, item_id bigint, overlap double")
+        return numbered.mapInArrow(_search(term_of, space, items, exact, loose, answer), f"row {kind}, item_id bigint, overlap double")
 
     group: list = []
     for r in asked.toLocalIterator():
