@@ -75,7 +75,7 @@ ORACLES = {
         cut AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 13)) AS j FROM win JOIN firsts USING (k) WHERE m < doc_id)),
         gone AS (SELECT doc_id, list(j) AS js FROM cut GROUP BY doc_id)
         SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
-               sha256(array_to_string(CASE WHEN js IS NULL THEN ws ELSE list_filter(ws, (x, p) -> NOT list_contains(js, p)) END, ' ')) AS kept_sha256
+               sha256(array_to_string(CASE WHEN js IS NULL THEN ws ELSE list_filter(ws, lambda x, p: NOT list_contains(js, p)) END, ' ')) AS kept_sha256
         FROM w LEFT JOIN gone USING (doc_id)""",
     "op7_jaccard_join": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
@@ -89,8 +89,8 @@ ORACLES = {
         FROM w LEFT JOIN n USING (doc_id) JOIN reach ON reach.x = w.doc_id GROUP BY 1, 2""",
     "op8_html_extract": r"""
         WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h1)>', chr(1), 'g') AS t FROM pages),
-        b AS (SELECT page_id, url, list_filter(list_transform(string_split(t, chr(1)), x -> trim(regexp_replace(
+        b AS (SELECT page_id, url, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(regexp_replace(
             replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'),
-            '[ \t\n\r\f\v]+', ' ', 'g'), ' ')), x -> x <> '') AS bs FROM a)
+            '[ \t\n\r\f\v]+', ' ', 'g'), ' ')), lambda x: x <> '') AS bs FROM a)
         SELECT page_id, url, array_to_string(bs, chr(10)) AS text, length(array_to_string(bs, chr(10)))::BIGINT AS n_chars FROM b""",
 }

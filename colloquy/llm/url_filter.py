@@ -47,6 +47,7 @@ def _viterbi(total: int):
     """Best chain of pieces of every token. A piece of n letters without a count has probability 10 / (total * 10**n)."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n")
         known = dict(zip(rows["piece"], rows["n"], strict=True))
         token = rows["token"].iloc[0]
         best = [(0.0, 0)] + [(-math.inf, 0)] * len(token)
@@ -110,4 +111,4 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", texts
 
 def judge_pages(pages: DataFrame) -> DataFrame:
     """All pages, with the words of their titles as texts."""
-    return judge(pages, texts=F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1))
+    return judge(pages, texts=F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1), "&[#a-zA-Z0-9]+;", " "))
