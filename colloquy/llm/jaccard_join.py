@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import shuffles
 from colloquy.llm.components import components
-from colloquy.llm.words import binary_list, chunks, mix, words_of
+from colloquy.llm.words import binary_list, chunks, mix, pack_sorted, unpack_sorted, words_of
 from colloquy.session import materialize
 
 HEAVY = 1 << 18
@@ -38,6 +38,8 @@ BLOCK = 64
 LEADER_TILE = 256
 MEMBER_TILE = 4096
 BUCKET_ENTRIES = 1 << 19
+COLUMNS = ("tok", "sid", "n", "pos", "classes")
+BROADCAST_ROWS = 1_000_000
 ENTRY = np.dtype([("tok", "<u8"), ("sid", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("cls", "u1", (CLASSES,))])
 
 
@@ -98,29 +100,41 @@ def _describe(size: int, num: int, den: int, heavy: np.ndarray, heavy_df: np.nda
     return run
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Byte planes of whole numbers, so that shuffle compression drops the empty ones."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _from_planes(blob: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _index(bits: int):
-    """Index entries of a batch of classes, one row per hash bucket."""
+    """Index entries of the distinct sets of a batch, one row per hash bucket, in columns."""
 
     def run(batches):
         for batch in batches:
+            _, once = np.unique(batch.column("sid").to_numpy(), return_index=True)
+            once = once[batch.column("n").to_numpy()[once] > 0]
+            batch = batch.take(pa.array(once))
             sets = [np.frombuffer(p, np.uint64) for p in batch.column("prefix").to_pylist()]
-            length = np.fromiter(map(len, sets), np.int64, len(sets))
-            if not length.sum():
+            if not sets:
                 continue
-            entry = np.zeros(length.sum(), ENTRY)
-            entry["tok"] = np.concatenate(sets)
-            entry["sid"] = np.repeat(batch.column("sid").to_numpy(), length)
-            entry["n"] = np.repeat(batch.column("n").to_numpy(), length)
-            entry["pos"] = np.arange(len(entry)) - np.repeat(np.cumsum(length) - length, length)
-            classes = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint8).reshape(-1, CLASSES)
-            entry["cls"] = np.repeat(classes, length, axis=0)
-            bucket = (entry["tok"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(entry), np.int64)
-            order = np.argsort(bucket, kind="stable")
-            entry, bucket = entry[order], bucket[order]
+            length = np.fromiter(map(len, sets), np.int64, len(sets))
+            tok, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), length)
+            pos = np.arange(len(tok)) - np.repeat(np.cumsum(length) - length, length)
+            order = np.argsort(tok, kind="stable")
+            tok, of, pos = tok[order], of[order], pos[order].astype(np.uint32)
+            sid, n = batch.column("sid").to_numpy()[of], batch.column("n").to_numpy()[of].astype(np.uint32)
+            classes = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint8).reshape(-1, CLASSES)[of]
+            bucket = (tok >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tok), np.int64)
             cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            parts = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[cut[:-1]]), pa.array([entry[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                names=["bucket", "entries"])
+                [pa.array(bucket[cut[:-1]]), *[pa.array([f(x[i:j]) for i, j in parts], pa.binary()) for f, x in (
+                    (pack_sorted, tok), (np.ndarray.tobytes, sid), (_planes, n), (_planes, pos), (np.ndarray.tobytes, classes))]],
+                names=["bucket", *COLUMNS])
 
     return run
 
@@ -153,10 +167,18 @@ def _candidates(num: int, den: int):
     """Leader-member pairs and pairs across clusters of every index list of a bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        entry = np.frombuffer(b"".join(table["entries"].to_pylist()), ENTRY)
-        _, back, df = np.unique(entry["tok"], return_inverse=True, return_counts=True)
-        entry = entry[df[back] > 1]
+        read = (unpack_sorted, lambda x: np.frombuffer(x, np.int64), lambda x: _from_planes(x, "u4"), lambda x: _from_planes(x, "u4"),
+                lambda x: np.frombuffer(x, np.uint8).reshape(-1, CLASSES))
+        entry = np.zeros(sum(len(x) for x in table["sid"].to_pylist()) // 8, ENTRY)
+        for field, column, f in zip(ENTRY.names, COLUMNS, read, strict=True):
+            entry[field] = np.concatenate([f(x) for x in table[column].to_pylist()])
         entry = entry[np.lexsort((entry["sid"], entry["tok"]))]
+        again = np.zeros(len(entry), bool)  # equal sets of several batches
+        again[1:] = (entry["tok"][1:] == entry["tok"][:-1]) & (entry["sid"][1:] == entry["sid"][:-1])
+        entry = entry[~again]
+        begin = np.flatnonzero(np.diff(entry["tok"], prepend=entry["tok"][:1] + np.uint64(1)))
+        df = np.diff(np.append(begin, len(entry)))
+        entry = entry[np.repeat(df > 1, df)]
         size = len(entry)
         seg = np.concatenate([[0], np.cumsum(entry["tok"][1:] != entry["tok"][:-1])]) if size else np.zeros(0, np.int64)
         cluster = np.full(size, -1, np.int64)
@@ -280,19 +302,20 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heavy_df = np.array([r.df for r in frequent], np.int64)[rank]
     sets = materialize(rows.mapInArrow(_describe(size, num, den, heavy[rank], heavy_df),
                                        "id bigint, n bigint, sid bigint, prefix binary, classes binary"))
-    one = sets.filter("n > 0").groupBy("sid").agg(F.min(F.struct(F.coalesce("id", F.lit(shuffles.LAST_ID)).alias("id"), "n", "prefix", "classes")).alias("r"))
-    classes = one.select("sid", "r.*")
+    place = materialize(sets.filter("n > 0").groupBy("sid").agg(F.min(F.coalesce("id", F.lit(shuffles.LAST_ID))).alias("key")))
     entries = sets.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0] // 8
     bits = shuffles.buckets(spark, entries, BUCKET_ENTRIES).bit_length() - 1
-    pairs = materialize(classes.select("sid", "n", "prefix", "classes").mapInArrow(_index(bits), "bucket bigint, entries binary")
+    pairs = materialize(sets.select("sid", "n", "prefix", "classes").mapInArrow(_index(bits), "bucket bigint, tok binary, sid binary, n binary, pos binary, classes binary")
                         .groupBy("bucket").applyInArrow(_candidates(num, den), "leader bigint, sid bigint").distinct())
 
     tiles = pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_TILE).cast("int").alias("tiles"))
     members = pairs.join(tiles, "leader").select("leader", "sid", F.pmod(F.xxhash64("sid"), "tiles").cast("int").alias("tile"))
     heads = tiles.select("leader", F.col("leader").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-    place = classes.select("sid", F.col("id").alias("key"))
+    full = materialize(members.unionByName(heads).join(place, "sid"))
     texts = rows.select(F.coalesce("id", F.lit(shuffles.LAST_ID)).alias("key"), "text")
-    full = members.unionByName(heads).join(place, "sid").join(texts, "key").select("leader", "tile", "sid", "text")
+    if full.count() <= BROADCAST_ROWS:  # four numbers a row
+        full = F.broadcast(full)
+    full = texts.join(full, "key").select("leader", "tile", "sid", "text")
     parts = shuffles.partitions(spark) * 4
     checked = materialize(
         full.groupBy(F.pmod(F.xxhash64("leader", "tile"), F.lit(parts)).alias("part")).applyInArrow(
