@@ -35,7 +35,7 @@ HEAVY = 1 << 18
 LOCAL_DF = 3
 CLASSES = 16
 BLOCK = 64
-LEADER_TILE = 256
+LEADER_TILE = 512
 MEMBER_TILE = 4096
 BUCKET_ENTRIES = 1 << 19
 COLUMNS = ("tok", "sid", "n", "pos", "classes")
@@ -226,63 +226,84 @@ def _candidates(num: int, den: int):
     return run
 
 
-def _verify(size: int):
-    """Exact intersection with the leader, and the difference to it, of every member of a leader's tile."""
+def derived_links(n: np.ndarray, comp: np.ndarray, diffs: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links between members of one leader that are in different components, from their differences to the leader.
+
+    For a member outside the largest component, one link to each other component it is linked with.
+    """
+    names, kind, count = np.unique(comp, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return []
+    out: list[tuple[int, int]] = []
+    size = np.fromiter(map(len, diffs), np.int64, len(diffs))
+    tokens, back = np.unique(np.concatenate(diffs), return_inverse=True)
+    by_token = np.argsort(back, kind="stable")
+    holder, edge = np.repeat(np.arange(len(n)), size)[by_token], np.searchsorted(back[by_token], np.arange(len(tokens) + 1))
+    begin = np.cumsum(size) - size
+    for y in np.flatnonzero(kind != count.argmax()):
+        mine = back[begin[y]:begin[y] + size[y]]
+        shared = np.zeros(len(n), np.int64)
+        for i, k in _expand(edge[mine + 1] - edge[mine]):
+            shared += np.bincount(holder[edge[mine[i]] + k], minlength=len(n))
+        total = n + n[y]
+        both = (total - (size + size[y] - 2 * shared)) // 2
+        linked = np.flatnonzero((both * den >= num * (total - both)) & (kind != kind[y]))
+        out += [(int(y), int(x)) for x in linked[np.unique(kind[linked], return_index=True)[1]]]
+    return out
+
+
+def _verify(size: int, num: int, den: int):
+    """Links of a leader's members: all of them where the leader has one tile of members, else those with the leader, and
+    every member's difference to it."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("leader", "ascending"), ("tile", "ascending")])
-        leader, tile, sid = (table[c].to_numpy() for c in ("leader", "tile", "sid"))
+        leader, tile, tiles, sid = (table[c].to_numpy() for c in ("leader", "tile", "tiles", "sid"))
         texts = binary_list(table["text"].combine_chunks())
         cut = np.flatnonzero((np.diff(leader) != 0) | (np.diff(tile) != 0)) + 1
-        out: dict[str, list] = {c: [] for c in ("leader", "sid", "n_leader", "n", "both", "diff")}
+        out: dict[str, list] = {c: [] for c in ("leader", "sid", "n_leader", "n", "linked", "diff")}
+
+        def add(*row) -> None:
+            for c, v in zip(out, row, strict=True):
+                out[c].append(v)
+
         for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(leader)], strict=True):
             sets = {}
             for x, own in zip(sid[i:j].tolist(), document_sets(texts[i:j], size), strict=True):
                 if set_id(own) == x:  # rows that repeat an id with another text are not this set
                     sets[x] = own
-            head = sets.pop(int(leader[i]))
-            for x, own in sets.items():
-                diff = np.setxor1d(head, own, assume_unique=True)
-                row = (int(leader[i]), x, len(head), len(own), (len(head) + len(own) - len(diff)) // 2, diff.tobytes())
-                for c, v in zip(out, row, strict=True):
-                    out[c].append(v)
-        return pa.table([pa.array(v, pa.binary() if c == "diff" else pa.int64()) for c, v in out.items()], names=list(out))
+            first = int(leader[i])
+            head = sets.pop(first)
+            diffs = [np.setxor1d(head, own, assume_unique=True) for own in sets.values()]
+            n = np.array([len(own) for own in sets.values()], np.int64)
+            both = (len(head) + n - np.array([len(d) for d in diffs], np.int64)) // 2
+            linked = both * den >= num * (len(head) + n - both)
+            names = list(sets)
+            if tiles[i] > 1:
+                for x, m, hit, diff in zip(names, n.tolist(), linked.tolist(), diffs, strict=True):
+                    add(first, x, len(head), m, hit, diff.tobytes())
+                continue
+            for x in np.flatnonzero(linked):
+                add(first, names[x], len(head), int(n[x]), True, None)
+            for y, x in derived_links(n, np.where(linked, -1, np.arange(len(n))), diffs, num, den):
+                add(names[y], names[x], int(n[y]), int(n[x]), True, None)
+        kinds = {"diff": pa.binary(), "linked": pa.bool_()}
+        return pa.table([pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()], names=list(out))
 
     return run
 
 
 def _across(num: int, den: int):
-    """Links between members of one leader that are in different components, from their differences to the leader."""
+    """Links between components among the members of tiles of one leader."""
 
     def run(table: pa.Table) -> pa.Table:
-        edges = [np.zeros((0, 2), np.int64)]
         leader, tile, sid, n, comp = (table[c].to_numpy() for c in ("leader", "tile", "sid", "n", "comp"))
         diffs = [np.frombuffer(x, np.uint64) for x in table["diff"].to_pylist()]
         order = np.lexsort((tile, leader))
         cut = np.flatnonzero((np.diff(leader[order]) != 0) | (np.diff(tile[order]) != 0)) + 1
-        for at in np.split(order, cut):
-            own, size = [diffs[i] for i in at], np.array([len(diffs[i]) for i in at], np.int64)
-            names, kind, count = np.unique(comp[at], return_inverse=True, return_counts=True)
-            if len(names) < 2:
-                continue
-            tokens, back = np.unique(np.concatenate(own), return_inverse=True)
-            holder = np.repeat(np.arange(len(at)), size)
-            by_token = np.argsort(back, kind="stable")
-            holder, edge = holder[by_token], np.searchsorted(back[by_token], np.arange(len(tokens) + 1))
-            begin = np.cumsum(size) - size
-            for y in np.flatnonzero(kind != count.argmax()):
-                mine = back[begin[y]:begin[y] + size[y]]
-                shared = np.zeros(len(at), np.int64)
-                for i, k in _expand(edge[mine + 1] - edge[mine]):
-                    shared += np.bincount(holder[edge[mine[i]] + k], minlength=len(at))
-                apart = size + size[y] - 2 * shared
-                total = n[at] + n[at[y]]
-                both = (total - apart) // 2
-                linked = np.flatnonzero((both * den >= num * (total - both)) & (kind != kind[y]))
-                linked = linked[np.unique(kind[linked], return_index=True)[1]]
-                edges.append(np.stack([np.full(len(linked), sid[at[y]]), sid[at[linked]]], 1))
-        found = np.concatenate(edges)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+        found = [(int(sid[at[y]]), int(sid[at[x]])) for at in np.split(order, cut)
+                 for y, x in derived_links(n[at], comp[at], [diffs[i] for i in at], num, den)]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     return run
 
@@ -309,22 +330,23 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         .groupBy("bucket").applyInArrow(_candidates(num, den), "leader bigint, sid bigint").distinct())
 
     tiles = pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_TILE).cast("int").alias("tiles"))
-    members = pairs.join(tiles, "leader").select("leader", "sid", F.pmod(F.xxhash64("sid"), "tiles").cast("int").alias("tile"))
-    heads = tiles.select("leader", F.col("leader").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    members = pairs.join(tiles, "leader").select("leader", "sid", F.pmod(F.xxhash64("sid"), "tiles").cast("int").alias("tile"), "tiles")
+    heads = tiles.select("leader", F.col("leader").alias("sid"), "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     full = materialize(members.unionByName(heads).join(place, "sid"))
     texts = rows.select(F.coalesce("id", F.lit(shuffles.LAST_ID)).alias("key"), "text")
     if full.count() <= BROADCAST_ROWS:  # four numbers a row
         full = F.broadcast(full)
-    full = texts.join(full, "key").select("leader", "tile", "sid", "text")
+    full = texts.join(full, "key").select("leader", "tile", "tiles", "sid", "text")
     parts = shuffles.partitions(spark) * 4
     checked = materialize(
         full.groupBy(F.pmod(F.xxhash64("leader", "tile"), F.lit(parts)).alias("part")).applyInArrow(
-            _verify(size), "leader bigint, sid bigint, n_leader bigint, n bigint, both bigint, diff binary"))
-    links = checked.filter(f"both * {den} >= {num} * (n_leader + n - both)").select(F.col("leader").alias("a"), F.col("sid").alias("b"))
+            _verify(size, num, den), "leader bigint, sid bigint, n_leader bigint, n bigint, linked boolean, diff binary"))
+    links = checked.filter("linked").select(F.col("leader").alias("a"), F.col("sid").alias("b"))
     found = components(links)
 
-    group = checked.select("leader", "sid", "n", "diff").unionByName(
-        checked.groupBy("leader").agg(F.first("n_leader").alias("n")).select("leader", F.col("leader").alias("sid"), "n", F.lit(b"").alias("diff")))
+    wide = checked.filter("diff is not null")
+    group = wide.select("leader", "sid", "n", "diff").unionByName(
+        wide.groupBy("leader").agg(F.first("n_leader").alias("n")).select("leader", F.col("leader").alias("sid"), "n", F.lit(b"").alias("diff")))
     group = group.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
     mixed = (group.groupBy("leader").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
              .select("leader", F.ceil(F.col("rows") / MEMBER_TILE).cast("int").alias("t")))
