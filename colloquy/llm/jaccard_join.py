@@ -172,7 +172,8 @@ def _candidates(num: int, den: int):
         entry = np.zeros(sum(len(x) for x in table["sid"].to_pylist()) // 8, ENTRY)
         for field, column, f in zip(ENTRY.names, COLUMNS, read, strict=True):
             entry[field] = np.concatenate([f(x) for x in table[column].to_pylist()])
-        entry = entry[np.lexsort((entry["sid"], entry["tok"]))]
+        # the set with the fewest rarer shingles leads a list: among near copies that is the least edited one, in all lists
+        entry = entry[np.lexsort((entry["sid"], entry["pos"], entry["tok"]))]
         again = np.zeros(len(entry), bool)  # equal sets of several batches
         again[1:] = (entry["tok"][1:] == entry["tok"][:-1]) & (entry["sid"][1:] == entry["sid"][:-1])
         entry = entry[~again]
