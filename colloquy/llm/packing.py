@@ -99,11 +99,12 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, max_
         live = under[(fill[under] > 0) & (fill[under] < capacity)]
         if (capacity - fill[live]).sum() < capacity:
             break
-        live = live[~stuck[live]]
-        if not len(live):
+        free = live[~stuck[live]]
+        if not len(free):
             break
-        donor = live[fill[live].argmin()]
+        donor = free[fill[free].argmin()]
         mine, gap = np.flatnonzero(where == donor), capacity - fill[where]
+        gap[fill[where] < fill[donor]] = -1  # giving to a less filled bin would lower the sum of squares
         gap[mine] = -1
         offers = [(int(size[i]), (i,)) for i in mine]
         ones = {}
@@ -113,7 +114,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, max_
         two = [(a + b, (i, j)) for x, (a, i) in enumerate(ordered) for b, j in ordered[x + 1:]]
         two += [(2 * a, tuple(mine[size[mine] == a][:2])) for a, _ in ordered if (size[mine] == a).sum() > 1]
         best = (0, (), ())
-        others = live[live != donor]
+        others = live[(live != donor) & (fill[live] >= fill[donor])]
         gaps = capacity - fill[others]
         for a, give in offers:  # moves
             fits = np.flatnonzero(gaps >= a)

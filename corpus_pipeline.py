@@ -50,9 +50,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of PASSAGE_WORDS words or more that an earlier one holds; emptied documents go."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    found = remove_repeats(docs, window=PASSAGE_WORDS, as_words=False, carry=rest)
+    safe = {c: f"_rest{i}" for i, c in enumerate(rest)}
+    found = remove_repeats(docs.select("doc_id", "text", *[F.col(c).alias(s) for c, s in safe.items()]), window=PASSAGE_WORDS, as_words=False, carry=list(safe.values()))
     found = found.filter("size(removed) = 0 or kept rlike '[^ \\t-\\r]'")
-    found = found.withColumnRenamed("id", "doc_id").withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    found = found.select(F.col("id").alias("doc_id"), F.col("kept").alias("text"), *[F.col(s).alias(c) for c, s in safe.items()],
+                         F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
     return found.select(*docs.columns)
 
 
