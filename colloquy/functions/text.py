@@ -111,23 +111,26 @@ def looks_like_name(c) -> Column:
 
 # ------------------------------------------------------------------ cleaning
 def strip_fillers(c, fillers=rules.FILLERS) -> Column:
-    """Drop filler words and two-word filler phrases; joins the rest with one space.
+    """Drop filler words and filler phrases of any length; joins the rest with one space.
 
-    A phrase is matched exactly, a single word after trailing punctuation is cut.
+    A phrase is matched exactly, a single word after trailing punctuation is cut. Of overlapping phrases all words go.
     """
-    single = [f for f in fillers if " " not in f]
-    pairs = [tuple(f.split()) for f in fillers if len(f.split()) == 2]
-    if any(len(f.split()) > 2 for f in fillers) or {a for a, _ in pairs} & {b for _, b in pairs}:
-        raise ValueError("filler phrases must have at most two words and must not chain")
-    phrases = [" ".join(p) for p in pairs]
+    split = [f.split() for f in fillers]
+    single = [f[0] for f in split if len(f) == 1]
+    phrases: dict[int, list[str]] = {}
+    for f in split:
+        if len(f) > 1:
+            phrases.setdefault(len(f), []).append(" ".join(f))
 
     def kept(w):
         def keep(word, i):
             low = F.lower(word)
-            with_next = F.concat_ws(" ", low, F.lower(F.get(w, i + 1)))
-            with_prev = F.concat_ws(" ", F.lower(F.get(w, i - 1)), low)
-            bare = F.rtrim(low, F.lit(".,!?;:"))
-            return ~(with_next.isin(phrases) | with_prev.isin(phrases) | bare.isin(single))
+            drop = F.rtrim(low, F.lit(".,!?;:")).isin(single)
+            for size, listed in phrases.items():
+                for back in range(size):
+                    parts = [low if k == back else F.lower(F.get(w, i + (k - back))) for k in range(size)]
+                    drop = drop | F.concat_ws(" ", *parts).isin(listed)
+            return ~drop
 
         return F.array_join(F.filter(w, keep), " ")
 

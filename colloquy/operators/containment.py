@@ -136,9 +136,11 @@ def running_text(segments: DataFrame, lower: bool = True, words: int = 3) -> Dat
 def found_in_meeting(needles: DataFrame, needle: str, segments: DataFrame, lower: bool = True, span: int = 4) -> DataFrame:
     """Distinct (meeting_id, needle) that occur in the meeting's text read as one string.
 
-    Exact for needles of up to `span` words.
+    `span` words are looked at together, or as many as the longest needle has.
     """
     distinct = needles.select("meeting_id", needle).filter(F.length(needle) > 0).distinct()
+    longest = distinct.agg(F.max(F.size(F.split(F.trim(needle), r"\s+")))).first()[0]
+    span = max(span, longest or 0)
     n = _need(distinct, needle)
     h = _offers(running_text(segments, lower, span - 1), n, "text", ["meeting_id"], ["meeting_id"], span)
     cond = [n["meeting_id"] == h["meeting_id"], n["_need"] == h["_need"], F.contains(h["_span"], n[needle])]

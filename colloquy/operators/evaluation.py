@@ -378,12 +378,12 @@ def target_scores(counts: DataFrame) -> DataFrame:
     return s.withColumn("overall_score", (F.col("decision_score") + F.col("action_score") + F.col("risk_score")) / 3)
 
 
-def grade_extraction(scored: DataFrame, ranges: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """Grade by the overall score, and whether every count lies in its expected range."""
-    ranges = ranges or {"decisions_count": (8, 1_000_000), "actions_count": (15, 35), "risks_count": (15, 25)}
+def grade_extraction(scored: DataFrame, ranges: dict[str, tuple[int, int | None]] | None = None) -> DataFrame:
+    """Grade by the overall score, and whether every count lies in its expected range (None: no upper bound)."""
+    ranges = ranges or {"decisions_count": (8, None), "actions_count": (15, 35), "risks_count": (15, 25)}
     ok = F.lit(True)
     for c, (lo, hi) in ranges.items():
-        ok = ok & F.col(c).between(lo, hi)
+        ok = ok & (F.col(c) >= lo) & (F.lit(True) if hi is None else F.col(c) <= hi)
     o = F.col("overall_score")
     return scored.withColumn(
         "quality_grade", F.when(o >= 0.8, "EXCELLENT").when(o >= 0.6, "GOOD").when(o >= 0.4, "FAIR").otherwise("POOR")

@@ -43,6 +43,10 @@ def score_decision_segments(segments: DataFrame) -> DataFrame:
     )
 
 
+#: item_id = segment, pattern (below 8) and match (below 2**28) in one number; any INT segment fits.
+MATCH_STEP = 1 << 28
+ITEM_STEP = 1 << 31
+
 def extract_decisions(segments: DataFrame) -> DataFrame:
     """Default decision path: scored segments with title, category, ±1 context and numbers."""
     near = near_window(
@@ -111,7 +115,7 @@ def extract_actions(segments: DataFrame, patterns=rules.ACTION_PATTERNS, min_cha
     )
     return kept.select(
         "meeting_id",
-        (F.col("seg_id") * 10000 + F.col("pattern_no") * 1000 + F.col("match_no")).cast("long").alias("item_id"),
+        (F.col("seg_id").cast("long") * ITEM_STEP + F.col("pattern_no") * MATCH_STEP + F.col("match_no")).alias("item_id"),
         "seg_id",
         F.col("a").alias("action"),
         tx.clean_owner(F.col("o"), F.col("_who")).alias("owner"),
@@ -233,7 +237,7 @@ def _texts(first: int, last: int):
 def extract_decisions_from_intents(segments: DataFrame) -> DataFrame:
     """Decision sentences (top-up below 3 per meeting) with extended text and participants ±3."""
     rows = decision_participants(
-        extend_text(segments, 3, rules.LEGACY_CONTINUATION), "text", 3, rules.GROUP_WORDS_LEGACY, 1_000
+        extend_text(segments, 3, rules.LEGACY_CONTINUATION), "text", 3, rules.GROUP_WORDS_LEGACY, None
     )
     s = _intent_sentences(rows, "decision", 3, rules.TOPUP_DECISION, 0.7)
     # the tail added to the segment is what extends the sentence too

@@ -38,7 +38,7 @@ def extend_text(segments: DataFrame, ahead: int = 2, connectors=rules.CONTINUATI
 
 
 def decision_participants(
-    rows: DataFrame, text: str = "decision_text", reach: int = 2, group_words=rules.GROUP_WORDS, limit: int = 5
+    rows: DataFrame, text: str = "decision_text", reach: int = 2, group_words=rules.GROUP_WORDS, limit: int | None = 5
 ) -> DataFrame:
     """Own speaker, plus the speakers around it where the text speaks for a group."""
     near = near_window(
@@ -46,7 +46,8 @@ def decision_participants(
     )
     own = F.array_compact(F.array("speaker"))
     group = F.lower(text).rlike(group_words)
-    people = F.when(group, F.slice(F.array_distinct(F.concat(own, "_near")), 1, limit)).otherwise(own)
+    around = F.array_distinct(F.concat(own, "_near"))
+    people = F.when(group, around if limit is None else F.slice(around, 1, limit)).otherwise(own)
     return near.withColumn(
         "participants", F.when(F.size(people) > 0, people).otherwise(F.array(F.lit("Meeting participants")))
     ).drop("_near")

@@ -70,6 +70,13 @@ def extract_all(segments: DataFrame) -> Extraction:
     links = materialize(pv.link_provenance_lexical(raw, segments))
     boosted = pv.boost_confidence(raw.filter("kind = 'decision'"), links)
     items = ex.filter_confidence(boosted.unionByName(raw.filter("kind <> 'decision'")))
+
+    def kept(rows: DataFrame, kind: str) -> DataFrame:
+        """Rows of one kind that are among the items, with the items' confidence."""
+        own = items.filter(F.col("kind") == kind).select("meeting_id", "item_id", "confidence")
+        return rows.drop("confidence").join(own, ["meeting_id", "item_id"])
+
+    decisions, actions, risks = kept(decisions, "decision"), kept(actions, "action"), kept(risks, "risk")
     summaries = sm.extractive_summary(segments)
     all_summaries = materialize(segments.select("meeting_id").distinct().join(summaries, "meeting_id", "left").na.fill("", ["summary"]))
     counts = ev.extraction_counts(items, all_summaries)

@@ -81,7 +81,7 @@ for _no, (_p, _og, _ag) in enumerate(rules.ACTION_PATTERNS):
         f"SELECT meeting_id, seg_id, speaker, text, {_no} AS pattern_no, {_o} AS o, regexp_replace({strip(f'unnest({_a})')}, '[.,]+$', '') AS a, unnest(range(len({_a}))) AS match_no FROM seg"
     )
 CTES["actions"] = f"""
-SELECT meeting_id, seg_id * 10000 + pattern_no * 1000 + match_no AS item_id, seg_id, a AS action, {sql_owner('o', "coalesce(speaker, 'Unknown')")} AS owner,
+SELECT meeting_id, seg_id::BIGINT * 2147483648 + pattern_no * 268435456 + match_no AS item_id, seg_id, a AS action, {sql_owner('o', "coalesce(speaker, 'Unknown')")} AS owner,
    {sql_due('text')} AS due_date, {sql_priority('text')} AS priority, 0.85::DOUBLE AS confidence
 FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id, lower(a) ORDER BY seg_id, pattern_no, match_no) AS rn
       FROM ({' UNION ALL '.join(_pats)}) m WHERE length(a) >= 10 AND o <> '') x WHERE rn = 1"""

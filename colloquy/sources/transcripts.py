@@ -1,7 +1,7 @@
 """Transcript files (text, JSON, subtitles) to the segments table.
 
-Files arrive as rows (meeting_id, content). scan_transcripts drops files above the
-size limit, so the lines of one file are a group of known, small size.
+Files arrive as rows (meeting_id, content). A size limit is an option; refused_files gives what it or broken JSON
+keeps out, so that no file vanishes without a row.
 """
 
 from __future__ import annotations
@@ -12,16 +12,28 @@ from pyspark.sql import functions as F
 from colloquy import rules
 from colloquy.functions import text as tx
 
-MAX_BYTES = 50 * 1024 * 1024
 SEGMENT_COLUMNS = ["meeting_id", "seg_id", "speaker", "ts_raw", "start_s", "text"]
 
 
-def scan_transcripts(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(meeting_id, name, size_mb, content, path) of .txt, .json and .srt files up to max_bytes."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,json,srt}").option("recursiveFileLookup", "true").load(path)
-    )
-    return files_table(files.filter(F.col("length") <= max_bytes))
+def scan_transcripts(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """(meeting_id, name, size_mb, content, path) of .txt, .json and .srt files, up to max_bytes if that is given."""
+    files = _files(spark, path)
+    return files_table(files if max_bytes is None else files.filter(F.col("length") <= max_bytes))
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,json,srt}").option("recursiveFileLookup", "true").load(path)
+
+
+def refused_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """(path, size_mb, reason) of files that scanning or parsing leaves out: over max_bytes, or JSON that cannot be read."""
+    files = _files(spark, path)
+    size = F.round(F.col("length") / (1024 * 1024), 2).alias("size_mb")
+    large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    over = files.filter(large).select("path", size, F.lit("over the size limit").alias("reason"))
+    parsed = F.try_parse_json(F.decode("content", "UTF-8"))
+    broken = files.filter(~large & F.lower("path").endswith(".json") & parsed.isNull()).select("path", size, F.lit("not readable as JSON").alias("reason"))
+    return over.unionByName(broken)
 
 
 def files_table(files: DataFrame) -> DataFrame:
@@ -152,7 +164,7 @@ def segments_from_srt(files: DataFrame) -> DataFrame:
     cues = F.filter(blocks, lambda b: F.size(b) >= 2)
     rows = files.select("meeting_id", F.posexplode(cues).alias("seg_id", "_b"))
     second = F.get("_b", F.lit(1))
-    body = F.array_join(F.filter(F.transform(F.slice("_b", 3, 100_000_000), tx.strip), lambda x: x != ""), " ")
+    body = F.array_join(F.filter(F.transform(F.slice("_b", F.lit(3), F.size("_b")), tx.strip), lambda x: x != ""), " ")
     rows = rows.select("meeting_id", "seg_id", F.when(second.rlike("^" + rules.SRT_ARROW), second).alias("ts_raw"), body.alias("_t"))
     t = F.col("_t")
     speaker = F.coalesce(tx.extract(t, rules.SRT_BRACKET, 1), tx.extract(t, rules.SRT_COLON, 1))

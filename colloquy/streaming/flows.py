@@ -10,18 +10,18 @@ from colloquy.functions import text as tx
 from colloquy.operators import evaluation as ev
 from colloquy.operators import extraction as ex
 from colloquy.sources.results import latest_status
-from colloquy.sources.transcripts import MAX_BYTES, files_table, parse_transcripts
+from colloquy.sources.transcripts import files_table, parse_transcripts
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def stream_files(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
+def stream_files(spark: SparkSession, path: str, max_files: int = 10_000, max_bytes: int | None = None) -> DataFrame:
     """New transcript files as they arrive."""
     files = (
         spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", "*.{txt,json,srt}")
         .option("maxFilesPerTrigger", max_files).load(path)
     )
-    return files_table(files.filter(F.col("length") <= MAX_BYTES))
+    return files_table(files if max_bytes is None else files.filter(F.col("length") <= max_bytes))
 
 
 def stream_transcripts(spark: SparkSession, path: str, out: str, checkpoint: str, **trigger) -> StreamingQuery:
