@@ -35,7 +35,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             texts = binary_list(batch.column(3))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array([len((t or b"").split()) for t in texts], pa.int64()),
-                                              pa.array([len(ids_of.text_ids(t)) // 4 for t in texts], pa.int64())], names=["doc_id", "source", "lang", "words", "tokens"])
+                                              pa.array([len(x) // 4 for x in ids_of.texts_ids(texts)], pa.int64())], names=["doc_id", "source", "lang", "words", "tokens"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, lang string, words bigint, tokens bigint")
 

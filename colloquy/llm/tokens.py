@@ -1,21 +1,20 @@
 """Token ids by a public word-level BPE file, with a bounded cache of words.
 
 The tokenizer lower-cases, drops white space and never joins characters across it, so a text's ids are those of its
-words one after another. Most words repeat: a task looks them up and asks the tokenizer only for new ones.
+words one after another. Most words repeat: a task looks them up and hands the tokenizer only the new words of some
+texts, all in one call, whose character offsets tell the words apart again.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
-WORD_FILE = "word_bpe_49k.json"
-CACHE_WORDS = 300_000
+from colloquy.llm.words import chunks
 
-#: What the tokenizer splits plain Latin text into; other words go to it whole.
-PLAIN = re.compile(r"[!-~ß-öø-ÿ]+")
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+WORD_FILE = "word_bpe_49k.json"
+CACHE_WORDS = 600_000
+CHUNK = 1 << 22
+CALL_WORDS = 1 << 16
 
 
 class WordIds(dict):
@@ -26,35 +25,42 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if b"<|" in word or not PLAIN.fullmatch(text := text.lower()):
-            ids = self.encode(word.decode())
-        else:
-            ids = b""
-            for part in PARTS.findall(text):
-                own = self.parts.get(part)
-                if own is None:
-                    own = self.encode(part)
-                    if len(self.parts) < CACHE_WORDS:
-                        self.parts[part] = own
-                ids += own
-        if len(self) < CACHE_WORDS:
-            self[word] = ids
-        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, words: list[bytes]) -> None:
+        """Ids of new words; those with characters of the tokenizer's own marks go to it one by one."""
+        for w in words:
+            if b"<|" in w:
+                self[w] = self.encode(w.decode()).tobytes()
+        words = [w for w in words if b"<|" not in w]
+        for lo in range(0, len(words), CALL_WORDS):
+            part = words[lo:lo + CALL_WORDS]
+            texts = b" ".join(part).decode()
+            found = self.tokenizer.encode(texts, add_special_tokens=False)
+            begin = np.fromiter(map(len, texts.split(" ")), np.int64, len(part)) + 1
+            begin = np.cumsum(begin) - begin
+            at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
+            cut = np.append(np.searchsorted(at, begin), len(at)) * 4
+            ids = np.asarray(found.ids, "<u4").tobytes()
+            self.update(zip(part, [ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], strict=True))
+
+    def texts_ids(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of UTF-8 texts; null counts as empty. Beyond CACHE_WORDS, new words are kept for these texts only."""
+        out = []
+        for lo, hi in chunks(texts, CHUNK):
+            split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts[lo:hi]]
+            new = [w for w in set().union(*split) if w not in self]
+            self.learn(new)
+            out += [b"".join(map(self.__getitem__, words)) for words in split]
+            if len(self) > CACHE_WORDS:
+                for w in new:
+                    del self[w]
+        return out
 
     def text_ids(self, text: bytes | None) -> bytes:
-        """Ids of a UTF-8 text; null counts as empty."""
-        if not text:
-            return b""
-        if b"<|" not in text:
-            text = text.lower()
-        return b"".join([self[w] for w in text.split()])
+        return self.texts_ids([text])[0]
 
 
 _loaded: dict[str, WordIds] = {}
