@@ -39,8 +39,8 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ids_of = word_ids(path)
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, text in enumerate(binary_list(batch.column(1))):
-                ids = ids_of.text_ids(text) + b"\0\0\0\0"
+            for i, ids in enumerate(ids_of.texts_ids(binary_list(batch.column(1)))):
+                ids += b"\0\0\0\0"
                 for k in range(-(-len(ids) // (4 * capacity))):
                     own = ids[4 * capacity * k:4 * capacity * (k + 1)]
                     row.append(i)
