@@ -27,6 +27,7 @@ CAPACITY = 2048
 GROUP = 8192
 OPEN_BELOW = 0.998
 MAX_STEPS = 4000
+PAIR_REACH = 64
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None,
@@ -106,40 +107,40 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, max_
         mine, gap = np.flatnonzero(where == donor), capacity - fill[where]
         gap[fill[where] < fill[donor]] = -1  # giving to a less filled bin would lower the sum of squares
         gap[mine] = -1
-        offers = [(int(size[i]), (i,)) for i in mine]
         ones = {}
         for i in mine:
             ones.setdefault(int(size[i]), i)
-        ordered = sorted(ones.items())[:32]
-        two = [(a + b, (i, j)) for x, (a, i) in enumerate(ordered) for b, j in ordered[x + 1:]]
-        two += [(2 * a, tuple(mine[size[mine] == a][:2])) for a, _ in ordered if (size[mine] == a).sum() > 1]
+        ordered = sorted(ones.items())
+        few = ordered[:32]
+        two = {a + b: (i, j) for x, (a, i) in enumerate(few) for b, j in few[x + 1:]}
+        two |= {2 * a: tuple(mine[size[mine] == a][:2]) for a, _ in few if (size[mine] == a).sum() > 1}
+        offers = two | {a: (i,) for a, i in ordered}
+        single, offered = np.array([a for a, _ in ordered]), np.array(sorted(offers))
         best = (0, (), ())
         others = live[(live != donor) & (fill[live] >= fill[donor])]
         gaps = capacity - fill[others]
-        for a, give in offers:  # moves
-            fits = np.flatnonzero(gaps >= a)
-            if len(fits) and a > best[0]:
-                best = (a, give, (int(others[fits[gaps[fits].argmin()]]),))
-        for a, give in offers + two:  # for one document of another bin
-            if a <= best[0]:
-                continue
-            win = a - size
-            ok = np.flatnonzero((win > best[0]) & (win <= gap))
-            if len(ok):
-                take = ok[win[ok].argmax()]
-                best = (int(win[take]), give, (int(where[take]), take))
-        if not best[0]:  # one for two documents of a bin, tried on the fullest bins
-            for target in others[np.argsort(gaps)][:64]:
-                own = np.flatnonzero(where == target)
-                if not 2 <= len(own) <= 64:
-                    continue
-                pair = size[own][:, None] + size[own][None, :]
-                pair[np.tril_indices(len(own))] = capacity * 4
-                for a, give in offers:
-                    win = np.where((a - pair <= capacity - fill[target]), a - pair, 0)
-                    if win.max() > best[0]:
-                        x, y = np.unravel_index(win.argmax(), win.shape)
-                        best = (int(win.max()), give, (int(target), own[x], own[y]))
+        fits = single[single <= gaps.max(initial=-1)]
+        if len(fits):  # move
+            a = int(fits[-1])
+            best = (a, offers[a], (int(others[np.where(gaps >= a, gaps, capacity + 1).argmin()]),))
+        most = np.searchsorted(offered, size + gap, side="right") - 1  # for one document of another bin: the most it may be replaced by
+        win = np.where(most >= 0, offered[most] - size, 0)
+        take = int(win.argmax())
+        if win[take] > best[0]:
+            best = (int(win[take]), offers[int(offered[most[take]])], (int(where[take]), take))
+        if not best[0]:  # one for two documents of a bin
+            order = np.argsort(where, kind="stable")
+            for apart in range(1, PAIR_REACH):
+                same = np.flatnonzero(where[order[apart:]] == where[order[:-apart]])
+                if not len(same):
+                    break
+                x, y = order[same], order[same + apart]
+                pair = size[x] + size[y]
+                most = np.searchsorted(single, pair + gap[x], side="right") - 1
+                win = np.where(most >= 0, single[most] - pair, 0)
+                k = int(win.argmax())
+                if win[k] > best[0]:
+                    best = (int(win[k]), offers[int(single[most[k]])], (int(where[x[k]]), x[k], y[k]))
         if not best[0]:
             stuck[donor] = True
             continue
