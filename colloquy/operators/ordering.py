@@ -31,6 +31,14 @@ def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
     return df.withColumn(_BLK, F.floor(F.col(order) / block).cast("long"))
 
 
+def blocks_by_count(df: DataFrame, keys: list[str], order: str, rows: int = BLOCK) -> DataFrame:
+    """Blocks of equal width per key, as many as its rows fill, so that sparse order values do not make a block per row."""
+    o = F.col(order)
+    span = F.max(o) - F.min(o) + 1
+    width = df.groupBy(*keys).agg(F.min(o).alias("_lo"), F.greatest(F.lit(1.0), span / F.ceil(F.count(F.lit(1)) / rows)).alias("_width"))
+    return df.join(width, keys).withColumn(_BLK, F.floor((o - F.col("_lo")) / F.col("_width")).cast("long")).drop("_lo", "_width")
+
+
 def _in_block(keys, order, ties):
     return Window.partitionBy(*keys, _BLK).orderBy(order, *ties)
 
@@ -62,10 +70,10 @@ def running_sums(
 
 
 def with_position(
-    df: DataFrame, keys: list[str], order: str, name: str = "pos", ties: tuple[str, ...] = (), block: int = BLOCK
+    df: DataFrame, keys: list[str], order: str, name: str = "pos", ties: tuple[str, ...] = (), block: int | None = BLOCK
 ) -> DataFrame:
-    """Dense 0-based position of a row inside its key."""
-    b = _blocked(df, order, block)
+    """Dense 0-based position of a row inside its key. Sparse order columns, such as item ids, take block=None: blocks by count."""
+    b = blocks_by_count(df, keys, order) if block is None else _blocked(df, order, block)
     counts = b.groupBy(*keys, _BLK).agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select(*keys, _BLK, F.coalesce(F.sum("_n").over(_before_block(keys)), F.lit(0)).alias("_off"))
     local = b.withColumn("_rn", F.row_number().over(_in_block(keys, order, ties)))

@@ -3,7 +3,7 @@ so its size does not depend on how much one meeting holds."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
@@ -45,7 +45,7 @@ def owner_bucket(owner) -> Column:
 def actions_by_owner(actions: DataFrame) -> DataFrame:
     """Actions numbered inside their owner's bucket; unclear owners share one bucket."""
     rows = actions.withColumn("owner_bucket", owner_bucket(F.col("owner")))
-    return with_position(rows, ["meeting_id", "owner_bucket"], "item_id", "_p").withColumn("action_no", F.col("_p") + 1).drop("_p")
+    return with_position(rows, ["meeting_id", "owner_bucket"], "item_id", "_p", block=None).withColumn("action_no", F.col("_p") + 1).drop("_p")
 
 
 def _lines(df: DataFrame, section: int, group, number, lines: list[Column]) -> DataFrame:
@@ -69,9 +69,9 @@ def markdown_report(summaries: DataFrame, decisions: DataFrame, actions: DataFra
         "meeting_id", F.lit(section).alias("section"), none.alias("grp"), zero.cast("long").alias("item_no"), zero.alias("line_no"), F.lit(text).alias("line"),
     )
 
-    head = _lines(summaries, 0, none, zero, [F.lit("# Meeting Intelligence Report"), F.lit("## Summary"), F.coalesce("summary", F.lit("No summary available."))])
+    head = _lines(summaries, 0, none, zero, [F.lit("# Meeting Report"), F.lit("## Summary"), F.coalesce("summary", F.lit("No summary available."))])
 
-    d = with_position(decisions, ["meeting_id"], "item_id", "_p")
+    d = with_position(decisions, ["meeting_id"], "item_id", "_p", block=None)
     people = F.array_join(F.filter("participants", lambda p: p.isNotNull()), ", ")
     named = F.concat(F.lit("**"), has(d, "title"), F.lit("**: "))
     d = _lines(d, 1, none, F.col("_p") + 1, [
@@ -93,8 +93,12 @@ def markdown_report(summaries: DataFrame, decisions: DataFrame, actions: DataFra
         say("   - Priority: ", shown_priority), badge,
     ])
 
-    r = risks.withColumn("_o", risk_order(has(risks, "priority")).cast("long") * F.lit(2**42) + F.col("item_id"))
-    r = with_position(r, ["meeting_id"], "_o", "_p")
+    # positions inside a priority, after all risks of higher ones (four rows a meeting)
+    r = risks.withColumn("_o", risk_order(has(risks, "priority")))
+    higher = Window.partitionBy("meeting_id").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+    before = r.groupBy("meeting_id", "_o").count().select("meeting_id", "_o", F.coalesce(F.sum("count").over(higher), F.lit(0)).alias("_before"))
+    r = with_position(r, ["meeting_id", "_o"], "item_id", "_p", block=None).join(before, ["meeting_id", "_o"])
+    r = r.withColumn("_p", F.col("_p") + F.col("_before"))
     suffix = F.concat(F.lit(" ("), F.coalesce(has(r, "priority"), F.lit("MEDIUM")), F.lit(" PRIORITY)"))
     risk_title = has(r, "title")
     r = _lines(r, 3, none, F.col("_p") + 1, [
@@ -122,7 +126,7 @@ def evaluation_report(components: DataFrame, criterion_scores: DataFrame, report
 
     none, zero = F.lit(""), F.lit(0)
     head = lines(report, 0, none, zero, [
-        F.lit("# Meeting Intelligence Evaluation Report"), F.concat(F.lit("**Job ID**: "), F.col("job_id").cast("string")),
+        F.lit("# Evaluation Report"), F.concat(F.lit("**Job ID**: "), F.col("job_id").cast("string")),
         F.lit("## Overall Scores"), F.concat(F.lit("**Aggregate Score**: "), two("aggregate_score"), F.lit("/10")),
     ])
     comp = lines(components, 1, F.col("component"), zero, [

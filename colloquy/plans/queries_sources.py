@@ -205,7 +205,7 @@ def _unroll(sel, lines, src):
 
 
 @register("markdown_report", f"""
-{_unroll("0 AS section, '' AS grp, 0 AS item_no", ["'# Meeting Intelligence Report'", "'## Summary'", "summary"], "SELECT * FROM summaries")}
+{_unroll("0 AS section, '' AS grp, 0 AS item_no", ["'# Meeting Report'", "'## Summary'", "summary"], "SELECT * FROM summaries")}
 UNION ALL SELECT DISTINCT meeting_id, 1, '', 0, 0, '## Decisions' FROM decisions
 UNION ALL {_unroll("1, '', n", ["n || '. **' || title || '**: ' || text", "'   - Participants: ' || speaker", _BADGE], "SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY item_id) AS n FROM decisions")}
 UNION ALL SELECT DISTINCT meeting_id, 2, '', 0, 0, '## Action Items' FROM actions

@@ -59,3 +59,11 @@ def test_scan_states(df, pdf):
             want.append(c)
             c = w if c + w > 20 else c + w
     assert got.state_before.tolist() == want
+
+
+def test_sparse_order_values_fill_blocks_by_count(spark):
+    rows = spark.range(20_000).select((F.col("id") % 2).alias("k"), (F.col("id") * 10_000).alias("o"))
+    sizes = [r["count"] for r in o.blocks_by_count(rows, ["k"], "o", rows=1000).groupBy("k", "_blk").count().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 1001
+    got = o.with_position(rows, ["k"], "o", block=None).filter("pos <> o div 20000")
+    assert got.isEmpty()

@@ -26,7 +26,7 @@ def test_markdown_lines_are_written_in_order(spark, tmp_path):
     rp.write_lines(rp.markdown_report(summaries, decisions, actions, risks).coalesce(1), str(tmp_path / "md"))
     lines = "\n".join(p.read_text() for p in sorted((tmp_path / "md" / "meeting_id=1").glob("part-*"))).split("\n")
     wanted = [
-        "# Meeting Intelligence Report", "All fine.", "1. **Go**: We go", "2. **Wait**: We wait", "   - Participants: Ann", "### Bob",
+        "# Meeting Report", "All fine.", "1. **Go**: We go", "2. **Wait**: We wait", "   - Participants: Ann", "### Bob",
         "1. **write it**", "   - Due: Friday", "### Unassigned", "1. **send it**", "   - Priority: HIGH", "1. broken (HIGH PRIORITY)", "2. late (LOW PRIORITY)",
     ]
     places = [lines.index(w) for w in wanted]
