@@ -1,8 +1,11 @@
 """URL filter: allow and block rules, then naive Bayes over words that a unigram Viterbi finds in hosts and paths.
 
-Word counts come from the urls' own tokens and the given texts (all rows). Every distinct token is cut at each place into
-pieces of at most MAX_WORD letters; the pieces meet the word counts by a join, and the best chain of pieces wins. A piece
-without a count costs more the longer it is, so unknown names stay whole. The classifier is trained on the urls that a
+Word counts come from the given texts (all rows) and from the urls' tokens, where a word counts once per host. A token is
+no evidence for itself: while it is cut, its uses as a name (a whole label of the host) and as a path step of one host do not
+count, so a concatenated name is split if its parts are known, however many pages it has. Every distinct token is cut at
+each place into pieces of at most PREFIX letters, which meet the word counts by a join; longer words meet by their first
+PREFIX letters. The best chain of pieces wins. A piece without a count costs more the longer it is, so unknown names stay
+whole. The classifier is trained on the urls that a
 rule decides: multinomial counts by class, add-one smoothed, joined to the tokens of all urls by word. No table is
 broadcast by hand; hot words are a small table side that adaptive joins handle.
 
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from colloquy.session import materialize
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-MAX_WORD = 16
+PREFIX = 16
 TOKEN = r"[a-z]+|[0-9]+"
 
 
@@ -45,19 +48,22 @@ def match_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 def _viterbi(total: int):
     """Best chain of pieces of every token. A piece of n letters without a count has probability 10 / (total * 10**n)."""
+    letter, unknown = math.log(10), math.log(10 / total)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n")
-        known = dict(zip(rows["piece"], rows["n"], strict=True))
+        known = {p: math.log(n / total) for p, n in zip(rows["piece"], rows["n"], strict=True) if n and len(p) > 1}
+        sizes = sorted({len(p) for p in known}, reverse=True)
         token = rows["token"].iloc[0]
-        best = [(0.0, 0)] + [(-math.inf, 0)] * len(token)
+        best, start = [(0.0, 0)], (0.0, 0)  # start: where a piece without a count begins best, letters charged from the token's begin
         for end in range(1, len(token) + 1):
-            for begin in range(max(0, end - MAX_WORD), end):
-                piece = token[begin:end]
-                n = known.get(piece)
-                cost = math.log(n / total) if n and len(piece) > 1 else math.log(10 / total) - len(piece) * math.log(10)
-                if best[begin][0] + cost > best[end][0]:
-                    best[end] = (best[begin][0] + cost, begin)
+            top = (start[0] + unknown - end * letter, start[1])
+            for size in sizes:
+                cost = known.get(token[end - size:end]) if size <= end else None
+                if cost is not None and best[end - size][0] + cost > top[0]:
+                    top = (best[end - size][0] + cost, end - size)
+            best.append(top)
+            if top[0] + end * letter > start[0]:
+                start = (top[0] + end * letter, end)
         out, end = [], len(token)
         while end:
             out.append(token[best[end][1]:end])
@@ -68,30 +74,50 @@ def _viterbi(total: int):
 
 
 def segment(tokens: DataFrame, counts: DataFrame) -> DataFrame:
-    """(token, words) for distinct `tokens` of letters, by unigram counts (word, n)."""
-    total = max(1, counts.agg(F.sum("n")).first()[0] or 0)
+    """(token, words) for distinct `tokens` of letters, by unigram counts (word, n, own); own is what n holds of a token's own uses."""
+    total = max(11, counts.agg(F.sum("n")).first()[0] or 0)  # under 11, two pieces without a count would beat one
     pieces = tokens.select("token", F.explode(F.expr(
-        f"flatten(transform(sequence(1, length(token)), i -> transform(sequence(1, least({MAX_WORD}, length(token) - i + 1)), k -> substr(token, i, k))))")).alias("piece")).distinct()
-    held = pieces.join(counts.withColumnRenamed("word", "piece"), "piece")
-    held = held.unionByName(tokens.select(F.col("token").alias("piece"), "token", F.lit(0).cast("bigint").alias("n")))
+        f"flatten(transform(sequence(1, length(token)), i -> transform(sequence(1, least({PREFIX}, length(token) - i + 1)), k -> substr(token, i, k))))")).alias("piece")).distinct()
+    n = F.when(F.col("word") == F.col("token"), F.col("n") - F.col("own")).otherwise(F.col("n")).alias("n")
+    short, long = counts.filter(F.length("word") <= PREFIX), counts.filter(F.length("word") > PREFIX)
+    held = pieces.join(short, F.col("piece") == F.col("word")).select("token", "piece", n)
+    held = held.unionByName(pieces.filter(F.length("piece") == PREFIX).join(long, F.col("piece") == F.substring("word", 1, PREFIX))
+                            .filter(F.col("token").contains(F.col("word"))).select("token", F.col("word").alias("piece"), n))
+    held = held.unionByName(tokens.select("token", F.lit("").alias("piece"), F.lit(0).cast("bigint").alias("n")))
     return held.groupBy("token").applyInPandas(_viterbi(total), "token string, words array<string>")
 
 
+def word_counts(rows: DataFrame, words_in: DataFrame) -> DataFrame:
+    """(word, n, own): occurrences in texts plus hosts that use it in host or path; own: what of n is no evidence for the word itself.
+
+    Evidence are texts, words set off inside a label or path step (casino-win), and whole path steps and last labels from the
+    second host on. A whole label of a host before the last is a name.
+    """
+    labels = F.split("host", r"\.")
+    named = F.transform(labels, lambda x, i: F.struct(x.alias("label"), (i < F.size(labels) - 1).alias("name")))
+    steps = F.transform(F.split(F.lower("path"), "[/.]"), lambda x: F.struct(x.alias("label"), F.lit(False).alias("name")))
+    used = rows.select("host", F.inline(F.concat(named, steps))).select("host", "label", "name", F.explode(F.regexp_extract_all("label", F.lit("([a-z]+)"), 1)).alias("word"))
+    whole = F.col("word") == F.col("label")
+    used = used.groupBy("host", "word").agg(F.max(~whole).alias("inside"), F.max(whole & F.col("name")).alias("name")).groupBy("word").agg(
+        F.count("*").alias("n"), (F.count("*") - F.count_if("inside") - F.greatest(F.count_if(~F.col("inside") & ~F.col("name")) - 1, F.lit(0))).alias("own"))
+    texts = words_in.groupBy("word").agg(F.count("*").alias("n"), F.lit(0).cast("bigint").alias("own"))
+    return texts.unionByName(used).groupBy("word").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", texts: Column | None = None, rules=RULES) -> DataFrame:
     """id, host, path, rule, verdict, score (log-odds of block; null where a rule decides), words."""
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), (texts if texts is not None else F.lit(None)).cast("string").alias("texts"))
-    words_in = rows.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("texts", F.lit(""))), F.lit(r"([a-z]{2,16})"), 1)).alias("word"))
+    words_in = rows.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("texts", F.lit(""))), F.lit(r"([a-z]{2,})"), 1)).alias("word"))
     rows = rows.select("page_id", "url", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("hit", match_rule(F.col("host"), F.col("path"), rules)).withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows)
     spot = F.regexp_extract_all(F.concat_ws(" ", "host", F.lower("path")), F.lit(f"({TOKEN})"), 1)
     tokens = rows.select("row", F.col("hit.verdict").alias("class"), F.explode(spot).alias("token"))
     named = tokens.filter(F.col("token").rlike("^[a-z]"))
-    counts = materialize(words_in.groupBy("word").count().unionByName(named.select(F.col("token").alias("word")).groupBy("word").count())
-                         .groupBy("word").agg(F.sum("count").alias("n")))
+    counts = materialize(word_counts(rows, words_in))
     distinct = named.select("token").distinct()
-    parts = segment(distinct, counts.filter(F.length("word") <= MAX_WORD))
+    parts = segment(distinct, counts)
     by_token = parts.select("token", F.explode("words").alias("word"))
     digits = F.concat(F.lit("#"), F.least(F.length("token"), F.lit(9)).cast("string"))
     words = materialize(named.join(by_token, "token").select("row", "class", "word").unionByName(

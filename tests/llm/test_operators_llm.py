@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.llm import (decontamination, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, substring_dedup, token_counts,
                           tokens, url_filter)
@@ -186,6 +187,18 @@ def test_url_rules_and_words(spark):
     assert got[300].verdict == "block" and got[301].verdict == "allow" and "casino" in got[300].words
 
 
+def test_url_segmentation_splits_concatenated_names(spark):
+    long = "internationalisations"
+    rows = [(i, f"http://casinowin.org/x/{i}", "garden tools") for i in range(200)]  # the hot host
+    rows += [(300 + i, f"http://casino-win{i}.net/es/{i}", "free bets") for i in range(3)] + [(400 + i, f"http://house{i}.com/a", "the garden house") for i in range(3)]
+    rows += [(500, "http://freebets.org/x", None), (501, f"http://my{long}.org/x", long), (502, "http://zorbqutaplixvendoramukty.org/freebets", None)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, title string"), texts=F.col("title")).collect()}
+    assert {"casino", "win"} <= set(got[0].words) and "casinowin" not in got[0].words
+    assert got[0].verdict == got[199].verdict == "block"
+    assert {"free", "bets"} <= set(got[500].words) and {"free", "bets", "zorbqutaplixvendoramukty"} <= set(got[502].words)
+    assert long in got[501].words
+
+
 def test_html_extraction_on_held_out_pages(spark):
     pages = html_extract.labelled_pages(120, seed=5)
     table = spark.createDataFrame([(i, "u", p, "x") for i, (p, _) in enumerate(pages)] + [(900, None, None, "x"), (901, "u", "", "x"), (902, "u", "<p>cut <b", "x")],
