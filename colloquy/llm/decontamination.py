@@ -3,15 +3,15 @@
 Words are lower-cased runs of letters and digits. Every text becomes a row of 16-bit word numbers once; all later passes
 read those. TF-IDF passages of BLOCK words over SLOTS hashed terms get a randomised SVD: with a random test matrix W, every
 task sums its part of A'(A W) (a table of fixed size), Spark adds the parts, and an orthonormal basis of the sum is the
-latent space. Benchmark items, cut into segments, are searched for in windows of the texts. An inverted index of the items'
-rare words leaves the windows that can hold `loose` of a segment (a lossless bound); those of a cosine of at least COSINE
-in the latent space, or that can hold `exact` of it, are candidates. A segment without rare words is compared with every window. The longest common
-subsequence of the item and the passage around the window decides: at least `exact` of the item, or at least `loose`
-together with `answer` of the item's answer (column answer if given, else its last sentence, or its last five words if
-that is short). Items are the stated query set: they are read in groups of ITEM_GROUP and meet all rows group by group.
+latent space. Benchmark items are searched for in windows of the texts that hold every passage an item may be stretched
+to (`reach`). An inverted index of the items' rare words leaves the windows that can hold `loose` of an item (a lossless
+bound); those of a cosine of at least COSINE in the latent space, or that can hold `exact` of it, are candidates. An item without rare words is compared with
+every window. The longest common subsequence of the item and any passage of at most `reach` words in and around the window
+decides: at least `exact` of the item, or at least `loose` together with `answer` of the item's answer (column answer if
+given, else its last sentence, or its last five words if that is short). Items are the stated query set: they are read in groups of ITEM_GROUP and meet all rows group by group.
 
 Defined cases: null or blank texts and items match nothing; items shorter than SHORT words count only as exact runs;
-rows that repeat an id are judged by their own text; an empty benchmark leaves every document clean.
+rows that repeat an id are judged by their own text; items of null id count and share one row a text; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from colloquy.llm.words import BREAK, binary_list, chunks, words_of
 from colloquy.session import materialize
 
 RANK, EXTRA = 48, 8
-BLOCK, SEGMENT = 8, 56
+BLOCK = 8
 PASSAGE = 32
-SPANS = (2, 4, 8)  # window sizes in blocks: at a step of one block they hold any 9, 25 and 57 words
+MOST_BLOCKS = 12  # of a window; longer items have windows of wider blocks
 COSINE = 0.2
 COMMON = 0.01
 SHORT = 8
@@ -165,39 +165,53 @@ def common_length(item: np.ndarray, passage: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
+def reach(n: int) -> int:
+    """Words of the longest passage that may hold an item of n words: half longer, and two."""
+    return int(1.5 * n) + 2
+
+
 def _overlap(words: np.ndarray, answer_words: np.ndarray, passage: np.ndarray, exact: float, loose: float, answer: float) -> float:
-    """Share of an item found in order in some part of the passage at most half longer than the item; 0 if it doesn't count."""
+    """Largest share of an item found in order in any `reach` consecutive words of the passage; 0 if it doesn't count."""
     n = len(words)
     if n < SHORT:
         starts = np.flatnonzero(passage[: len(passage) - n + 1] == words[0]) if len(passage) >= n else []
         return float(any((passage[i:i + n] == words).all() for i in starts))
     inside = np.zeros(1 << 16, bool)
-    inside[words] = True
-    if common_length(words, passage[inside[passage]]) < loose * n:
-        return 0.0
-    inside[answer_words] = True
-    size, best = int(1.5 * n) + 2, 0.0
-    for i in range(0, max(1, len(passage) - size + n // 4 + 1), max(1, n // 4)):
-        part = passage[i:i + size]
-        part = part[inside[part]]
-        score = common_length(words, part) / n
-        if score > best and (score >= exact or score >= loose and common_length(answer_words, part) >= answer * len(answer_words)):
+    inside[words] = inside[answer_words] = True
+    at = np.flatnonzero(inside[passage])  # a part may as well begin at one of these
+    held = passage[at]
+    most, full = common_length(words, held), int(np.ceil(exact * n - 1e-9))
+    asked = int(np.ceil(answer * len(answer_words) - 1e-9))
+    least = int(np.ceil(loose * n - 1e-9)) if common_length(answer_words, held) >= asked else full
+    size, best, k = reach(n), 0, 0
+    while k < len(at) and max(least, best + 1) <= most:
+        end = int(np.searchsorted(at, at[k] + size))
+        score = common_length(words, held[k:end])
+        lacks = max(least, best + 1) - score
+        if lacks > 0:  # no part holds more before it takes in as many further words
+            if end + lacks > len(at):
+                break
+            k = int(np.searchsorted(at, at[end + lacks - 1] - size + 1))
+            continue
+        if score >= full or common_length(answer_words, held[k:end]) >= asked:
             best = score
-    return best
+        k += 1
+    return best / n
 
 
 def _search(term_of: np.ndarray, space: np.ndarray, items: list[tuple[int, np.ndarray, np.ndarray]], exact: float, loose: float, answer: float):
-    segments = [(k, i) for k, (_, words, _) in enumerate(items) for i in range(0, len(words), SEGMENT)]
-    owner = np.array([k for k, _ in segments])
-    pieces = [items[k][1][i:i + SEGMENT] for k, i in segments]
+    pieces = [words for _, words, _ in items]
     length = np.array([len(p) for p in pieces])
-    span = np.array(SPANS)[np.searchsorted([(s - 1) * BLOCK + 1 for s in SPANS[:-1]], length)]
+    # windows of `span` blocks of BLOCK << wide words hold any `reach` consecutive words, at a step of one such block
+    wide = np.array([next(w for w in range(64) if (reach(n) - 2 >> w) // BLOCK + 2 <= MOST_BLOCKS) for n in length.tolist()])
+    span = np.array([-(-(reach(n) - 1) // (BLOCK << w)) + 1 for n, w in zip(length.tolist(), wide.tolist(), strict=True)])
+    blocks_of = span << wide
     terms = [term_of[p][term_of[p] >= 0] for p in pieces]
     common = length - np.array([len(t) for t in terms])
     latent = _unit(np.stack([space[t].sum(0) for t in terms]))
-    # terms that a window must hold for `exact` of a segment; for `loose` of it, with those that its text must hold of the answer
+    # terms that a window must hold for `exact` of an item; for `loose` of it, with those that its text must hold of the answer
     need, need_loose = (np.ceil(x * length - 1e-9).astype(np.int64) - common for x in (exact, loose))
-    answers = [items[k][2] for k in owner]
+    answers = [a for _, _, a in items]
     need_answer = np.array([int(np.ceil(answer * len(a) - 1e-9)) - int((term_of[a] < 0).sum()) for a in answers])
     last = len(pieces)
     posted = np.unique(np.concatenate([np.stack([t, np.full(len(t), g)], 1) for g, t in enumerate(
@@ -206,7 +220,7 @@ def _search(term_of: np.ndarray, space: np.ndarray, items: list[tuple[int, np.nd
     plain = np.flatnonzero(need_loose <= 0)
 
     def windows(numbers: list[np.ndarray]):
-        """(text, block, segment) of windows that can hold a segment and lie near it in the latent space."""
+        """(text, block, item) of windows that can hold an item and lie near it in the latent space."""
         block, term, first = _hits(numbers, term_of, BLOCK)
         blocks = int(first[-1])
         if not blocks:
@@ -216,37 +230,39 @@ def _search(term_of: np.ndarray, space: np.ndarray, items: list[tuple[int, np.nd
         image = np.concatenate([np.zeros((1, space.shape[1])), np.cumsum(space[term], axis=0, dtype=np.float64)])[edge]
         count = post[term + 1] - post[term]
         at = np.repeat(block, count)
-        segment = posted[np.repeat(post[term] - np.cumsum(count) + count, count) + np.arange(count.sum()), 1]
-        key, back, total = np.unique(text[at] * (2 * last) + segment, return_inverse=True, return_counts=True)
+        item = posted[np.repeat(post[term] - np.cumsum(count) + count, count) + np.arange(count.sum()), 1]
+        key, back, total = np.unique(text[at] * (2 * last) + item, return_inverse=True, return_counts=True)
         total = np.append(total, 0)
 
         def held(kind: np.ndarray) -> np.ndarray:
-            """Hits of the text for a segment or (kind + last) its answer."""
+            """Hits of the text for an item or (kind + last) its answer."""
             spot = np.minimum(np.searchsorted(key, kind), len(key) - 1)
             return np.where(key[spot] == kind, total[spot], 0)
 
-        own = segment < last
-        at, segment, back = at[own], segment[own], back[own]
+        own = item < last
+        at, item, back = at[own], item[own], back[own]
         here = total[back]
-        asked = held(text[at] * (2 * last) + segment + last) >= need_answer[segment]
-        least = np.where(asked, np.maximum(need_loose, 1)[segment], need[segment])
+        asked = held(text[at] * (2 * last) + item + last) >= need_answer[item]
+        least = np.where(asked, np.maximum(need_loose, 1)[item], need[item])
         able = here >= least
-        at, segment, least = at[able], segment[able], least[able]
-        size = span[segment]
-        shifted = np.repeat(at - size + 1, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        segment, at, least = np.repeat(segment, size), np.repeat(at, size), np.repeat(least, size)
-        inside = shifted >= first[text[at]]
-        pair, where, total = np.unique(shifted[inside] * last + segment[inside], return_index=True, return_counts=True)
+        at, item, least = at[able], item[able], least[able]
+        size = span[item]
+        start = first[text[at]]
+        back = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        item, at, start, least, size = (np.repeat(x, size) for x in (item, at, start, least, size))
+        shifted = start + (((at - start) >> wide[item]) - size + 1 + back << wide[item])
+        inside = shifted >= start
+        pair, where, total = np.unique(shifted[inside] * last + item[inside], return_index=True, return_counts=True)
         able = total >= least[inside][where]
-        at, segment, full = pair[able] // last, pair[able] % last, total[able]
-        end = np.minimum(at + span[segment], first[text[at] + 1])
-        near = (np.einsum("ij,ij->i", _unit(image[end] - image[at]), latent[segment]) >= COSINE) | (full >= np.maximum(need[segment], 1))
-        yield text[at[near]], at[near] - first[text[at[near]]], segment[near]
+        at, item, full = pair[able] // last, pair[able] % last, total[able]
+        end = np.minimum(at + blocks_of[item], first[text[at] + 1])
+        near = (np.einsum("ij,ij->i", _unit(image[end] - image[at]), latent[item]) >= COSINE) | (full >= np.maximum(need[item], 1))
+        yield text[at[near]], at[near] - first[text[at[near]]], item[near]
         words = np.concatenate(numbers)
         size = np.fromiter(map(len, numbers), np.int64, len(numbers))
         begin = np.repeat(np.cumsum(size) - size, np.diff(first)) + BLOCK * (np.arange(blocks) - first[text])
         for g in plain:  # nothing rare to look up: every window is compared, by all its words
-            end = np.minimum(np.arange(blocks) + span[g], first[text + 1])
+            end = np.minimum(np.arange(blocks) + blocks_of[g], first[text + 1])
             mine = np.zeros(1 << 16, np.int64)
             mine[pieces[g]] = 1
             total = np.concatenate([[0], np.cumsum(mine[words])])[np.append(begin, len(words))]
@@ -259,22 +275,22 @@ def _search(term_of: np.ndarray, space: np.ndarray, items: list[tuple[int, np.nd
     def run(batches):
         for batch in batches:
             numbers = [np.frombuffer(x, np.uint16) for x in batch.column(1).to_pylist()]
-            hits: list[dict[int, float]] = [{} for _ in numbers]
+            hits: list[dict[int | None, float]] = [{} for _ in numbers]
             for lo, part in _batches(numbers):
-                for text, at, segment in windows(part):
-                    order = np.lexsort((at, segment, text))
+                for text, at, item in windows(part):
+                    order = np.lexsort((at, item, text))
                     done: tuple = ()
-                    for d, b, g in zip(text[order].tolist(), at[order].tolist(), segment[order].tolist(), strict=True):
-                        item_id, words, answer_words = items[owner[g]]
+                    for d, b, g in zip(text[order].tolist(), at[order].tolist(), item[order].tolist(), strict=True):
+                        item_id, words, answer_words = items[g]
                         own = hits[lo + d]
                         if own.get(item_id, 0.0) >= 1.0 or done[:2] == (d, g) and b <= done[2]:
                             continue
-                        done = (d, g, b + int(span[g]))  # the passage holds the windows that begin up to there
-                        passage = part[d][max(0, b * BLOCK - len(words)):(b + 2 * int(span[g])) * BLOCK + len(words)]
+                        done = (d, g, b + int(blocks_of[g]))  # the passage holds the windows that begin up to there
+                        passage = part[d][max(0, b * BLOCK - len(words)):(b + 2 * int(blocks_of[g])) * BLOCK + len(words)]
                         score = _overlap(words, answer_words, passage, exact, loose, answer)
                         if score > own.get(item_id, 0.0):
                             own[item_id] = score
-            found = [(i, item, score) for i, own in enumerate(hits) for item, score in sorted(own.items())]
+            found = [(i, item, score) for i, own in enumerate(hits) for item, score in own.items()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(pa.array([x[0] for x in found], pa.int64())), pa.array([x[1] for x in found], pa.int64()),
                 pa.array([x[2] for x in found], pa.float64())], names=["row", "item_id", "overlap"])
@@ -289,7 +305,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = rows.schema["id"].dataType.simpleString()
     numbered = materialize(rows.mapInArrow(_number, f"id {kind}, words binary"))
     given = F.col("answer") if "answer" in benchmark.columns else F.regexp_extract(F.rtrim("text"), r"([^.!?\n]+[.!?]*)$", 1)
-    asked = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), F.col("text").cast("string"), given.cast("string").alias("answer"))
+    asked = benchmark.filter("text is not null").select(F.col("item_id").cast("bigint"), F.col("text").cast("string"), given.cast("string").alias("answer"))
     words = materialize(asked.mapInArrow(_vocabulary, "number int").distinct()).toPandas()["number"].to_numpy()
     term_of, space = latent_space(numbered, np.sort(words).astype(np.int64))
     out = None

@@ -230,6 +230,41 @@ def test_decontamination_finds_passages_and_paraphrases(spark, empty):
     assert decontamination.common_length(np.array(a), np.array(b)) == table[40, 60]
 
 
+def test_decontamination_finds_evenly_stretched_paraphrases(spark):
+    """Against the longest common subsequence with every passage; filler words are in no item."""
+    rng = random.Random(3)
+    word, fill = (lambda: "".join(rng.choices("abcdefghij", k=6))), (lambda: "".join(rng.choices("qrstuvwxyz", k=6)))
+    items = {k: [word() for _ in range(n)] for k, n in enumerate([9, 17, 25, 33, 56, 57, 90, 130, 300])}
+    docs, ids, want = [], [], set()
+    for k, item in items.items():
+        n = len(item)
+        for share, end, shift in [(1.0, False, 0), (0.8, False, 3), (0.8, False, 5), (0.65, True, 1), (0.65, True, 6), (0.65, False, 2), (0.5, True, 4)]:
+            tail = n - 6 if end else n
+            take = sorted(rng.sample(range(tail), max(0, -int(-share * n // 1) - (n - tail)))) + list(range(tail, n))
+            if not end:
+                take = [i for i in take if i < n - 2] if share < 1 else take
+            size = int(1.5 * n)
+            text = [fill() for _ in range(size)]
+            for j, i in enumerate(take):
+                text[j * (size - 1) // max(1, len(take) - 1)] = item[i]
+            docs.append([fill() for _ in range(40 + shift)] + text + [fill() for _ in range(100)])
+    rows = []
+    for d, text in enumerate(docs):
+        rows.append((d, " ".join(text)))
+        numbers = decontamination.word_numbers([" ".join(text).encode()])[0]
+        for k, item in items.items():
+            w = decontamination.word_numbers([" ".join(item).encode()])[0]
+            parts = [numbers[i:i + int(1.5 * len(w)) + 2] for i in range(len(numbers))]
+            held = [decontamination.common_length(w, p) for p in parts]
+            good = [x for x, p in zip(held, parts, strict=True) if x >= 0.8 * len(w) or x >= 0.55 * len(w) and decontamination.common_length(w[-5:], p) >= 0.9 * 5]
+            if good:
+                want.add((d, None if k == 2 else k, round(max(good) / len(w), 9)))
+    assert len(want) > 3 * len(items)
+    bench = spark.createDataFrame([(None if k == 2 else k, " ".join(w), " ".join(w[-5:])) for k, w in items.items()], "item_id long, text string, answer string")
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.id, r.item_id, round(r.overlap, 9)) for r in got} == want
+
+
 def test_quality_statistics_and_bounds(spark, docs, empty):
     for r in quality_rules.measure(docs).collect():
         text = next(x[1] for x in rows_of() if x[0] == r.doc_id)
