@@ -1,6 +1,7 @@
 """Language identification by Bayesian fusion of text, declaration, address suffix and host.
 
-Text likelihood: hashed byte trigrams, counted over all documents by declared language, add-half smoothed. Every document's
+Text likelihood: hashed byte trigrams, counted over all documents by declared language, add-half smoothed. All declared
+languages have a model; the model tables go over the texts in blocks of BLOCK languages, one after the other. Every document's
 log-likelihoods are tempered, since trigrams overlap. Then grouped aggregation of the text decisions gives, for all hosts,
 suffixes and declarations: P(declared | language), P(suffix | language), and a host prior smoothed towards the prior of
 its suffix, which is smoothed towards the whole corpus. The posterior is the normalised product; missing evidence is neutral.
@@ -23,7 +24,7 @@ from colloquy.session import materialize
 SLOTS = 1 << 16
 TEMPER = 0.25
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0
-MAX_LANGUAGES = 256
+BLOCK = 256
 LETTER = np.zeros(256, bool)
 LETTER[[*range(0x61, 0x7B), *range(0xC3, 0xF5)]] = True
 
@@ -54,22 +55,25 @@ def _count(batches):
                                              names=["lang", "slot", "n"])
 
 
-def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities by slot, from all rows (text, declared).
-
-    The model is a table of SLOTS x languages; at most MAX_LANGUAGES, the most frequent declarations, are told apart.
-    """
-    langs = sorted(r[0] for r in rows.filter("declared is not null and text is not null").groupBy("declared").count()
-                   .orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).select("declared").collect())
+def fit(rows: DataFrame) -> tuple[list[str], DataFrame]:
+    """All declared languages, and their trigram counts (lang, slot, n) from all rows (text, declared)."""
+    langs = sorted(r[0] for r in rows.filter("declared is not null and text is not null").select("declared").distinct().collect())
     counts = rows.select("text", "declared").mapInArrow(_count, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    return langs, counts if len(langs) <= BLOCK else materialize(counts)
+
+
+def model_of(counts: DataFrame, langs: list[str]) -> np.ndarray:
+    """Log-probabilities of one block of sorted languages, SLOTS x languages."""
     table = np.full((SLOTS, len(langs)), 0.5)
-    found = counts.filter(F.col("lang").isin(langs)).toPandas() if langs else None
-    if found is not None and len(found):
+    found = counts.filter(F.col("lang").isin(langs)).toPandas()
+    if len(found):
         table[found["slot"].to_numpy(), np.searchsorted(langs, found["lang"].to_numpy().astype(str))] += found["n"].to_numpy()
-    return langs, np.log(table / table.sum(0, keepdims=True)).astype(np.float32)
+    return np.log(table / table.sum(0, keepdims=True)).astype(np.float32)
+
 
+def _likelihoods(model: np.ndarray, names: list[str]):
+    """Columns `names`, the log-likelihoods of the model's languages, and whether one of them fits."""
 
-def _likelihoods(model: np.ndarray):
     def run(batches):
         for batch in batches:
             texts = [t or b"" for t in binary_list(batch.column(batch.schema.get_field_index("text")))]
@@ -83,9 +87,9 @@ def _likelihoods(model: np.ndarray):
             size = np.concatenate(sizes) if sizes else np.zeros(0)
             letter = np.concatenate(letters) > 0 if letters else np.zeros(0, bool)
             known = letter & (fit_.max(1, initial=-np.inf) > -np.log(SLOTS) * size)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "declared", "suffix", "host")],
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names],
                                               pa.array((TEMPER * fit_).tolist(), pa.list_(pa.float64())), pa.array(known)],
-                                             names=["id", "declared", "suffix", "host", "text_ll", "known"])
+                                             names=[*names, "more_ll", "more_known"])
 
     return run
 
@@ -94,20 +98,32 @@ def identify(rows: DataFrame, id_col: str, text: Column, declared: Column, suffi
     """id, declared, text_lang (text alone), lang (all evidence), confidence, kept."""
     rows = rows.select(F.col(id_col).alias("id"), text.cast("string").alias("text"), declared.cast("string").alias("declared"),
                        suffix.cast("string").alias("suffix"), host.cast("string").alias("host"))
-    langs, model = fit(rows)
+    langs, counts = fit(rows)
     kind = rows.schema["id"].dataType.simpleString()
     if not langs:
         return rows.select("id", "declared", F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"),
                            F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
-    scored = rows.mapInArrow(_likelihoods(model), f"id {kind}, declared string, suffix string, host string, text_ll array<double>, known boolean")
+    base = {"id": kind, "declared": "string", "suffix": "string", "host": "string"}
+    scored = rows
+    for i in range(0, len(langs), BLOCK):
+        keep = base | ({"text": "string"} if i + BLOCK < len(langs) else {}) | ({"text_ll": "array<double>", "known": "boolean"} if i else {})
+        schema = ", ".join(f"{c} {k}" for c, k in (keep | {"more_ll": "array<double>", "more_known": "boolean"}).items())
+        scored = scored.mapInArrow(_likelihoods(model_of(counts, langs[i:i + BLOCK]), list(keep)), schema)
+        if i:
+            scored = scored.withColumn("text_ll", F.concat("text_ll", "more_ll")).withColumn("known", F.col("known") | F.col("more_known")).drop("more_ll", "more_known")
+        else:
+            scored = scored.withColumnsRenamed({"more_ll": "text_ll", "more_known": "known"})
+        if i + BLOCK < len(langs):  # one table in memory at a time
+            scored = materialize(scored)
     names = F.array(*[F.lit(x) for x in langs])
     best = F.when(F.col("known"), F.array_position("text_ll", F.array_max("text_ll")).cast("int"))
     scored = materialize(scored.withColumn("vote", best))
     votes = materialize(scored.filter("vote is not null").groupBy("declared", "suffix", "host", "vote").count())
 
     def tally(*by: str) -> DataFrame:
-        return votes.groupBy(*by).agg(F.array(*[F.sum(F.when(F.col("vote") == i + 1, F.col("count")).otherwise(0)).cast("double")
-                                                for i in range(len(langs))]).alias("n"))
+        n = votes.groupBy(*by, "vote").agg(F.sum("count").cast("double").alias("n")).groupBy(*by).agg(
+            F.map_from_entries(F.collect_list(F.struct("vote", "n"))).alias("n"))
+        return n.withColumn("n", F.expr(f"transform(sequence(1, {len(langs)}), i -> coalesce(try_element_at(n, i), 0D))"))
 
     total = tally().withColumn("n", F.coalesce("n", F.array(*[F.lit(0.0)] * len(langs)))).first()[0]
     whole = F.array(*[F.lit((x or 0.0) + 1.0) for x in total])

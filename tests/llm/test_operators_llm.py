@@ -176,6 +176,21 @@ def test_language_uses_text_declaration_and_host(spark, empty):
     assert language_id.identify_documents(empty).count() == 0
 
 
+def test_language_tells_all_declared_languages_apart(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = []
+    for k in range(270):  # the last ones are the rarest
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)]
+        rows += [(3 * k + j, " ".join(rng.choices(own, k=40)), f"l{k:03}", None) for j in range(3 if k < 256 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.id: r for r in language_id.identify_documents(docs).collect()}
+    assert all(got[i].text_lang == got[i].lang == lang and got[i].kept for i, _, lang, _ in rows)
+    few = docs.filter("doc_id < 21")
+    whole = {tuple(r) for r in language_id.identify_documents(few).collect()}
+    monkeypatch.setattr(language_id, "BLOCK", 3)
+    assert {tuple(r) for r in language_id.identify_documents(few).collect()} == whole
+
+
 def test_url_rules_and_words(spark):
     urls = ["http://Example.COM/en/1", "https://www.example.com/en/2", "http://a.net/es/x?q", "http://a.net/en/x", "b.com/en", None, "ftp://x.org", "http://xcom/", "http://c.com#f"]
     rows = [(i, u) for i, u in enumerate(urls)] + [(100 + i, f"http://casinowin.net/es/{i}") for i in range(20)] + [(200 + i, f"http://gardenhouse.com/a/{i}") for i in range(20)]
