@@ -6,7 +6,7 @@ labels, text and surroundings; its weights are fitted by gradient ascent on the
 decoded by Viterbi. The labelled pages are laid out by `labelled_pages` in many templates, so every block's label is known.
 
 Defined cases: null, empty and textless html give an empty text; broken markup (unclosed elements, cut tags) is read to the
-end; a line break inside a block is white space; equal rows give equal rows; extra columns are ignored.
+end, only an unclosed script or style hides the rest; a line break inside a block is white space; equal rows give equal rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ BLOCK = set("address article aside blockquote body button caption center dd deta
             "h5 h6 head header hr html iframe legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th "
             "thead title tr ul".split())
 RAW = set("script style title textarea noscript template iframe svg object".split())
+TO_END = set("script style".split())  # without an end tag, all that follows is theirs; other raw elements are passed over as single tags
+FOREIGN = set("svg object".split())  # may close themselves
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}, "tr": {"tr", "td", "th", "p"},
           "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
@@ -56,6 +58,7 @@ def leaf_blocks(page: str) -> list[tuple[str, list[str]]]:
         text.clear()
         linked = 0
 
+    open_raw: set[str] = set()
     at, n = 0, len(page)
     while at < n:
         m = MARK.search(page, at)
@@ -76,8 +79,17 @@ def leaf_blocks(page: str) -> list[tuple[str, list[str]]]:
         if name in BLOCK:
             flush()
         if name in RAW and not closing:
+            if name in FOREIGN and rest.endswith("/"):
+                continue
+            if name in open_raw:
+                continue
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            if end:
+                at = end.end()
+            elif name in TO_END:
+                at = n
+            else:
+                open_raw.add(name)  # no end tag follows any later one either
             continue
         if closing:
             for i in range(len(stack) - 1, -1, -1):

@@ -225,6 +225,14 @@ def test_html_extraction_on_held_out_pages(spark):
     assert html_extract.main_text(page, html_extract.trained()) == "A & b\nOne two. three.\nFour <5."
 
 
+def test_html_keeps_text_after_unclosed_and_self_closed_elements():
+    text = lambda page: [t for t, _ in html_extract.leaf_blocks(page)]
+    for tag in ("<svg width='3'/>", "<object data=x />", "<svg>", "<object>", "<noscript>", "<template>"):
+        assert text(f"<p>One.</p>{tag}<p>Two.</p>{tag}<p>Three.</p>") == ["One.", "Two.", "Three."]
+    assert text("<svg/><p>One.</p><svg><text>no</text></svg><p>Two.</p>") == ["One.", "Two."]
+    assert text("<p>One.</p><script>var x; <p>Two.</p>") == ["One."] and text("<p>One.</p><style>p {} <p>Two.</p>") == ["One."]
+
+
 def test_decontamination_finds_passages_and_paraphrases(spark, empty):
     rng = random.Random(1)
     word = lambda: "".join(rng.choices("abcdefghij", k=5))
