@@ -160,21 +160,19 @@ def intent_centroids(labelled: DataFrame, label: str = "label", vec: str = "vec"
     return mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_m"))), lambda x: x["_m"]).alias("centroid"))
 
 
-def nearest_intents(sentences: DataFrame, centroids: DataFrame, labels: list, vec: str = "vec", above: float = 0.6) -> DataFrame:
+def nearest_intents(sentences: DataFrame, centroids: DataFrame, labels: list | None = None, vec: str = "vec", above: float = 0.6) -> DataFrame:
     """(…, intents array, confidence): labels whose centroid is close, and the highest cosine.
 
-    The labels are listed by the caller, so the centroid table read here is bounded by that list.
+    All labels of the centroid table, in their order, or those listed by the caller; the table is joined as one row.
     """
-    if len(labels) > 256:
-        raise ValueError("at most 256 intent labels")
-    known = centroids.filter(F.col("label").isin(labels)).collect()
-    scored = F.array(*[
-        F.struct(F.lit(r["label"]).cast("string").alias("label"), vx.cosine(F.col(vec), F.array(*[F.lit(float(x)) for x in r["centroid"]])).alias("s"))
-        for r in sorted(known, key=lambda r: labels.index(r["label"]))
-    ])
+    known = centroids if labels is None else centroids.filter(F.col("label").isin(labels))
+    place = F.lit(0) if labels is None else F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label"))
+    row = known.agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "label", "centroid"))).alias("_c"))
+    sentences = sentences.crossJoin(row)
+    scored = F.transform("_c", lambda c: F.struct(c["label"].cast("string").alias("label"), vx.cosine(F.col(vec), c["centroid"]).alias("s")))
     return (
         sentences.withColumn("_s", scored)
         .withColumn("intents", F.transform(F.filter("_s", lambda x: x["s"] > above), lambda x: x["label"]))
         .withColumn("confidence", F.array_max(F.transform("_s", lambda x: x["s"])))
-        .drop("_s")
+        .drop("_s", "_c")
     )

@@ -72,7 +72,7 @@ def _(t):
   round(max(list_cosine_similarity(e.embedding::DOUBLE[], c.centroid)), 5) AS confidence FROM embeddings e, centroids c GROUP BY 1""")
 def _(t):
     e = t.read("embeddings")
-    near = sm.nearest_intents(t.vectors, sm.intent_centroids(e, "label", "embedding"), list(range(10)))
+    near = sm.nearest_intents(t.vectors, sm.intent_centroids(e, "label", "embedding"))
     return near.select("seg_id", "intents", F.round("confidence", 5).alias("confidence"))
 
 

@@ -161,3 +161,12 @@ def test_weights_given_by_the_caller(spark):
     df = spark.createDataFrame([(1, "llm", "summary", "clarity", 4.0, ""), (1, "human", "summary", "clarity", 8.0, "")], "job_id long, source string, component string, criterion string, score double, explanation string")
     assert ev.weighted_criterion_scores(df, {"llm": 1.0, "human": 3.0}).first().score == pytest.approx(7.0)
     assert ev.weighted_criterion_scores(df).first().score == pytest.approx(6.0)
+
+
+def test_nearest_intents_take_every_label(spark):
+    rows = [(i, [1.0 if d == i else 0.0 for d in range(12)]) for i in range(12)]
+    e = spark.createDataFrame(rows, "label int, vec array<float>")
+    got = sm.nearest_intents(e.withColumnRenamed("label", "seg_id"), sm.intent_centroids(e)).collect()
+    assert {(r.seg_id, tuple(r.intents), r.confidence) for r in got} == {(i, (str(i),), 1.0) for i in range(12)}
+    listed = sm.nearest_intents(e.withColumnRenamed("label", "seg_id"), sm.intent_centroids(e), [11, 0], above=-1.0).first()
+    assert listed.intents == ["11", "0"]
