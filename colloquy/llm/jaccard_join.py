@@ -19,48 +19,26 @@ component only if it has no other id. Hashes have 64 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import shuffles
-from colloquy.llm.components import components
-from colloquy.llm.words import binary_list, chunks, mix, pack_sorted, unpack_sorted, words_of
+from colloquy.llm.resolution import LEADER_TILE, MEMBER_TILE, document_sets, expand, marked, named_components, resolve, set_id
+from colloquy.llm.words import binary_list, pack_sorted, unpack_sorted
 from colloquy.session import materialize
 
 HEAVY = 1 << 18
 LOCAL_DF = 3
 CLASSES = 16
 BLOCK = 64
-LEADER_TILE = 512
-MEMBER_TILE = 4096
-BUCKET_ENTRIES = 1 << 19
+BUCKET_ENTRIES = 1 << 18
+LOOSE = 2
 COLUMNS = ("tok", "sid", "n", "pos", "classes")
-BROADCAST_ROWS = 1_000_000
 ENTRY = np.dtype([("tok", "<u8"), ("sid", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("cls", "u1", (CLASSES,))])
 
 
-def document_sets(texts: list[bytes | None], size: int) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of every document."""
-    for lo, hi in chunks(texts):
-        words = words_of(texts[lo:hi], lower=True)
-        begin, found = words.windows(size)
-        cut = np.searchsorted(words.doc[begin], np.arange(hi - lo + 1))
-        for d in range(hi - lo):
-            own = found[cut[d]:cut[d + 1]]
-            if not len(own) and words.first[d] < words.first[d + 1]:
-                n = int(words.first[d + 1] - words.first[d])
-                own = words_of([texts[lo + d]], lower=True).windows(n)[1]
-            yield np.unique(own)
-
-
-def set_id(tokens: np.ndarray) -> int:
-    return int(np.sum(mix(tokens), dtype=np.uint64).view(np.int64)) if len(tokens) else 0
-
-
 def needed(n, m, num: int, den: int):
     """Smallest intersection of sets of n and m elements at a Jaccard similarity of num / den."""
     return -((-num * (n + m)) // (num + den))
@@ -83,7 +61,7 @@ def _describe(size: int, num: int, den: int, heavy: np.ndarray, heavy_df: np.nda
     def run(batches):
         for batch in batches:
             n, sid, prefix, classes = [], [], [], []
-            for own in document_sets(binary_list(batch.column(1)), size):
+            for own in document_sets(binary_list(batch.column(3)), size):
                 n.append(len(own))
                 sid.append(set_id(own))
                 classes.append(np.minimum(np.bincount((own & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes())
@@ -94,8 +72,8 @@ def _describe(size: int, num: int, den: int, heavy: np.ndarray, heavy_df: np.nda
                 length = len(own) - int(-(-len(own) * num // den)) + 1 if len(own) else 0
                 prefix.append(own[np.argsort(rank, kind="stable")[:length]].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(prefix, pa.binary()), pa.array(classes, pa.binary())],
-                names=["id", "n", "sid", "prefix", "classes"])
+                [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(prefix, pa.binary()), pa.array(classes, pa.binary())],
+                names=["id", "mark", "bytes", "n", "sid", "prefix", "classes"])
 
     return run
 
@@ -139,17 +117,10 @@ def _index(bits: int):
     return run
 
 
-def _expand(count: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, k) for k < count[i], in pieces of about `limit` rows."""
-    total = np.cumsum(count)
-    lo = 0
-    while lo < len(count):
-        base = total[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(total, base + limit, side="right")))
-        c = count[lo:hi]
-        i = np.repeat(np.arange(lo, hi), c)
-        yield i, np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-        lo = hi
+def _near(e: np.ndarray, f: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Is the pair near enough for a leader and its member? Loose on purpose: few leaders leave few pairs across clusters."""
+    both = e["n"].astype(np.int64) + f["n"]
+    return np.abs(e["cls"].astype(np.int16) - f["cls"]).sum(1) <= LOOSE * (both - needed(e["n"].astype(np.int64), f["n"], num, den) * 2)
 
 
 def _survive(e: np.ndarray, f: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -190,7 +161,7 @@ def _candidates(num: int, den: int):
                 break
             first = np.concatenate([[True], seg[left][1:] != seg[left][:-1]])
             leader = left[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            joined = _survive(entry[leader], entry[left], num, den) | first
+            joined = _near(entry[leader], entry[left], num, den) | first
             cluster[left[joined]] = leader[joined]
             star = joined & ~first
             pairs.append(np.stack([entry["sid"][leader[star]], entry["sid"][left[star]]], 1))
@@ -208,18 +179,18 @@ def _candidates(num: int, den: int):
             low, high, behind = np.minimum.reduceat(entry["n"], begin), np.maximum.reduceat(entry["n"], begin), np.maximum.reduceat(rest, begin)
             todo = np.flatnonzero(run_end < seg_end)
             b0, b1 = run_end[todo] // BLOCK, (seg_end[todo] - 1) // BLOCK + 1
-            for i, k in _expand(b1 - b0):
+            for i, k in expand(b1 - b0):
                 block, own = b0[i] + k, todo[i]
                 n = entry["n"][own].astype(np.int64)
                 need = needed(n, np.maximum(low[block], -(-n * num // den)), num, den)
                 ok = (low[block] * num <= n * den) & (high[block] * den >= n * num) & (np.minimum(rest[own], behind[block]) >= need)
                 own, block = own[ok], block[ok]
                 lo, hi = np.maximum(block * BLOCK, run_end[own]), np.minimum(block * BLOCK + BLOCK, seg_end[own])
-                for j, step in _expand(hi - lo):
+                for j, step in expand(hi - lo):
                     x, y = own[j], lo[j] + step
                     ok = _survive(entry[x], entry[y], num, den)
                     a, b = entry["sid"][x[ok]], entry["sid"][y[ok]]
-                    pairs.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+                    pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
         found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
         found = np.unique(found[found[:, 0] != found[:, 1]], axis=0)
         return pa.table({"leader": pa.array(found[:, 0]), "sid": pa.array(found[:, 1])})
@@ -227,88 +198,6 @@ def _candidates(num: int, den: int):
     return run
 
 
-def derived_links(n: np.ndarray, comp: np.ndarray, diffs: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links between members of one leader that are in different components, from their differences to the leader.
-
-    For a member outside the largest component, one link to each other component it is linked with.
-    """
-    names, kind, count = np.unique(comp, return_inverse=True, return_counts=True)
-    if len(names) < 2:
-        return []
-    out: list[tuple[int, int]] = []
-    size = np.fromiter(map(len, diffs), np.int64, len(diffs))
-    tokens, back = np.unique(np.concatenate(diffs), return_inverse=True)
-    by_token = np.argsort(back, kind="stable")
-    holder, edge = np.repeat(np.arange(len(n)), size)[by_token], np.searchsorted(back[by_token], np.arange(len(tokens) + 1))
-    begin = np.cumsum(size) - size
-    for y in np.flatnonzero(kind != count.argmax()):
-        mine = back[begin[y]:begin[y] + size[y]]
-        shared = np.zeros(len(n), np.int64)
-        for i, k in _expand(edge[mine + 1] - edge[mine]):
-            shared += np.bincount(holder[edge[mine[i]] + k], minlength=len(n))
-        total = n + n[y]
-        both = (total - (size + size[y] - 2 * shared)) // 2
-        linked = np.flatnonzero((both * den >= num * (total - both)) & (kind != kind[y]))
-        out += [(int(y), int(x)) for x in linked[np.unique(kind[linked], return_index=True)[1]]]
-    return out
-
-
-def _verify(size: int, num: int, den: int):
-    """Links of a leader's members: all of them where the leader has one tile of members, else those with the leader, and
-    every member's difference to it."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("leader", "ascending"), ("tile", "ascending")])
-        leader, tile, tiles, sid = (table[c].to_numpy() for c in ("leader", "tile", "tiles", "sid"))
-        texts = binary_list(table["text"].combine_chunks())
-        cut = np.flatnonzero((np.diff(leader) != 0) | (np.diff(tile) != 0)) + 1
-        out: dict[str, list] = {c: [] for c in ("leader", "sid", "n_leader", "n", "linked", "diff")}
-
-        def add(*row) -> None:
-            for c, v in zip(out, row, strict=True):
-                out[c].append(v)
-
-        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(leader)], strict=True):
-            sets = {}
-            for x, own in zip(sid[i:j].tolist(), document_sets(texts[i:j], size), strict=True):
-                if set_id(own) == x:  # rows that repeat an id with another text are not this set
-                    sets[x] = own
-            first = int(leader[i])
-            head = sets.pop(first)
-            diffs = [np.setxor1d(head, own, assume_unique=True) for own in sets.values()]
-            n = np.array([len(own) for own in sets.values()], np.int64)
-            both = (len(head) + n - np.array([len(d) for d in diffs], np.int64)) // 2
-            linked = both * den >= num * (len(head) + n - both)
-            names = list(sets)
-            if tiles[i] > 1:
-                for x, m, hit, diff in zip(names, n.tolist(), linked.tolist(), diffs, strict=True):
-                    add(first, x, len(head), m, hit, diff.tobytes())
-                continue
-            for x in np.flatnonzero(linked):
-                add(first, names[x], len(head), int(n[x]), True, None)
-            for y, x in derived_links(n, np.where(linked, -1, np.arange(len(n))), diffs, num, den):
-                add(names[y], names[x], int(n[y]), int(n[x]), True, None)
-        kinds = {"diff": pa.binary(), "linked": pa.bool_()}
-        return pa.table([pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()], names=list(out))
-
-    return run
-
-
-def _across(num: int, den: int):
-    """Links between components among the members of tiles of one leader."""
-
-    def run(table: pa.Table) -> pa.Table:
-        leader, tile, sid, n, comp = (table[c].to_numpy() for c in ("leader", "tile", "sid", "n", "comp"))
-        diffs = [np.frombuffer(x, np.uint64) for x in table["diff"].to_pylist()]
-        order = np.lexsort((tile, leader))
-        cut = np.flatnonzero((np.diff(leader[order]) != 0) | (np.diff(tile[order]) != 0)) + 1
-        found = [(int(sid[at[y]]), int(sid[at[x]])) for at in np.split(order, cut)
-                 for y, x in derived_links(n[at], comp[at], [diffs[i] for i in at], num, den)]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
-
-    return run
-
-
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """Per row of `docs`: id, n_shingles, set_id (equal sets share it) and component_id (smallest id reachable by links).
 
@@ -316,49 +205,18 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     num, den = threshold
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = marked(docs, id_col, text_col)
     frequent = (rows.select("text").mapInArrow(_frequent(size), "tok bigint, df bigint").groupBy("tok").agg(F.sum("df").alias("df"))
-                .orderBy(F.desc("df"), "tok").limit(HEAVY).collect())
-    heavy = np.array([r.tok for r in frequent], np.int64).view(np.uint64)
+                .orderBy(F.desc("df"), "tok").limit(HEAVY).toArrow())
+    heavy = frequent["tok"].to_numpy().view(np.uint64)
     rank = np.argsort(heavy)
-    heavy_df = np.array([r.df for r in frequent], np.int64)[rank]
+    heavy_df = frequent["df"].to_numpy()[rank]
     sets = materialize(rows.mapInArrow(_describe(size, num, den, heavy[rank], heavy_df),
-                                       "id bigint, n bigint, sid bigint, prefix binary, classes binary"))
-    place = materialize(sets.filter("n > 0").groupBy("sid").agg(F.min(F.coalesce("id", F.lit(shuffles.LAST_ID))).alias("key")))
+                                       "id bigint, mark bigint, bytes bigint, n bigint, sid bigint, prefix binary, classes binary"))
     entries = sets.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0] // 8
     bits = shuffles.buckets(spark, entries, BUCKET_ENTRIES).bit_length() - 1
     pairs = materialize(sets.select("sid", "n", "prefix", "classes").mapInArrow(_index(bits), "bucket bigint, tok binary, sid binary, n binary, pos binary, classes binary")
                         .groupBy("bucket").applyInArrow(_candidates(num, den), "leader bigint, sid bigint").distinct())
 
-    tiles = pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_TILE).cast("int").alias("tiles"))
-    members = pairs.join(tiles, "leader").select("leader", "sid", F.pmod(F.xxhash64("sid"), "tiles").cast("int").alias("tile"), "tiles")
-    heads = tiles.select("leader", F.col("leader").alias("sid"), "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-    full = materialize(members.unionByName(heads).join(place, "sid"))
-    texts = rows.select(F.coalesce("id", F.lit(shuffles.LAST_ID)).alias("key"), "text")
-    if full.count() <= BROADCAST_ROWS:  # four numbers a row
-        full = F.broadcast(full)
-    full = texts.join(full, "key").select("leader", "tile", "tiles", "sid", "text")
-    parts = shuffles.partitions(spark) * 4
-    checked = materialize(
-        full.groupBy(F.pmod(F.xxhash64("leader", "tile"), F.lit(parts)).alias("part")).applyInArrow(
-            _verify(size, num, den), "leader bigint, sid bigint, n_leader bigint, n bigint, linked boolean, diff binary"))
-    links = checked.filter("linked").select(F.col("leader").alias("a"), F.col("sid").alias("b"))
-    found = components(links)
-
-    wide = checked.filter("diff is not null")
-    group = wide.select("leader", "sid", "n", "diff").unionByName(
-        wide.groupBy("leader").agg(F.first("n_leader").alias("n")).select("leader", F.col("leader").alias("sid"), "n", F.lit(b"").alias("diff")))
-    group = group.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
-    mixed = (group.groupBy("leader").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-             .select("leader", F.ceil(F.col("rows") / MEMBER_TILE).cast("int").alias("t")))
-    group = group.join(mixed, "leader").withColumn("own", F.pmod(F.xxhash64("sid"), "t").cast("int"))
-    group = group.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    group = group.select("leader", "sid", "n", "diff", "comp", (F.least("own", "other") * F.col("t") + F.greatest("own", "other")).alias("tile"))
-    more = materialize(group.groupBy(F.pmod(F.xxhash64("leader", "tile"), F.lit(parts)).alias("part")).applyInArrow(_across(num, den), "a bigint, b bigint"))
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
-
-    named = sets.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
-    first = named.filter("n > 0").groupBy("comp").agg(F.min("id").alias("first"))
-    return named.join(first, "comp", "left").select(
-        "id", F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id")).alias("component_id"))
+    found = resolve(rows, sets, pairs, size, threshold, LEADER_TILE, MEMBER_TILE)
+    return named_components(sets, found)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import (collocations, decontamination, html_extract, jaccard_join, language_id, license_scan, packing, periodic_runs, quality_rules,
-                          substring_dedup, token_counts, url_filter)
+from colloquy.llm import (collocations, decontamination, html_extract, jaccard_join, language_id, license_scan, minhash_join, packing, periodic_runs,
+                          quality_rules, substring_dedup, token_counts, url_filter)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,15 +68,34 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.digests(found).withColumnRenamed("id", "doc_id")
 
 
+def op12_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash_join.near_duplicates(_table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("id").isNull()).alias("kept"))
+
+
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_table(spark, folder, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_pack, op2_token_rollup, op3_license_scan, op4_language, op5_substring_dedup, op6_url_filter, op7_jaccard_join,
-                                   op8_html_extract, op9_decontaminate, op10_quality, op11_periodic_runs, op13_collocations, pages_language)}
+                                   op8_html_extract, op9_decontaminate, op10_quality, op11_periodic_runs, op12_minhash_join, op13_collocations, pages_language)}
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+def _jaccard_sql(size: int, percent: int, more: str = "") -> str:
+    """Components of documents whose sets of `size`-word shingles are similar by `percent` or more."""
+    return rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+        g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + {size - 1}], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - {size - 2}))) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= {percent} * (p.n + q.n - c)),
+        both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y)
+        SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach.y) AS component_id{more}
+        FROM w LEFT JOIN n USING (doc_id) JOIN reach ON reach.x = w.doc_id GROUP BY 1, 2"""
+
+
 ORACLES = {
     "op5_substring_dedup": rf"""
         WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
@@ -87,16 +106,8 @@ ORACLES = {
         SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
                sha256(array_to_string(CASE WHEN js IS NULL THEN ws ELSE list_filter(ws, lambda x, p: NOT list_contains(js, p)) END, ' ')) AS kept_sha256
         FROM w LEFT JOIN gone USING (doc_id)""",
-    "op7_jaccard_join": rf"""
-        WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
-        g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) AS i FROM w WHERE len(ws) > 0)),
-        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
-        links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
-        both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
-        reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y)
-        SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach.y) AS component_id
-        FROM w LEFT JOIN n USING (doc_id) JOIN reach ON reach.x = w.doc_id GROUP BY 1, 2""",
+    "op7_jaccard_join": _jaccard_sql(3, 90),
+    "op12_minhash_join": _jaccard_sql(5, 85, ", w.doc_id = min(reach.y) AS kept"),
     "op8_html_extract": r"""
         WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h1)>', chr(1), 'g') AS t FROM pages),
         b AS (SELECT page_id, url, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(regexp_replace(
