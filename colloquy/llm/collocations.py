@@ -1,13 +1,13 @@
 """Collocations: frequent phrases of two to five words whose parts meet far more often than chance, per language.
 
 Method: level by level. Words of a language that occur often enough get consecutive numbers, and every text becomes one array
-of these numbers, with 0 where a phrase cannot go on (a piece ends, or a rare word stands there). A level's candidates are
-Apriori-safe: phrases whose first and last part of one word less are both frequent, and which some part of the texts holds as
-often as a phrase that reaches the total must occur in some part (total / parts, rounded up). They are dealt to shards of bounded
-size; a task makes each shard a double-array trie, the tries are broadcast a few at a time, and every task advances the states
-of all its text positions at once, one word a step, counts the accepting states and returns their sums, which Spark adds up.
-The tries of a level's frequent phrases then find the next level's candidates: phrases seen to go on with a frequent word. So
-candidates are read off the texts and never made by joining all left with all right neighbours of a common word.
+of these numbers, with 0 where a phrase cannot go on (a piece ends, or a rare word stands there). Phrases are dealt to shards of
+bounded size; a task makes each shard a double-array trie, the tries are broadcast a few at a time, and every task advances the
+states of all its text positions at once, one word a step. A level's candidates are Apriori-safe: a walk over the frequent
+phrases of the level before notes which frequent word follows each, every task reports how often (up to the threshold), and
+extensions that reach it together are candidates. So candidates are read off the texts and never made by joining all left with
+all right neighbours of a common word. A second walk counts the candidates' accepting states exactly; the tasks' sums are added
+in slices, in two steps.
 
 Only shards reach the driver and the broadcasts: SHARD phrases or words each, SHARDS_AT_ONCE a pass; more phrases mean more
 passes over the arrays of numbers. Scores use 38-digit whole numbers. A top list is cut in two steps, so that a language that
@@ -19,16 +19,15 @@ rows; repeated rows count again; ids and other columns are not read. Words of an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colloquy.llm.words import SPACE, binary_list, chunks, mix, words_of
+from colloquy.llm import shuffles
+from colloquy.llm.words import SPACE, binary_list, chunks, from_planes, mix, pack_sorted, planes, unpack_sorted, words_of
 from colloquy.session import materialize
 
 BREAK = np.zeros(256, bool)
@@ -38,7 +37,8 @@ SHARD = 1 << 19
 SHARDS_AT_ONCE = 4
 WORD_BUCKET = 1 << 16
 TOP_SALT = 64
-SLICE = 1 << 16
+SLICE = 1 << 14
+BUCKET_KEYS = 1 << 21
 
 
 def _languages(lang: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -203,7 +203,7 @@ def _tries(sent: Broadcast) -> list[tuple]:
 
 
 def _count(sent: Broadcast):
-    """Occurrences of every phrase in a partition."""
+    """Occurrences of every phrase in a partition, in slices of the shards' phrases."""
 
     def run(batches):
         tries = _tries(sent)
@@ -212,83 +212,155 @@ def _count(sent: Broadcast):
             for ids in batch.column(0).to_pylist():
                 for total, trie in zip(sums, tries, strict=True):
                     total += np.bincount(walk(np.frombuffer(ids, np.int32), trie)[1], minlength=len(total))
+        salt = TaskContext.get().partitionId()
         for total, trie in zip(sums, tries, strict=True):
-            hit = np.flatnonzero(total)
-            for i in range(0, len(hit), SLICE):
-                own = hit[i:i + SLICE]
-                yield _phrases(trie[3].reshape(-1, trie[1])[own], total[own])
+            parts = [planes(total[i:i + SLICE]) for i in range(0, len(total), SLICE) if total[i:i + SLICE].any()]
+            where = [i // SLICE for i in range(0, len(total), SLICE) if total[i:i + SLICE].any()]
+            yield pa.RecordBatch.from_arrays([pa.array([trie[0]] * len(parts), pa.int64()), pa.array(where, pa.int64()), pa.array([salt] * len(parts), pa.int64()),
+                                              pa.array(parts, pa.binary())], names=["shard", "slice", "salt", "counts"])
 
     return run
 
 
-def _phrases(words: np.ndarray, a: np.ndarray | None = None) -> pa.RecordBatch:
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel()))
-    return pa.RecordBatch.from_arrays([lists] if a is None else [lists, pa.array(a)], names=["words"] if a is None else ["words", "a"])
+def _add(table: pa.Table) -> pa.Table:
+    """Sum of the count slices of a group."""
+    total = None
+    for blob in table["counts"].to_pylist():
+        own = from_planes(blob, "<i8")
+        total = own.copy() if total is None else total + own
+    return pa.table([*[table[c].combine_chunks().slice(0, 1) for c in ("shard", "slice", "salt")], pa.array([planes(total)], pa.binary())],
+                    names=["shard", "slice", "salt", "counts"])
 
 
-def _extend(sent: Broadcast, least: int):
-    """Phrases of the tries with the word that follows, if a partition holds them `least` times."""
+def _extend(sent: Broadcast, least: int, bits: int):
+    """Phrases of the tries (shard, row) with the word that follows, and how often a partition holds that, up to `least`: one row per hash bucket."""
 
     def run(batches):
         tries = _tries(sent)
-        seen = [_Counts() for _ in tries]
+        seen = [_Counts(least) for _ in tries]
         for batch in batches:
             for ids in batch.column(0).to_pylist():
                 x = np.frombuffer(ids, np.int32)
                 for counts, trie in zip(seen, tries, strict=True):
                     at, row = walk(x, trie)
                     after = x[at + trie[1]]
-                    counts.add((row[after > 0].astype(np.int64) << 32) | after[after > 0])
+                    counts.add((row[after > 0].astype(np.uint64) << np.uint64(32)) | after[after > 0].astype(np.uint64))
         for counts, trie in zip(seen, tries, strict=True):
-            found = counts.at_least(least)
-            for i in range(0, len(found), SLICE):
-                own = found[i:i + SLICE]
-                yield _phrases(np.column_stack([trie[3].reshape(-1, trie[1])[own >> 32], (own & 0xFFFFFFFF).astype(np.int32)]))
+            keys, many = counts.fold()
+            bucket = (mix(keys) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+            order = np.argsort(bucket, kind="stable")
+            keys, many, bucket = keys[order], many[order], bucket[order]
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+            for lo in range(0, len(cut) - 1, 256):
+                parts = list(zip(cut[lo:lo + 256].tolist(), cut[lo + 1:lo + 257].tolist(), strict=False))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([trie[0]] * len(parts), pa.int64()), pa.array([int(bucket[i]) for i, _ in parts], pa.int64()),
+                     pa.array([pack_sorted(keys[i:j]) for i, j in parts], pa.binary()), pa.array([planes(many[i:j].astype("<u4")) for i, j in parts], pa.binary())],
+                    names=["shard", "bucket", "keys", "counts"])
+
+    return run
+
+
+def _often(least: int):
+    """Extensions of a bucket that all partitions together hold `least` times."""
+
+    def run(table: pa.Table) -> pa.Table:
+        counts = _Counts(least)
+        for keys, many in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True):
+            counts.add(unpack_sorted(keys), from_planes(many, "<u4"))
+        keys, many = counts.fold()
+        keys = keys[many >= least]
+        return pa.table({"shard": pa.array(np.full(len(keys), table["shard"][0].as_py()), pa.int64()), "row": pa.array((keys >> np.uint64(32)).astype(np.int32)),
+                         "word": pa.array(keys.astype(np.uint32).astype(np.int32))})
 
     return run
 
 
 class _Counts:
-    """Counts of numbers, folded whenever as many new distinct ones wait as are held."""
+    """Counts of numbers up to a limit, folded whenever as many new distinct ones wait as are held."""
 
-    def __init__(self) -> None:
-        self.keys, self.counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def __init__(self, limit: int) -> None:
+        self.keys, self.counts, self.limit = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], limit
 
-    def add(self, values: np.ndarray) -> None:
-        keys, counts = np.unique(values, return_counts=True)
-        self.keys.append(keys)
+    def add(self, values: np.ndarray, counts: np.ndarray | None = None) -> None:
+        if counts is None:
+            values, counts = np.unique(values, return_counts=True)
+        self.keys.append(values)
         self.counts.append(counts)
         if sum(map(len, self.keys[1:])) > max(1 << 20, len(self.keys[0])):
-            self._fold()
+            self.fold()
 
-    def _fold(self) -> None:
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
         keys, back = np.unique(np.concatenate(self.keys), return_inverse=True)
-        self.counts = [np.bincount(back, np.concatenate(self.counts), len(keys)).astype(np.int64)]
-        self.keys = [keys]
+        counts = np.bincount(back, np.concatenate(self.counts), len(keys)).astype(np.int64)
+        self.keys, self.counts = [keys], [np.minimum(counts, self.limit)]
+        return self.keys[0], self.counts[0]
+
 
-    def at_least(self, least: int) -> np.ndarray:
-        self._fold()
-        return self.keys[0][self.counts[0] >= least]
+def _named(batches):
+    """Phrases of the tries by shard and row."""
+    for batch in batches:
+        for shard, depth, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            words = np.frombuffer(blob, np.int32).reshape(-1, depth)
+            for i in range(0, len(words), SLICE):
+                part = words[i:i + SLICE]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * depth), pa.array(part.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), shard), pa.int64()), pa.array(np.arange(i, i + len(part), dtype=np.int32)), lists],
+                                                 names=["shard", "row", "words"])
 
 
-def _passes(texts: DataFrame, phrases: DataFrame, work, schema: str, shard: int) -> DataFrame:
-    """Rows of work(broadcast tries) over the texts for all phrases (arrays `words` of one length), SHARDS_AT_ONCE shards a pass."""
-    spark = texts.sparkSession
+def _number(batches):
+    """(shard, row, a) of count slices."""
+    for batch in batches:
+        for shard, slice_, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            total = from_planes(blob, "<i8")
+            hit = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), shard), pa.int64()), pa.array((hit + slice_ * SLICE).astype(np.int32)), pa.array(total[hit])],
+                                             names=["shard", "row", "a"])
+
+
+def _tries_of(phrases: DataFrame, shard: int) -> tuple[DataFrame, int]:
+    """One trie per shard of the phrases (arrays `words` of one length), and the number of shards."""
     rows = phrases.count()
     shards = 1 if rows <= shard else -(-2 * rows // shard)  # half full on average
-    tries = materialize(phrases.select("words", F.pmod(F.xxhash64("words"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(
-        _make_trie, "shard bigint, depth int, alphabet binary, phrases binary, base binary, check binary, accept binary"))
-    found = []
+    return materialize(phrases.select("words", F.pmod(F.xxhash64("words"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(
+        _make_trie, "shard bigint, depth int, alphabet binary, phrases binary, base binary, check binary, accept binary")), shards
+
+
+def _passes(texts: DataFrame, tries: DataFrame, shards: int, work, schema: str) -> DataFrame:
+    """Rows of work(broadcast tries) over the texts, SHARDS_AT_ONCE shards a pass."""
+    out = None
     for first in range(0, shards, SHARDS_AT_ONCE):
-        sent = spark.sparkContext.broadcast([tuple(r) for r in tries.filter(F.col("shard").between(first, first + SHARDS_AT_ONCE - 1)).collect()])
-        found.append(materialize(texts.mapInArrow(work(sent), schema)))
+        some = tries.filter(F.col("shard").between(first, first + SHARDS_AT_ONCE - 1)).collect()
+        sent = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in some])
+        found = materialize(texts.mapInArrow(work(sent), schema))
         sent.unpersist()
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+        out = found if out is None else out.unionByName(found)
     return out
 
 
+def extensions(texts: DataFrame, level: DataFrame, least: int, shard: int, words: int) -> DataFrame:
+    """Candidates one word longer than the frequent phrases of `level`: arrays `words` that occur `least` times. `words` sizes the buckets."""
+    tries, shards = _tries_of(level, shard)
+    bits = shuffles.buckets(texts.sparkSession, words, BUCKET_KEYS).bit_length() - 1
+    found = (_passes(texts, tries, shards, lambda sent: _extend(sent, least, bits), "shard bigint, bucket bigint, keys binary, counts binary")
+             .groupBy("shard", "bucket").applyInArrow(_often(least), "shard bigint, row int, word int"))
+    named = tries.select("shard", "depth", "phrases").mapInArrow(_named, "shard bigint, row int, words array<int>")
+    return materialize(found.join(named, ["shard", "row"]).select(F.concat("words", F.array("word")).alias("words")))
+
+
+def count_phrases(texts: DataFrame, candidates: DataFrame, shard: int) -> DataFrame:
+    """(words, a) of all candidates that occur; candidates are distinct arrays `words` of one length."""
+    tries, shards = _tries_of(candidates, shard)
+    schema = "shard bigint, slice bigint, salt bigint, counts binary"
+    sums = _passes(texts, tries, shards, _count, schema)
+    salts = max(1, round(texts.rdd.getNumPartitions() ** 0.5))  # so many slices meet in a task, twice
+    sums = sums.withColumn("salt", F.pmod("salt", F.lit(salts))).groupBy("shard", "slice", "salt").applyInArrow(_add, schema)
+    sums = sums.groupBy("shard", "slice").applyInArrow(_add, schema).select("shard", "slice", "counts").mapInArrow(_number, "shard bigint, row int, a bigint")
+    named = tries.select("shard", "depth", "phrases").mapInArrow(_named, "shard bigint, row int, words array<int>")
+    return materialize(sums.join(named, ["shard", "row"]).select("words", "a"))
+
+
 def frequent_words(docs: DataFrame, text_col: str, lang_col: str, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, n) of all languages, and (id, key, lang, word, a) of words with at least `least` occurrences, numbered from 1 by key."""
     counted = materialize(docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -319,20 +391,14 @@ def frequent_phrases(docs: DataFrame, text_col: str, lang_col: str, least: int,
     """(lang, n), the frequent words, and (words, a) of all phrases up to `longest` words that occur at least `least` times."""
     total, words = frequent_words(docs, text_col, lang_col, least)
     texts = numbered_texts(docs, words, text_col, lang_col, shard)
-    parts = max(1, texts.rdd.getNumPartitions())
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 4
     level = words.select(F.array("id").alias("words"), "a")
     levels = [level]
-    for size in range(2, longest + 1):
-        longer = _passes(texts, level, lambda sent: _extend(sent, -(-least // parts)), "words array<int>", shard).distinct()
-        if size > 2:
-            longer = longer.join(level.select(F.col("words").alias("rest")), F.slice("words", 2, size - 1) == F.col("rest"), "left_semi")
-        longer = materialize(longer)
+    for _ in range(2, longest + 1):
+        longer = extensions(texts, level, least, shard, size)
         if longer.isEmpty():
             break
-        level = materialize(_passes(texts, longer, _count, "words array<int>, a bigint", shard)
-                            .groupBy("words").agg(F.sum("a").alias("a")).filter(F.col("a") >= least))
-        if level.isEmpty():
-            break
+        level = count_phrases(texts, longer, shard).filter(F.col("a") >= least)
         levels.append(level)
     out = levels[0]
     for more in levels[1:]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import shuffles
 from colloquy.llm.resolution import LEADER_TILE, MEMBER_TILE, document_sets, expand, marked, named_components, resolve, set_id
-from colloquy.llm.words import binary_list, pack_sorted, unpack_sorted
+from colloquy.llm.words import binary_list, from_planes, pack_sorted, planes, unpack_sorted
 from colloquy.session import materialize
 
 HEAVY = 1 << 18
@@ -78,16 +78,6 @@ def _describe(size: int, num: int, den: int, heavy: np.ndarray, heavy_df: np.nda
     return run
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Byte planes of whole numbers, so that shuffle compression drops the empty ones."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-
-
-def _from_planes(blob: bytes, kind: str) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 def _index(bits: int):
     """Index entries of the distinct sets of a batch, one row per hash bucket, in columns."""
 
@@ -111,7 +101,7 @@ def _index(bits: int):
             parts = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket[cut[:-1]]), *[pa.array([f(x[i:j]) for i, j in parts], pa.binary()) for f, x in (
-                    (pack_sorted, tok), (np.ndarray.tobytes, sid), (_planes, n), (_planes, pos), (np.ndarray.tobytes, classes))]],
+                    (pack_sorted, tok), (np.ndarray.tobytes, sid), (planes, n), (planes, pos), (np.ndarray.tobytes, classes))]],
                 names=["bucket", *COLUMNS])
 
     return run
@@ -138,7 +128,7 @@ def _candidates(num: int, den: int):
     """Leader-member pairs and pairs across clusters of every index list of a bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        read = (unpack_sorted, lambda x: np.frombuffer(x, np.int64), lambda x: _from_planes(x, "u4"), lambda x: _from_planes(x, "u4"),
+        read = (unpack_sorted, lambda x: np.frombuffer(x, np.int64), lambda x: from_planes(x, "u4"), lambda x: from_planes(x, "u4"),
                 lambda x: np.frombuffer(x, np.uint8).reshape(-1, CLASSES))
         entry = np.zeros(sum(len(x) for x in table["sid"].to_pylist()) // 8, ENTRY)
         for field, column, f in zip(ENTRY.names, COLUMNS, read, strict=True):

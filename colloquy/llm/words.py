@@ -135,6 +135,16 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Byte planes of whole numbers, so that shuffle compression drops the empty ones."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def from_planes(blob: bytes, kind: str) -> np.ndarray:
+    rows = np.frombuffer(blob, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(rows.T).view(kind).ravel()
+
+
 def binary_list(column) -> list[bytes | None]:
     """UTF-8 bytes of an Arrow string column."""
     import pyarrow as pa
