@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import shuffles
 from colloquy.llm.resolution import LEADER_TILE, MEMBER_TILE, document_sets, expand, marked, named_components, resolve, set_id
-from colloquy.llm.words import binary_list, from_planes, pack_sorted, planes, unpack_sorted
+from colloquy.llm.words import binary_list, from_planes, pack_sorted, planes, shed, unpack_sorted
 from colloquy.session import materialize
 
 HEAVY = 1 << 18
@@ -34,7 +34,6 @@ LOCAL_DF = 3
 CLASSES = 16
 BLOCK = 64
 BUCKET_ENTRIES = 1 << 18
-LOOSE = 2
 COLUMNS = ("tok", "sid", "n", "pos", "classes")
 ENTRY = np.dtype([("tok", "<u8"), ("sid", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("cls", "u1", (CLASSES,))])
 
@@ -46,6 +45,7 @@ def needed(n, m, num: int, den: int):
 
 def _frequent(size: int):
     def run(batches):
+        shed()
         for batch in batches:
             sets = list(document_sets(binary_list(batch.column(0)), size))
             tokens, df = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
@@ -59,6 +59,7 @@ def _describe(size: int, num: int, den: int, heavy: np.ndarray, heavy_df: np.nda
     """Per document: set size, set id, prefix in the global order, and counts of its shingles by hash class."""
 
     def run(batches):
+        shed()
         for batch in batches:
             n, sid, prefix, classes = [], [], [], []
             for own in document_sets(binary_list(batch.column(3)), size):
@@ -107,12 +108,6 @@ def _index(bits: int):
     return run
 
 
-def _near(e: np.ndarray, f: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Is the pair near enough for a leader and its member? Loose on purpose: few leaders leave few pairs across clusters."""
-    both = e["n"].astype(np.int64) + f["n"]
-    return np.abs(e["cls"].astype(np.int16) - f["cls"]).sum(1) <= LOOSE * (both - needed(e["n"].astype(np.int64), f["n"], num, den) * 2)
-
-
 def _survive(e: np.ndarray, f: np.ndarray, num: int, den: int) -> np.ndarray:
     """Can the pair reach the threshold, by sizes, by what stands behind the shared shingle, and by class counts?"""
     n, m = e["n"].astype(np.int64), f["n"].astype(np.int64)
@@ -128,6 +123,7 @@ def _candidates(num: int, den: int):
     """Leader-member pairs and pairs across clusters of every index list of a bucket."""
 
     def run(table: pa.Table) -> pa.Table:
+        shed()
         read = (unpack_sorted, lambda x: np.frombuffer(x, np.int64), lambda x: from_planes(x, "u4"), lambda x: from_planes(x, "u4"),
                 lambda x: np.frombuffer(x, np.uint8).reshape(-1, CLASSES))
         entry = np.zeros(sum(len(x) for x in table["sid"].to_pylist()) // 8, ENTRY)
@@ -151,7 +147,7 @@ def _candidates(num: int, den: int):
                 break
             first = np.concatenate([[True], seg[left][1:] != seg[left][:-1]])
             leader = left[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            joined = _near(entry[leader], entry[left], num, den) | first
+            joined = _survive(entry[leader], entry[left], num, den) | first
             cluster[left[joined]] = leader[joined]
             star = joined & ~first
             pairs.append(np.stack([entry["sid"][leader[star]], entry["sid"][left[star]]], 1))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.words import LOWER, SPACE, binary_list, chunks
+from colloquy.llm.words import LOWER, SPACE, binary_list, chunks, shed
 from colloquy.session import materialize
 
 SLOTS = 1 << 16
@@ -41,6 +41,7 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _count(batches):
     """Trigram counts of each declared language of a batch."""
+    shed()
     for batch in batches:
         by: dict[str, list[bytes]] = {}
         for text, lang in zip(binary_list(batch.column(0)), batch.column(1).to_pylist(), strict=True):
@@ -75,6 +76,7 @@ def _likelihoods(model: np.ndarray, names: list[str]):
     """Columns `names`, the log-likelihoods of the model's languages, and whether one of them fits."""
 
     def run(batches):
+        shed()
         for batch in batches:
             texts = [t or b"" for t in binary_list(batch.column(batch.schema.get_field_index("text")))]
             parts, letters, sizes = [], [], []

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import shuffles
 from colloquy.llm.components import components
-from colloquy.llm.words import binary_list, chunks, mix, words_of
+from colloquy.llm.words import binary_list, chunks, mix, shed, words_of
 from colloquy.session import materialize
 
 LEADER_TILE = 512
@@ -93,6 +93,7 @@ def _verify(size: int, num: int, den: int):
     every member's difference to it."""
 
     def run(table: pa.Table) -> pa.Table:
+        shed()
         table = table.sort_by([("leader", "ascending"), ("tile", "ascending")])
         leader, tile, tiles, sid = (table[c].to_numpy() for c in ("leader", "tile", "tiles", "sid"))
         texts = binary_list(table["text"].combine_chunks())

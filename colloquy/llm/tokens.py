@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from colloquy.llm.words import chunks
+from colloquy.llm.words import CACHES, chunks
 
 WORD_FILE = "word_bpe_49k.json"
 CACHE_WORDS = 600_000
@@ -64,6 +64,7 @@ class WordIds(dict):
 
 
 _loaded: dict[str, WordIds] = {}
+CACHES.append(_loaded)
 
 
 def word_ids(path: str) -> WordIds:

@@ -6,6 +6,8 @@ so every substring hash comes from two running sums and a modular inverse; a bit
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +26,24 @@ WORD_BASE = 0xC2B2AE3D27D4EB4F
 CHUNK = 1 << 20
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: What tasks keep for later tasks of the same worker process; stages with no use for it give it back.
+CACHES: list[dict] = [_powers]
+
+
+def shed() -> None:
+    """Give back memory that this worker process holds from earlier tasks: caches and freed arrays.
+
+    Python workers live on from stage to stage, so a stage with large arrays begins with what all earlier ones kept.
+    """
+    import pyarrow as pa
+
+    for cache in CACHES:
+        cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
