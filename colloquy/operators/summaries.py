@@ -23,23 +23,54 @@ def _rouge_tokens(c):
     return F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != "")
 
 
-def summary_coverage(pairs: DataFrame, key: str, source: str = "source", summary: str = "summary") -> DataFrame:
-    """Share of source words in the summary, TF-IDF cosine of the two texts, and their mean."""
-    a, b = (F.array_distinct(tx.words(F.lower(F.col(c)))) for c in (source, summary))
-    overlap = F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
-    both = pairs.select(key, F.explode(_terms(F.col(source))).alias("t"), F.lit(1).alias("s"), F.lit(0).alias("m")).unionByName(
-        pairs.select(key, F.explode(_terms(F.col(summary))).alias("t"), F.lit(0).alias("s"), F.lit(1).alias("m"))
-    )
-    counts = both.groupBy(key, "t").agg(F.sum("s").alias("s"), F.sum("m").alias("m"))
+def _sides(text, source: bool):
+    """Distinct words and all terms of a text, counted on the source's or the summary's side."""
+
+    def tagged(kind, tokens):
+        side = [F.lit(int(source)).alias("s"), F.lit(int(not source)).alias("m")]
+        return F.transform(tokens, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("t"), *side))
+
+    return F.concat(tagged("word", F.array_distinct(tx.words(F.lower(text)))), tagged("term", _terms(text)))
+
+
+def _coverage(sides: DataFrame, key: str) -> DataFrame:
+    """Share of source words in the summary, TF-IDF cosine of the two texts, and their mean, from rows (key, kind, t, s, m)."""
+    counts = sides.groupBy(key, "kind", "t").agg(F.sum("s").alias("s"), F.sum("m").alias("m"))
     df = (F.col("s") > 0).cast("int") + (F.col("m") > 0).cast("int")
     w = F.log(F.lit(3.0) / (1 + df)) + 1
+    word, term = F.col("kind") == "word", lambda c: F.sum(F.when(F.col("kind") == "term", c))
     sums = counts.withColumn("w2", w * w).groupBy(key).agg(
-        F.sum(F.col("s") * F.col("m") * F.col("w2")).alias("d"), F.sum(F.col("s") * F.col("s") * F.col("w2")).alias("x"),
-        F.sum(F.col("m") * F.col("m") * F.col("w2")).alias("y"),
+        F.count_if(word & (F.col("s") > 0)).alias("n"), F.count_if(word & (F.col("s") > 0) & (F.col("m") > 0)).alias("both"),
+        term(F.col("s") * F.col("m") * F.col("w2")).alias("d"), term(F.col("s") * F.col("s") * F.col("w2")).alias("x"), term(F.col("m") * F.col("m") * F.col("w2")).alias("y"),
     )
     cos = F.coalesce(F.try_divide(F.col("d"), F.sqrt(F.col("x")) * F.sqrt(F.col("y"))), F.lit(0.0))
-    return pairs.select(key, overlap.alias("token_overlap")).join(sums, key, "left").select(
-        key, "token_overlap", cos.alias("tfidf_similarity"), ((F.col("token_overlap") + cos) / 2).alias("coverage_score")
+    overlap = F.coalesce(F.try_divide(F.col("both"), F.col("n")), F.lit(0.0))
+    return sums.select(key, overlap.alias("token_overlap"), cos.alias("tfidf_similarity"), ((overlap + cos) / 2).alias("coverage_score"))
+
+
+def summary_coverage(pairs: DataFrame, key: str, source: str = "source", summary: str = "summary") -> DataFrame:
+    """Share of source words in the summary, TF-IDF cosine of the two texts, and their mean; `key` names a pair.
+
+    The texts are dealt by key once; all counts then stay where they are.
+    """
+    both = pairs.select(key, source, summary).repartition(key)
+    sides = both.select(key, F.explode_outer(F.concat(_sides(F.col(source), True), _sides(F.col(summary), False))).alias("_x")).select(key, "_x.*")
+    return _coverage(sides, key)
+
+
+def transcript_coverage(segments: DataFrame, summaries: DataFrame) -> DataFrame:
+    """summary_coverage of every meeting's summary against its segments, without joining them to one text."""
+    sides = segments.select("meeting_id", F.explode_outer(_sides(F.col("text"), True)).alias("_x")).unionByName(
+        summaries.select("meeting_id", F.explode_outer(_sides(F.col("summary"), False)).alias("_x")))
+    return _coverage(sides.select("meeting_id", "_x.*"), "meeting_id")
+
+
+def transcript_statistics(segments: DataFrame, summaries: DataFrame) -> DataFrame:
+    """summary_statistics against a meeting's segments, read as one text with single spaces between them."""
+    size = segments.groupBy("meeting_id").agg((F.sum(F.length("text")) + F.count("text") - 1).alias("_n"))
+    return summaries.join(size, "meeting_id").select(
+        "meeting_id", F.length("summary").alias("length_chars"), tx.word_count(F.col("summary")).alias("length_words"),
+        F.try_divide(F.length("summary"), F.col("_n")).alias("compression_ratio"),
     )
 
 
@@ -61,12 +92,15 @@ def rouge_n(pairs: DataFrame, key: str, n: int = 1, predicted: str = "summary",
         t = _rouge_tokens(F.col(c))
         return t if n == 1 else tx.let(t, runs)
 
-    both = pairs.select(key, F.explode(grams(predicted)).alias("g"), F.lit(1).alias("p"), F.lit(0).alias("r")).unionByName(
-        pairs.select(key, F.explode(grams(reference)).alias("g"), F.lit(0).alias("p"), F.lit(1).alias("r"))
-    )
+    def side(c, predicted_side):
+        tags = [F.lit(int(predicted_side)).alias("p"), F.lit(int(not predicted_side)).alias("r")]
+        return F.transform(grams(c), lambda g: F.struct(g.alias("g"), *tags))
+
+    both = pairs.select(key, predicted, reference).repartition(key)  # all counts stay where the pair is
+    both = both.select(key, F.explode_outer(F.concat(side(predicted, True), side(reference, False))).alias("_x")).select(key, "_x.*")
     counts = both.groupBy(key, "g").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
     s = counts.groupBy(key).agg(F.sum(F.least("p", "r")).alias("m"), F.sum("p").alias("np"), F.sum("r").alias("nr"))
-    return pairs.select(key).join(s, key, "left").na.fill(0, ["m", "np", "nr"]).select(key, *_prf(F.col("m"), F.col("np"), F.col("nr"), f"rouge_{n}"))
+    return s.na.fill(0, ["m", "np", "nr"]).select(key, *_prf(F.col("m"), F.col("np"), F.col("nr"), f"rouge_{n}"))
 
 
 def rouge_l(pairs: DataFrame, key: str, predicted: str = "summary", reference: str = "source") -> DataFrame:

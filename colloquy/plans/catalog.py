@@ -209,18 +209,20 @@ def cases(c: str, categories: dict, default: str) -> str:
 def with_ctes(body: str) -> str:
     """Prefix the named pieces that the body (and they themselves) use."""
     need: list[str] = []
+    open_: set[str] = set()
 
     def visit(sql: str) -> None:
         for name in CTES:
             if name not in need and re.search(rf"(?:\bFROM|\bJOIN|,)\s+{name}\b", sql):
-                visit(CTES[name])
-                if name not in need:
+                if name not in open_:
+                    open_.add(name)  # a recursive piece names itself
+                    visit(CTES[name])
                     need.append(name)
 
     visit(body)
     if not need:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in need) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in need) + "\n" + body
 
 
 CTES["seg"] = SEGMENTS_SQL

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from colloquy import rules
 from colloquy.operators import evaluation as ev
 from colloquy.operators import summaries as sm
-from colloquy.plans import flow
 from colloquy.plans.catalog import CRITERIA, CTES, has, lit, register, strip, title_case, words
 
 _SRC = ", ".join(f"('{s}', {i})" for i, s in enumerate(ev.SOURCES))
@@ -282,19 +281,3 @@ def _(t):
 def _(t):
     s = ev.target_scores(ev.extraction_counts(t.items, t.summaries))
     return ev.grade_extraction(s, {"decisions_count": (2, 5), "actions_count": (1, 5)}).select("meeting_id", "quality_grade", "in_range")
-
-
-# ------------------------------------------------------------------ L4, C22
-def _judged(t):
-    return t.eval_scores.filter("source <> 'metrics'")
-
-
-@register("evaluate_all")
-def _(t):
-    return flow.evaluate_all(t.segments, _judged(t), t.eval_schema).totals
-
-
-@register("batch_evaluate")
-def _(t):
-    jobs = t.read("labels").filter("quality = 1").select(F.col("doc_id").alias("job_id"))
-    return flow.batch_evaluate(jobs, t.segments, _judged(t), t.eval_schema)

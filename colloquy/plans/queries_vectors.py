@@ -127,24 +127,24 @@ def _(t):
 _TOK = r"list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
 
 
-def _rouge_sql(n):
+def rouge_sql(n, key="doc_id", base="documents", toks="toks"):
     gram = lambda c: f"list_transform(range(1, greatest(len({c}) - {n - 1}, 0) + 1), lambda i: array_to_string({c}[i:i+{n - 1}], ' '))"
     return f"""
-SELECT doc_id, p AS rouge_{n}_p, r AS rouge_{n}_r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS rouge_{n}_f FROM (
- SELECT d.doc_id, coalesce(m / nullif(np, 0)::DOUBLE, 0) AS p, coalesce(m / nullif(nr, 0)::DOUBLE, 0) AS r FROM documents d LEFT JOIN (
-  SELECT doc_id, sum(least(p, r)) AS m, sum(p) AS np, sum(r) AS nr FROM (SELECT doc_id, g, sum(p) AS p, sum(r) AS r FROM (
-    SELECT doc_id, unnest({gram('b')}) AS g, 1 AS p, 0 AS r FROM toks UNION ALL SELECT doc_id, unnest({gram('a')}), 0, 1 FROM toks) x GROUP BY 1, 2) y GROUP BY 1) z ON z.doc_id = d.doc_id) q"""
+SELECT {key}, p AS rouge_{n}_p, r AS rouge_{n}_r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS rouge_{n}_f FROM (
+ SELECT d.{key}, coalesce(m / nullif(np, 0)::DOUBLE, 0) AS p, coalesce(m / nullif(nr, 0)::DOUBLE, 0) AS r FROM {base} d LEFT JOIN (
+  SELECT {key}, sum(least(p, r)) AS m, sum(p) AS np, sum(r) AS nr FROM (SELECT {key}, g, sum(p) AS p, sum(r) AS r FROM (
+    SELECT {key}, unnest({gram('b')}) AS g, 1 AS p, 0 AS r FROM {toks} UNION ALL SELECT {key}, unnest({gram('a')}), 0, 1 FROM {toks}) x GROUP BY 1, 2) y GROUP BY 1) z ON z.{key} = d.{key}) q"""
 
 
 CTES["toks"] = f"SELECT doc_id, {_TOK.format('source')} AS a, {_TOK.format('summary')} AS b FROM doc_pairs"
 
 
-@register("rouge_1", _rouge_sql(1))
+@register("rouge_1", rouge_sql(1))
 def _(t):
     return sm.rouge_n(t.pairs, "doc_id", 1)
 
 
-@register("rouge_2", _rouge_sql(2))
+@register("rouge_2", rouge_sql(2))
 def _(t):
     return sm.rouge_n(t.pairs, "doc_id", 2)
 
@@ -160,21 +160,24 @@ def _(t):
 
 
 # ------------------------------------------------------------------ J3
-CTES["sum_sent"] = rf"""
+def summary_ctes(prefix: str, chunk_words: int) -> str:
+    """Registers the pieces of an extractive summary with chunks of so many words; returns the SQL of (meeting_id, summary)."""
+    CTES[f"{prefix}_sent"] = rf"""
 SELECT meeting_id, chunk, seg_id, i - 1 AS sent_id, {strip('p[i]')} AS sentence FROM (
-  SELECT meeting_id, seg_id, CAST(floor((sum(len({words('text')})) OVER (PARTITION BY meeting_id ORDER BY seg_id) - len({words('text')})) / 60) AS BIGINT) AS chunk, string_split_regex(text, '[.!?]+\s+') AS p FROM seg) s,
+  SELECT meeting_id, seg_id, CAST(floor((sum(len({words('text')})) OVER (PARTITION BY meeting_id ORDER BY seg_id) - len({words('text')})) / {chunk_words}) AS BIGINT) AS chunk, string_split_regex(text, '[.!?]+\s+') AS p FROM seg) s,
   LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i) u WHERE {strip('p[i]')} <> ''"""
-CTES["sum_tf"] = f"SELECT meeting_id, chunk, seg_id, sent_id, t, count(*) AS tf FROM (SELECT *, unnest({_TERM.format('sentence')}) AS t FROM sum_sent) x GROUP BY ALL"
-
-
-@register("extractive_summary", """
+    CTES[f"{prefix}_tf"] = f"SELECT meeting_id, chunk, seg_id, sent_id, t, count(*) AS tf FROM (SELECT *, unnest({_TERM.format('sentence')}) AS t FROM {prefix}_sent) x GROUP BY ALL"
+    return f"""
 SELECT meeting_id, string_agg(sentence, '. ' ORDER BY seg_id, sent_id) AS summary FROM (
  SELECT x.*, row_number() OVER (PARTITION BY meeting_id ORDER BY score DESC, seg_id, sent_id) AS k FROM (
   SELECT c.meeting_id, c.chunk, c.seg_id, c.sent_id, s.sentence, c.score, row_number() OVER (PARTITION BY c.meeting_id, c.chunk ORDER BY c.score DESC, c.seg_id, c.sent_id) AS rn FROM (
-   SELECT f.meeting_id, f.chunk, f.seg_id, f.sent_id, round(avg(f.tf * ln(1 + n.n / d.df::DOUBLE)), 9) AS score FROM sum_tf f
-   JOIN (SELECT meeting_id, chunk, t, count(*) AS df FROM sum_tf GROUP BY ALL) d ON d.meeting_id = f.meeting_id AND d.chunk = f.chunk AND d.t = f.t
-   JOIN (SELECT meeting_id, chunk, count(*) AS n FROM sum_sent GROUP BY ALL) n ON n.meeting_id = f.meeting_id AND n.chunk = f.chunk GROUP BY 1, 2, 3, 4) c
-  JOIN sum_sent s ON s.meeting_id = c.meeting_id AND s.chunk = c.chunk AND s.seg_id = c.seg_id AND s.sent_id = c.sent_id) x WHERE rn <= 2) y WHERE k <= 3 GROUP BY 1""")
+   SELECT f.meeting_id, f.chunk, f.seg_id, f.sent_id, round(avg(f.tf * ln(1 + n.n / d.df::DOUBLE)), 9) AS score FROM {prefix}_tf f
+   JOIN (SELECT meeting_id, chunk, t, count(*) AS df FROM {prefix}_tf GROUP BY ALL) d ON d.meeting_id = f.meeting_id AND d.chunk = f.chunk AND d.t = f.t
+   JOIN (SELECT meeting_id, chunk, count(*) AS n FROM {prefix}_sent GROUP BY ALL) n ON n.meeting_id = f.meeting_id AND n.chunk = f.chunk GROUP BY 1, 2, 3, 4) c
+  JOIN {prefix}_sent s ON s.meeting_id = c.meeting_id AND s.chunk = c.chunk AND s.seg_id = c.seg_id AND s.sent_id = c.sent_id) x WHERE rn <= 2) y WHERE k <= 3 GROUP BY 1"""
+
+
+@register("extractive_summary", summary_ctes("sum", 60))
 def _(t):
     return sm.extractive_summary(t.segments, k=3, per_chunk=2, chunk_words=60)
 
