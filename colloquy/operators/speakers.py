@@ -104,44 +104,59 @@ def fill_speakers_from_entities(segments: DataFrame, entities: DataFrame) -> Dat
     )
 
 
-def fuzzy_name_join(names: DataFrame, name: str, speakers: DataFrame, min_ratio: float = 0.7, exact: bool = False) -> DataFrame:
-    """Most similar speaker above min_ratio for each (meeting_id, name).
+def _counted_characters(low):
+    """Characters with their occurrence number: a string's multiset of characters as a set."""
+    chars = F.filter(F.split(low, ""), lambda ch: ch != "")
+    return F.transform(chars, lambda ch, i: F.concat(ch, F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == ch)).cast("string")))
 
-    Default ratio: 1 - levenshtein / longer length. Two strings that close share a
-    character bigram, so candidates meet on bigrams instead of all pairs.
-    exact=True uses the matching-block ratio 2·M / T; its candidates meet on single
-    characters counted with multiplicity, which is an upper bound of that ratio.
+
+def _block_candidates(n: DataFrame, s: DataFrame, min_ratio: float) -> DataFrame:
+    """Pairs (meeting_id, _a, _b) whose matching-block ratio 2·M / T can exceed min_ratio.
+
+    M is at most the number m of counted characters that both hold. A partner of a string of l characters has more than l·r / (2 - r) of
+    them in common with it, so two strings whose ratio exceeds r share one of the rarest l - l·r / (2 - r) of each. Only those are joined on;
+    then lengths and the full m are checked.
+    """
+    both = n.select("meeting_id", F.lit("a").alias("side"), F.col("_a").alias("name")).unionByName(s.select("meeting_id", F.lit("b").alias("side"), F.col("_b").alias("name")))
+    both = both.withColumn("chars", _counted_characters(F.lower("name")))
+    tokens = both.select("meeting_id", "side", "name", F.size("chars").alias("len"), "chars", F.explode("chars").alias("g"))
+    often = tokens.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    least = F.floor(F.col("len") * (min_ratio / (2 - min_ratio)) - 1e-9) + 1
+    rank = F.row_number().over(Window.partitionBy("meeting_id", "side", "name").orderBy("df", "g"))  # a window holds one name's characters
+    prefix = tokens.join(often, "g").withColumn("rank", rank).filter(F.col("rank") <= F.col("len") - least + 1)
+    a = prefix.filter("side = 'a'").select("meeting_id", "g", F.col("name").alias("_a"), F.col("chars").alias("_x"))
+    b = prefix.filter("side = 'b'").select("meeting_id", "g", F.col("name").alias("_b"), F.col("chars").alias("_y"))
+    total = F.size("_x") + F.size("_y")
+    met = a.join(b, ["meeting_id", "g"]).filter(2 * F.least(F.size("_x"), F.size("_y")) > min_ratio * total)
+    return met.filter(2 * F.size(F.array_intersect("_x", "_y")) > min_ratio * total).select("meeting_id", "_a", "_b").distinct()
+
+
+def fuzzy_name_join(names: DataFrame, name: str, speakers: DataFrame, min_ratio: float = 0.7, exact: bool = True) -> DataFrame:
+    """Most similar speaker above min_ratio for each (meeting_id, name); of equals the first by name.
+
+    The ratio is that of matching blocks, 2·M / T, without regard to case. exact=False takes 1 - levenshtein / longer length instead; two
+    strings that close share a character bigram, so candidates meet on bigrams.
     """
     n = names.select("meeting_id", F.col(name).alias("_a")).filter(F.length("_a") > 0).distinct()
     s = speakers.filter("speaker is not null").select("meeting_id", F.col("speaker").alias("_b")).distinct()
-
-    def grams(c):
-        low = F.lower(c)
-        if exact:
-            chars = F.split(low, "")
-            return F.transform(
-                chars, lambda ch, i: F.concat(ch, F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == ch)))
-            )
-        padded = F.concat(F.lit("\u0001"), low, F.lit("\u0002"))
-        return F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda p: F.substr(padded, p, F.lit(2)))
-        )
-
-    a = n.select("meeting_id", "_a", F.explode(grams("_a")).alias("_g"))
-    b = s.select("meeting_id", "_b", F.explode(grams("_b")).alias("_g"))
-    shared = a.join(b, ["meeting_id", "_g"]).groupBy("meeting_id", "_a", "_b").agg(F.count(F.lit(1)).alias("_m"))
     if exact:
 
         @F.pandas_udf("double")
         def block_ratio(x: pd.Series, y: pd.Series) -> pd.Series:
             return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)])
 
-        total = F.length("_a") + F.length("_b")
-        near = shared.filter(2 * F.col("_m") / total > min_ratio)
-        scored = near.withColumn("similarity", block_ratio(F.lower("_a"), F.lower("_b")))
+        scored = _block_candidates(n, s, min_ratio).withColumn("similarity", block_ratio(F.lower("_a"), F.lower("_b")))
     else:
+
+        def grams(c):
+            padded = F.concat(F.lit("\u0001"), F.lower(c), F.lit("\u0002"))
+            return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda p: F.substr(padded, p, F.lit(2))))
+
+        a = n.select("meeting_id", "_a", F.explode(grams("_a")).alias("_g"))
+        b = s.select("meeting_id", "_b", F.explode(grams("_b")).alias("_g"))
         longer = F.greatest(F.length("_a"), F.length("_b"))
-        scored = shared.withColumn("similarity", 1 - F.levenshtein(F.lower("_a"), F.lower("_b")) / longer)
+        scored = (a.join(b, ["meeting_id", "_g"]).select("meeting_id", "_a", "_b").distinct()
+                  .withColumn("similarity", 1 - F.levenshtein(F.lower("_a"), F.lower("_b")) / longer))
     return (
         scored.filter(F.col("similarity") > min_ratio)
         .groupBy("meeting_id", F.col("_a").alias(name))

@@ -578,9 +578,16 @@ SELECT o.meeting_id, o.owner, s.speaker IS NOT NULL AS found_as_speaker, contain
 LEFT JOIN (SELECT DISTINCT meeting_id, speaker FROM seg) s ON s.meeting_id = o.meeting_id AND s.speaker = o.owner JOIN meeting_text m ON m.meeting_id = o.meeting_id"""
 
 
-@register("validate_owner", "SELECT meeting_id, owner, found_as_speaker, mentioned_in_text, found_as_speaker OR mentioned_in_text AS is_valid FROM owner_checks")
+CTES["owner_matches"] = """
+SELECT o.meeting_id, o.owner, arg_min(s.speaker, (-r.ratio, s.speaker)) AS close_match FROM owner_checks o
+JOIN (SELECT DISTINCT meeting_id, speaker FROM seg WHERE speaker IS NOT NULL) s ON s.meeting_id = o.meeting_id JOIN name_ratios r ON r.a = lower(o.owner) AND r.b = lower(s.speaker)
+WHERE r.ratio > 0.7 AND NOT o.found_as_speaker GROUP BY 1, 2"""
+
+
+@register("validate_owner", """SELECT o.meeting_id, o.owner, found_as_speaker, mentioned_in_text, found_as_speaker OR mentioned_in_text AS is_valid, m.close_match
+FROM owner_checks o LEFT JOIN owner_matches m ON m.meeting_id = o.meeting_id AND m.owner = o.owner""")
 def _(t):
-    return va.validate_owner(t.actions, "owner", t.segments).drop("close_match")
+    return va.validate_owner(t.actions, "owner", t.segments)
 
 
 def _with_typo(t):
@@ -588,16 +595,18 @@ def _with_typo(t):
     return t.decisions.withColumn("participants", p)
 
 
+CTES["typo_participants"] = "SELECT meeting_id, item_id, CASE WHEN item_id % 2 = 0 THEN regexp_replace(speaker, 'n', 'nn', 'g') ELSE speaker END AS participant FROM decisions WHERE speaker IS NOT NULL"
 CTES["participant_checks"] = """
 SELECT p.meeting_id, p.item_id, p.participant, coalesce(bool_or(s.speaker = p.participant), false) OR contains(lower(m.full_text), lower(p.participant)) AS found_in_source,
-  bool_or(1 - levenshtein(lower(p.participant), lower(s.speaker)) / greatest(length(p.participant), length(s.speaker))::DOUBLE > 0.7) AS near
-FROM (SELECT meeting_id, item_id, CASE WHEN item_id % 2 = 0 THEN regexp_replace(speaker, 'n', 'nn', 'g') ELSE speaker END AS participant FROM decisions WHERE speaker IS NOT NULL) p
-JOIN meeting_text m ON m.meeting_id = p.meeting_id LEFT JOIN (SELECT DISTINCT meeting_id, speaker FROM seg WHERE speaker IS NOT NULL) s ON s.meeting_id = p.meeting_id GROUP BY p.meeting_id, p.item_id, p.participant, m.full_text"""
+  CASE WHEN NOT coalesce(bool_or(s.speaker = p.participant), false) THEN arg_min(s.speaker, (-r.ratio, s.speaker)) FILTER (r.ratio > 0.7) END AS near
+FROM typo_participants p JOIN meeting_text m ON m.meeting_id = p.meeting_id LEFT JOIN (SELECT DISTINCT meeting_id, speaker FROM seg WHERE speaker IS NOT NULL) s ON s.meeting_id = p.meeting_id
+LEFT JOIN name_ratios r ON r.a = lower(p.participant) AND r.b = lower(s.speaker) GROUP BY p.meeting_id, p.item_id, p.participant, m.full_text"""
 
 
-@register("validate_participants", "SELECT meeting_id, item_id, participant, found_in_source, CASE WHEN found_in_source THEN 0.9 WHEN near THEN 0.5 ELSE 0.1 END::DOUBLE AS confidence FROM participant_checks")
+@register("validate_participants", """SELECT meeting_id, item_id, participant, found_in_source, CASE WHEN NOT found_in_source THEN near END AS close_match,
+  CASE WHEN found_in_source THEN 0.9 WHEN near IS NOT NULL THEN 0.5 ELSE 0.1 END::DOUBLE AS confidence FROM participant_checks""")
 def _(t):
-    return va.validate_participants(_with_typo(t), t.segments).drop("close_match")
+    return va.validate_participants(_with_typo(t), t.segments)
 
 
 @register("participant_validation_rate", "SELECT meeting_id, item_id, avg(found_in_source::INT) AS validation_rate FROM participant_checks GROUP BY 1, 2")

@@ -216,7 +216,7 @@ SELECT meeting_id, name, arg_min(b, (-sim, b)) AS close_match, max(sim) AS simil
   FROM typos n JOIN (SELECT DISTINCT meeting_id, speaker FROM seg WHERE speaker IS NOT NULL) s ON s.meeting_id = n.meeting_id) x
 WHERE sim > 0.7 GROUP BY meeting_id, name""")
 def _(t):
-    return sp.fuzzy_name_join(_typos(t), "name", t.segments)
+    return sp.fuzzy_name_join(_typos(t), "name", t.segments, exact=False)
 
 
 def _typos(t):
@@ -226,10 +226,29 @@ def _typos(t):
 CTES["typos"] = "SELECT DISTINCT meeting_id, regexp_replace(speaker, 'o', 'oo', 'g') AS name FROM seg WHERE speaker IS NOT NULL"
 
 
-@register("fuzzy_name_join_blocks")
-def _(t):
-    """Same with the matching-block ratio (Python)."""
-    return sp.fuzzy_name_join(_typos(t), "name", t.segments, exact=True)
+#: All names that are compared anywhere, against all speakers, in lower case.
+CTES["name_pairs"] = """
+SELECT DISTINCT n.a, lower(s.speaker) AS b FROM (SELECT lower(name) AS a FROM typos UNION SELECT lower(owner) FROM actions WHERE owner <> ''
+  UNION SELECT lower(participant) FROM typo_participants) n, (SELECT DISTINCT speaker FROM seg WHERE speaker IS NOT NULL) s"""
+#: Longest common block of a[x0:x1] and b[y0:y1], the first in a, then in b.
+_BLOCK = """list_aggregate(flatten(list_transform(range(x0, x1), lambda i: list_transform(range(y0, y1), lambda j:
+  {'k': len(list_filter(range(1, least(x1 - i, y1 - j) + 1), lambda n: a[i + 1:i + n] = b[j + 1:j + n])), 'i': -i, 'j': -j}))), 'max')"""
+CTES["name_blocks"] = f"""
+SELECT *, {_BLOCK} AS m FROM (SELECT a, b, 0::BIGINT AS x0, length(a) AS x1, 0::BIGINT AS y0, length(b) AS y1 FROM name_pairs) x UNION ALL
+SELECT *, {_BLOCK} AS m FROM (
+  SELECT a, b, CASE WHEN h = 0 THEN x0 ELSE m.k - m.i END AS x0, CASE WHEN h = 0 THEN -m.i ELSE x1 END AS x1,
+    CASE WHEN h = 0 THEN y0 ELSE m.k - m.j END AS y0, CASE WHEN h = 0 THEN -m.j ELSE y1 END AS y1
+  FROM name_blocks, (VALUES (0), (1)) v(h) WHERE m.k > 0) y WHERE x0 < x1 AND y0 < y1"""
+CTES["name_ratios"] = "SELECT a, b, 2.0::DOUBLE * sum(m.k) / (length(a) + length(b)) AS ratio FROM name_blocks GROUP BY a, b"
+
+
+@register("fuzzy_name_join_blocks", """
+SELECT meeting_id, name, arg_min(b, (-ratio, b)) AS close_match, max(ratio) AS similarity FROM (
+  SELECT n.meeting_id, n.name, s.speaker AS b, r.ratio FROM typos n JOIN (SELECT DISTINCT meeting_id, speaker FROM seg WHERE speaker IS NOT NULL) s ON s.meeting_id = n.meeting_id
+  JOIN name_ratios r ON r.a = lower(n.name) AND r.b = lower(s.speaker)) x WHERE ratio > 0.7 GROUP BY meeting_id, name""")
+def _(t):
+    """Same with the matching-block ratio."""
+    return sp.fuzzy_name_join(_typos(t), "name", t.segments)
 
 
 # ------------------------------------------------------------------ H: cleaning functions

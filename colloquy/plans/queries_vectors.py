@@ -149,7 +149,20 @@ def _(t):
     return sm.rouge_n(t.pairs, "doc_id", 2)
 
 
-@register("rouge_l")
+CTES["doc_steps"] = "SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS w FROM toks WHERE len(b) > 0"
+CTES["doc_places"] = "SELECT doc_id, unnest(range(1, len(b) + 1)) AS j, unnest(b) AS u FROM toks"
+#: Longest common subsequences, one step a word of the source, over a row a summary.
+CTES["doc_lcs"] = """
+SELECT doc_id, 0::BIGINT AS i, j, u, 0::BIGINT AS v FROM doc_places UNION ALL
+SELECT doc_id, i, j, u, max(c) OVER (PARTITION BY doc_id ORDER BY j) AS v FROM (
+  SELECT l.doc_id, s.i, l.j, l.u, greatest(l.v, CASE WHEN l.u = s.w THEN coalesce(lag(l.v) OVER (PARTITION BY l.doc_id ORDER BY l.j), 0) + 1 ELSE 0 END) AS c
+  FROM doc_lcs l JOIN doc_steps s ON s.doc_id = l.doc_id AND s.i = l.i + 1) x"""
+
+
+@register("rouge_l", """
+SELECT doc_id, p AS rouge_l_p, r AS rouge_l_r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS rouge_l_f FROM (
+ SELECT t.doc_id, coalesce(m / nullif(len(b), 0)::DOUBLE, 0) AS p, coalesce(m / nullif(len(a), 0)::DOUBLE, 0) AS r FROM toks t
+ LEFT JOIN (SELECT doc_id, max(v) AS m FROM doc_lcs GROUP BY 1) l ON l.doc_id = t.doc_id) x""")
 def _(t):
     return sm.rouge_l(t.pairs, "doc_id")
 
