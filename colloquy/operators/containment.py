@@ -1,6 +1,6 @@
-"""Which short text is a substring of which long text, by equi-join.
+"""Which short text is a substring of which long text.
 
-contains(long, short) as a join condition compares every pair of a group. Here
+Pairs are found by equi-join: contains(long, short) as a join condition compares every pair of a group. Here
 both sides are reduced to a key that any match must share, by the number of words
 in the short text (words are separated by single spaces, as in the text itself):
 
@@ -13,15 +13,18 @@ in the short text (words are separated by single spaces, as in the text itself):
 A long text only builds the keys of a class if its group has short texts of that
 class. Candidates are then checked with contains(), so the result is exact for short
 texts that hold more than spaces.
+
+Whether a meeting's running text holds a phrase is asked of overlapping spans of the text, each searched for a tile of phrases at once.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import let
-from colloquy.operators.ordering import near_window
+from colloquy.operators.ordering import running_sums
 
 
 def _need(needles: DataFrame, text: str) -> DataFrame:
@@ -40,11 +43,8 @@ def _need(needles: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("_class", c).withColumn("_need", key).drop("_t")
 
 
-def _offers(hay: DataFrame, needs: DataFrame, text: str, keys: list[str], keep: list[str], span: int) -> DataFrame:
-    """Rows (keep…, _need, _span): the keys a long text offers, of the classes its group asks for.
-
-    _span is the run of `span` tokens at this place.
-    """
+def _offers(hay: DataFrame, needs: DataFrame, text: str, keys: list[str], keep: list[str]) -> DataFrame:
+    """Rows (keep…, _need): the keys a long text offers, of the classes its group asks for."""
     rows = hay.select(*dict.fromkeys([*keys, *keep, text]))
     if keys:
         rows = rows.join(needs.groupBy(*keys).agg(F.collect_set("_class").alias("_asked")), keys)
@@ -52,10 +52,7 @@ def _offers(hay: DataFrame, needs: DataFrame, text: str, keys: list[str], keep:
         # one group for everything: at most four class numbers are read
         known = sorted(r["_class"] for r in needs.select("_class").distinct().collect())
         rows = rows.withColumn("_asked", F.array(*[F.lit(c) for c in known]).cast("array<int>"))
-    none = F.array().cast("array<struct<n: string, s: string>>")
-
-    def entry(need, tokens, i):
-        return F.struct(need.alias("n"), F.array_join(F.slice(tokens, i + 1, span), " ").alias("s"))
+    none = F.array().cast("array<string>")
 
     def pieces(tokens):
         def of(u):
@@ -76,7 +73,7 @@ def _offers(hay: DataFrame, needs: DataFrame, text: str, keys: list[str], keep:
             for a in range(1, most + 1):
                 for b in range(1, most + 1):
                     parts = [F.lit(str(cls)), F.right(u, F.lit(a)), *([v] if cls == 3 else []), F.left(last, F.lit(b))]
-                    out.append(F.when((F.length(u) >= a) & (F.length(last) >= b), entry(F.concat_ws("|", *parts), tokens, i)))
+                    out.append(F.when((F.length(u) >= a) & (F.length(last) >= b), F.concat_ws("|", *parts)))
             return F.array_compact(F.array(*out))
 
         return F.flatten(F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), of))
@@ -84,7 +81,7 @@ def _offers(hay: DataFrame, needs: DataFrame, text: str, keys: list[str], keep:
     def runs(tokens):
         def of(i):
             parts = [F.get(tokens, i + k) for k in (1, 2, 3)]
-            return F.when(i + 3 < F.size(tokens), entry(F.concat_ws("|", F.lit("5"), *parts), tokens, i))
+            return F.when(i + 3 < F.size(tokens), F.concat_ws("|", F.lit("5"), *parts))
 
         return F.array_compact(F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), of))
 
@@ -93,11 +90,11 @@ def _offers(hay: DataFrame, needs: DataFrame, text: str, keys: list[str], keep:
         return F.concat(wants(1, pieces(tokens)), wants(2, ends(tokens, 2)), wants(3, ends(tokens, 3)), wants(5, runs(tokens)))
 
     offers = let(F.split(F.col(text), " "), offered)
-    return rows.select(*keep, F.explode(offers).alias("_o")).select(*keep, F.col("_o.n").alias("_need"), F.col("_o.s").alias("_span"))
+    return rows.select(*keep, F.explode(offers).alias("_need"))
 
 
 def _cutter(u: Column, q: int):
-    return lambda p: F.struct(F.concat(F.lit("1|"), F.substr(u, p, F.lit(q))).alias("n"), u.alias("s"))
+    return lambda p: F.concat(F.lit("1|"), F.substr(u, p, F.lit(q)))
 
 
 def contains_pairs(
@@ -108,7 +105,7 @@ def contains_pairs(
     keys may be empty: then every short text is looked up in every long text.
     """
     n = _need(needles.select(*keys, needle_id, needle), needle)
-    h = _offers(hay, n, text, keys, [*keys, hay_id], 1).drop("_span")
+    h = _offers(hay, n, text, keys, [*keys, hay_id])
     candidates = n.select(*keys, needle_id, "_need").join(h, [*keys, "_need"]).select(*keys, needle_id, hay_id).distinct()
     return (
         candidates.join(needles.select(*keys, needle_id, needle), [*keys, needle_id])
@@ -118,30 +115,70 @@ def contains_pairs(
     )
 
 
-def running_text(segments: DataFrame, lower: bool = True, words: int = 3) -> DataFrame:
-    """Segment text plus the first words of what follows, so phrases across segments are seen."""
-    first = F.array_join(F.slice(F.split(F.col("text"), " "), 1, words), " ")
-    ahead = near_window(
-        segments.select("meeting_id", "seg_id", "text", first.alias("_first")),
-        ["meeting_id"],
-        "seg_id",
-        words,
-        {"_ahead": lambda w: F.collect_list("_first").over(w.rowsBetween(1, words))},
-    )
-    tail = F.array_join(F.slice(F.split(F.array_join("_ahead", " "), " "), 1, words), " ")
-    joined = F.when(F.size("_ahead") > 0, F.concat_ws(" ", "text", tail)).otherwise(F.col("text"))
-    return ahead.select("meeting_id", "seg_id", (F.lower(joined) if lower else joined).alias("text"))
+#: Needles of up to so many characters share a width; longer ones go by powers of two.
+WIDTH = 64
+#: Characters of text looked through at a time, and needles and their characters searched at a time.
+SPAN, TILE, TILE_CHARS = 1 << 17, 1024, 1 << 17
+
 
+def _search():
+    """Rows (meeting_id, needle) of the needles of a tile that a text holds, by one automaton a tile."""
 
-def found_in_meeting(needles: DataFrame, needle: str, segments: DataFrame, lower: bool = True, span: int = 4) -> DataFrame:
-    """Distinct (meeting_id, needle) that occur in the meeting's text read as one string.
+    def run(batches):
+        import ahocorasick
 
-    `span` words are looked at together, or as many as the longest needle has.
+        last, automaton = None, None
+        for batch in batches:
+            meetings, found = [], []
+            for meeting, width, tile, needles, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (meeting, width, tile) != last:
+                    last, automaton = (meeting, width, tile), ahocorasick.Automaton()
+                    for needle in needles:
+                        automaton.add_word(needle, needle)
+                    automaton.make_automaton()
+                hits = {needle for _, needle in automaton.iter(text)}
+                meetings += [meeting] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([pa.array(meetings, batch.schema.field(0).type), pa.array(found, pa.string())], names=["meeting_id", "needle"])
+
+    return run
+
+
+def _text_spans(segments: DataFrame, asked: DataFrame) -> DataFrame:
+    """(meeting_id, width, text): a meeting's text, segments joined by single spaces, in overlapping spans.
+
+    asked(meeting_id, width): a span overlaps the next one by `width` characters, so it holds every stretch of that length whole.
+    """
+    rows = segments.select("meeting_id", "seg_id", "text").filter("text is not null")
+    rows = running_sums(rows, ["meeting_id"], "seg_id", {"_end": F.length("text") + 1})
+    start = F.col("_end") - F.length("text") - 1
+    rows = rows.select("meeting_id", F.when(start == 0, F.col("text")).otherwise(F.concat(F.lit(" "), "text")).alias("_t"), F.greatest(start - 1, F.lit(0)).alias("_from"))
+    step = F.greatest(F.lit(SPAN), 4 * F.col("width"))
+    rows = rows.join(asked, "meeting_id").withColumn("_step", step).withColumn("_to", F.col("_from") + F.length("_t"))
+    first = F.greatest(F.lit(0), F.floor((F.col("_from") - F.col("width")) / F.col("_step")))
+    rows = rows.withColumn("_b", F.explode(F.sequence(first, F.floor(F.col("_to") / F.col("_step")))))
+    low = F.greatest(F.col("_b") * F.col("_step"), F.col("_from"))
+    high = F.least((F.col("_b") + 1) * F.col("_step") + F.col("width"), F.col("_to"))
+    piece = F.substr("_t", (low - F.col("_from") + 1).cast("int"), (high - low).cast("int"))
+    rows = rows.filter(high > low).select("meeting_id", "width", "_b", F.struct(F.col("_from"), piece.alias("t")).alias("_p"))
+    spans = rows.groupBy("meeting_id", "width", "_b").agg(F.array_sort(F.collect_list("_p")).alias("_p"))
+    return spans.select("meeting_id", "width", F.array_join(F.col("_p.t"), "").alias("text"))
+
+
+def found_in_meeting(needles: DataFrame, needle: str, segments: DataFrame, lower: bool = True) -> DataFrame:
+    """Distinct (meeting_id, needle) that occur in the meeting's text read as one string; needles of any length.
+
+    Needles are dealt to tiles of like length; a text is cut into spans of SPAN characters, or four times the tile's width, that
+    overlap by the width, and each span is searched once for a whole tile. No span or tile grows with a meeting.
     """
-    distinct = needles.select("meeting_id", needle).filter(F.length(needle) > 0).distinct()
-    longest = distinct.agg(F.max(F.size(F.split(F.trim(needle), r"\s+")))).first()[0]
-    span = max(span, longest or 0)
-    n = _need(distinct, needle)
-    h = _offers(running_text(segments, lower, span - 1), n, "text", ["meeting_id"], ["meeting_id"], span)
-    cond = [n["meeting_id"] == h["meeting_id"], n["_need"] == h["_need"], F.contains(h["_span"], n[needle])]
-    return n.join(h, cond, "left_semi").select("meeting_id", needle)
+    distinct = needles.select("meeting_id", F.col(needle).alias("needle")).filter(F.length("needle") > 0).distinct()
+    power = F.pow(F.lit(2.0), F.ceil(F.log2(F.length("needle")))).cast("bigint")
+    sized = distinct.withColumn("width", F.greatest(F.lit(WIDTH).cast("bigint"), power, F.length("needle").cast("bigint")))
+    tiles = sized.groupBy("meeting_id", "width").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.length("needle")) / TILE_CHARS)).alias("_n"))
+    tiles = (sized.join(tiles, ["meeting_id", "width"]).withColumn("tile", F.pmod(F.xxhash64("needle"), "_n"))
+             .groupBy("meeting_id", "width", "tile").agg(F.collect_list("needle").alias("needles")))
+    text = segments.select("meeting_id", "seg_id", F.lower("text").alias("text")) if lower else segments
+    spans = _text_spans(text, sized.select("meeting_id", "width").distinct())
+    work = tiles.join(spans, ["meeting_id", "width"]).select("meeting_id", "width", "tile", "needles", "text").sortWithinPartitions("meeting_id", "width", "tile")
+    kind = needles.schema["meeting_id"].dataType.simpleString()
+    return work.mapInArrow(_search(), f"meeting_id {kind}, needle string").distinct().withColumnRenamed("needle", needle)

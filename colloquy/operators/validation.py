@@ -37,7 +37,7 @@ def _phrases(text):
 def phrase_support(items: DataFrame, segments: DataFrame) -> DataFrame:
     """Share of an item's 2–4-word phrases (not mostly stop words) found in the meeting text."""
     p = items.select(*ITEM, F.explode(_phrases(F.col("text"))).alias("phrase"))
-    found = found_in_meeting(p, "phrase", segments, lower=True, span=4).withColumn("_hit", F.lit(1))
+    found = found_in_meeting(p, "phrase", segments).withColumn("_hit", F.lit(1))
     got = p.join(found, ["meeting_id", "phrase"], "left").groupBy(*ITEM).agg((F.count("_hit") / F.count(F.lit(1))).alias("phrase_support"))
     return items.select(*ITEM).join(got, ITEM, "left").na.fill(0.0, ["phrase_support"])
 

@@ -15,6 +15,7 @@ from colloquy.operators import dedup as dd
 from colloquy.operators import evaluation as ev
 from colloquy.operators import extraction as ex
 from colloquy.operators import provenance as pv
+from colloquy.operators import summaries as sm
 from colloquy.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,10 +84,9 @@ class Tables:
 
     @cached_property
     def summaries(self) -> DataFrame:
-        """One summary per meeting: its first two segments."""
-        s = self.segments.filter("seg_id < 2")
-        g = s.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", "text"))).alias("s"))
-        return g.select("meeting_id", F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("summary"))
+        """One extractive summary of all its segments per meeting, empty where no sentence is left."""
+        found = self.segments.select("meeting_id").distinct().join(sm.extractive_summary(self.segments), "meeting_id", "left")
+        return materialize(found.na.fill("", ["summary"]))
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -152,9 +152,9 @@ class Tables:
 
     @cached_property
     def gold(self) -> DataFrame:
-        """Gold rows: the extracted items of the even segments, cut to their middle part."""
-        i = self.items.filter("seg_id % 2 = 0")
-        cut = F.when(F.col("seg_id") % 4 == 0, F.substr("text", F.lit(4), F.lit(30))).otherwise(F.concat(F.lit("note: "), "text"))
+        """Gold rows: all extracted items, without their first three characters, with a word before them, or reversed."""
+        i = self.items
+        cut = F.when(F.col("seg_id") % 2 == 1, F.reverse("text")).when(F.col("seg_id") % 4 == 0, F.substr("text", F.lit(4))).otherwise(F.concat(F.lit("note: "), "text"))
         return i.select("meeting_id", "kind", F.col("item_id").alias("gold_id"), cut.alias("text"))
 
 

@@ -160,7 +160,7 @@ def _(t):
 
 
 # ------------------------------------------------------------------ item metrics
-CTES["gold"] = "SELECT meeting_id, kind, item_id AS gold_id, CASE WHEN seg_id % 4 = 0 THEN text[4:33] ELSE 'note: ' || text END AS text FROM items WHERE seg_id % 2 = 0"
+CTES["gold"] = "SELECT meeting_id, kind, item_id AS gold_id, CASE WHEN seg_id % 2 = 1 THEN reverse(text) WHEN seg_id % 4 = 0 THEN text[4:] ELSE 'note: ' || text END AS text FROM items"
 CTES["matched"] = "SELECT DISTINCT i.meeting_id, i.kind, i.item_id FROM items i JOIN gold g ON g.meeting_id = i.meeting_id AND g.kind = i.kind AND (contains(lower(g.text), lower(i.text)) OR contains(lower(i.text), lower(g.text)))"
 
 
@@ -204,17 +204,9 @@ def _(t):
     return _completeness(t)
 
 
-@register("component_quality", """
-SELECT meeting_id, component, value AS score FROM completeness WHERE metric = 'overall' UNION ALL SELECT meeting_id, 'summary', (meeting_id % 10) / 10.0::DOUBLE FROM summaries
-UNION ALL SELECT meeting_id, 'overall_quality', avg(score) FROM (SELECT meeting_id, value AS score FROM completeness WHERE metric = 'overall' UNION ALL SELECT meeting_id, (meeting_id % 10) / 10.0::DOUBLE FROM summaries) x GROUP BY 1""")
+@register("diversity_metrics", "SELECT meeting_id, kind, count(DISTINCT text) / count(*)::DOUBLE AS unique_ratio, avg(length(text)) AS avg_length, count(*) AS total_items FROM items GROUP BY 1, 2")
 def _(t):
-    rouge = t.summaries.select("meeting_id", ((F.col("meeting_id") % 10) / 10.0).alias("rouge_l_f"))
-    return ev.component_quality(_completeness(t), rouge)
-
-
-@register("diversity_metrics", "SELECT meeting_id, kind, count(DISTINCT t) / count(*)::DOUBLE AS unique_ratio, avg(length(t)) AS avg_length, count(*) AS total_items FROM (SELECT *, text[1:12] AS t FROM items) i GROUP BY 1, 2")
-def _(t):
-    return ev.diversity_metrics(t.items.withColumn("text", F.left("text", F.lit(12))))
+    return ev.diversity_metrics(t.items)
 
 
 CTES["counts"] = """SELECT s.meeting_id, length(s.summary) AS summary_length, coalesce(i.d, 0) AS decisions_count, coalesce(i.a, 0) AS actions_count, coalesce(i.r, 0) AS risks_count, coalesce(i.c, 0) AS avg_confidence FROM summaries s LEFT JOIN (

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from colloquy.operators import evaluation as ev
+from colloquy.operators import summaries as sm
 from colloquy.plans import flow
 from colloquy.plans.catalog import CTES, register, words
-from colloquy.plans.queries_evaluation import _LEVEL
+from colloquy.plans.queries_evaluation import _LEVEL, _completeness
 from colloquy.plans.queries_sources import _replies
 from colloquy.plans.queries_vectors import _TERM, _TOK, rouge_sql, summary_ctes
 
@@ -15,10 +17,10 @@ CTES["kept"] = """
 SELECT i.* FROM items i JOIN support s ON s.meeting_id = i.meeting_id AND s.kind = i.kind AND s.item_id = i.item_id
 WHERE CASE WHEN i.kind = 'decision' AND s.n > 0 AND s.s / s.n > 0.7 THEN least(i.confidence + 0.1::DOUBLE, 0.95::DOUBLE) ELSE i.confidence END >= 0.4"""
 CTES["run_best"] = summary_ctes("run", 487)
-CTES["run_summaries"] = "SELECT m.meeting_id, coalesce(b.summary, '') AS summary FROM (SELECT DISTINCT meeting_id FROM seg) m LEFT JOIN run_best b ON b.meeting_id = m.meeting_id"
-CTES["run_pairs"] = "SELECT s.meeting_id, d.text AS source, s.summary FROM run_summaries s JOIN documents d ON d.doc_id = s.meeting_id"
+CTES["summaries"] = "SELECT m.meeting_id, coalesce(b.summary, '') AS summary FROM (SELECT DISTINCT meeting_id FROM seg) m LEFT JOIN run_best b ON b.meeting_id = m.meeting_id"
+CTES["run_pairs"] = "SELECT s.meeting_id, d.text AS source, s.summary FROM summaries s JOIN documents d ON d.doc_id = s.meeting_id"
 CTES["run_toks"] = f"SELECT meeting_id, {_TOK.format('source')} AS a, {_TOK.format('summary')} AS b FROM run_pairs"
-CTES["run_texts"] = "SELECT s.meeting_id, m.full_text AS source, s.summary FROM run_summaries s JOIN meeting_text m ON m.meeting_id = s.meeting_id"
+CTES["run_texts"] = "SELECT s.meeting_id, m.full_text AS source, s.summary FROM summaries s JOIN meeting_text m ON m.meeting_id = s.meeting_id"
 #: One step of the longest common subsequence a word of the source, over a row a summary.
 CTES["run_steps"] = "SELECT meeting_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS w FROM run_toks WHERE len(b) > 0"
 CTES["run_places"] = "SELECT meeting_id, unnest(range(1, len(b) + 1)) AS j, unnest(b) AS u FROM run_toks"
@@ -73,7 +75,7 @@ CTES["rouge_rows"] = _ROUGE_L
 CTES["run_rouge_l"] = "SELECT meeting_id, p AS rouge_l_p, r AS rouge_l_r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS rouge_l_f FROM rouge_rows"
 CTES["run_quality"] = """
 SELECT job_id, component, value AS quality FROM run_complete WHERE metric = 'completeness_overall'
-UNION ALL SELECT s.meeting_id, 'summary', coalesce(r.rouge_l_f, 0) FROM run_summaries s LEFT JOIN run_rouge_l r ON r.meeting_id = s.meeting_id"""
+UNION ALL SELECT s.meeting_id, 'summary', coalesce(r.rouge_l_f, 0) FROM summaries s LEFT JOIN run_rouge_l r ON r.meeting_id = s.meeting_id"""
 CTES["run_metrics"] = "\nUNION ALL ".join([
     "SELECT job_id, component, metric, value FROM run_complete",
     _cells(["unique_ratio", "avg_length", "total_items"], _kind, "SELECT meeting_id, kind, count(DISTINCT text) / count(*)::DOUBLE AS unique_ratio, avg(length(text)) AS avg_length, count(*) AS total_items FROM kept GROUP BY 1, 2"),
@@ -141,3 +143,14 @@ def _(t):
     jobs = t.read("documents").select(F.col("doc_id").alias("job_id"))
     out = flow.batch_evaluate(jobs, t.segments, **_inputs(t))
     return out.withColumn("aggregate_score", F.round("aggregate_score", 9)).withColumn("overall_quality", F.round("overall_quality", 9))
+
+
+@register("component_quality", """
+SELECT meeting_id, component, score FROM quality_parts UNION ALL SELECT meeting_id, 'overall_quality', avg(score) FROM quality_parts GROUP BY 1""")
+def _(t):
+    """Completeness of the extracted items and ROUGE-L of the summaries against documents of the same number."""
+    gold = t.read("documents").select(F.col("doc_id").alias("meeting_id"), F.col("text").alias("source"))
+    return ev.component_quality(_completeness(t), sm.rouge_l(t.summaries.join(gold, "meeting_id"), "meeting_id"))
+
+
+CTES["quality_parts"] = "SELECT meeting_id, component, value AS score FROM completeness WHERE metric = 'overall' UNION ALL SELECT meeting_id, 'summary', rouge_l_f FROM run_rouge_l"

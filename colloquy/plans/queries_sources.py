@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from colloquy import rules
 from colloquy.operators import evaluation as ev
 from colloquy.operators import reports as rp
 from colloquy.plans.catalog import CTES, ext, has, lit, matches, register, strip, title_case
+from colloquy.session import use_checkpoint_dir
 from colloquy.sources import replies as rs
 from colloquy.sources import results as sr
 from colloquy.sources import transcripts as st
@@ -192,11 +195,16 @@ def _(t):
 
 @register("load_eval_schema", "SELECT s.component, s.criterion, s.weight, count(e.job_id) AS scored_jobs FROM eval_schema s LEFT JOIN (SELECT DISTINCT job_id, component, criterion FROM eval_scores) e ON e.component = s.component AND e.criterion = s.criterion GROUP BY ALL")
 def _(t):
+    """The schema, written as the JSON file that users bring, and read by the loader."""
+    use_checkpoint_dir(t.spark)
+    path = f"{t.spark.sparkContext.getCheckpointDir()}/schema-{uuid.uuid4().hex}"
+    weights = t.eval_schema.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("criterion", "weight"))).alias("weights"))
+    weights.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("component", F.struct("weights")))).alias("components")).coalesce(1).write.json(path)
     used = t.eval_scores.select("job_id", "component", "criterion").distinct()
-    return t.eval_schema.join(used, ["component", "criterion"], "left").groupBy("component", "criterion", "weight").agg(F.count("job_id").alias("scored_jobs"))
+    schema = rs.load_eval_schema(t.spark, path)
+    return schema.join(used, ["component", "criterion"], "left").groupBy("component", "criterion", "weight").agg(F.count("job_id").alias("scored_jobs"))
 
 
-CTES["summaries"] = "SELECT meeting_id, string_agg(text, ' ' ORDER BY seg_id) AS summary FROM seg WHERE seg_id < 2 GROUP BY 1"
 _BADGE = "'   ' || CASE WHEN confidence >= 0.8 THEN '🟢 High' WHEN confidence >= 0.6 THEN '🟡 Medium' ELSE '🔴 Low' END || ' Confidence'"
 
 

@@ -33,9 +33,12 @@ def _(t):
     return pv.link_provenance_vector(t.vector_items, t.vectors).select("meeting_id", "item_id", "rank", "seg_id", F.round("similarity", 5).alias("similarity"))
 
 
-@register("vector_support", "SELECT meeting_id, a AS item_id, round(greatest(coalesce(max(sim) FILTER (b % 2 = 1), 0), 0), 5) AS vector_support FROM vpairs GROUP BY 1, 2")
+@register("vector_support", """SELECT i.meeting_id + 1 AS meeting_id, i.seg_id AS item_id, round(greatest(coalesce(max(list_cosine_similarity(i.vec, v.vec)), 0), 0), 5) AS vector_support
+FROM vecs i LEFT JOIN vecs v ON v.meeting_id = i.meeting_id + 1 GROUP BY 1, 2""")
 def _(t):
-    v = pv.vector_support(t.vector_items, t.vectors.filter("seg_id % 2 = 1"))
+    """The vectors of each label as items of the next one, against all its vectors."""
+    items = t.vector_items.withColumn("meeting_id", F.col("meeting_id") + 1)
+    v = pv.vector_support(items, t.vectors)
     return v.select("meeting_id", "item_id", F.round("vector_support", 5).alias("vector_support"))
 
 

@@ -38,3 +38,53 @@ def test_refused_files_have_rows_and_long_strings_parse(spark, tmp_path):
     assert got == {"bad.json": "not readable as JSON", "long.txt": "over the size limit"}
     assert {r.name for r in scan_transcripts(spark, str(tmp_path)).collect()} == {"bad.json", "good.json", "long.txt"}
     assert segments_from_json(scan_transcripts(spark, str(tmp_path)).filter("name = 'good.json'")).count() == 1
+
+
+def test_phrases_of_any_length_across_segments(spark, monkeypatch):
+    """Phrases of up to thousands of words, over segment and span borders, against str.__contains__."""
+    import random
+
+    from colloquy.operators import containment
+
+    monkeypatch.setattr(containment, "SPAN", 300)
+    monkeypatch.setattr(containment, "TILE", 7)
+    monkeypatch.setattr(containment, "TILE_CHARS", 900)
+    rng = random.Random(3)
+    rows, texts = [], {}
+    for meeting, count in ((1, 400), (2, 3), (3, 1)):
+        parts = [" ".join(rng.choices(["an", "Bo", "cé", "delta", "e"], k=rng.choice([0, 1, 3, 9]))) for _ in range(count)]
+        if meeting == 1:
+            parts[200] = " ".join(rng.choices(["long", "words"], k=3000))
+        rows += [(meeting, i, "S", None, None, p) for i, p in enumerate(parts)]
+        texts[meeting] = " ".join(parts).lower()
+    rows += [(2, 9, "S", None, None, None), (4, 0, "S", None, None, None)]
+    needles = {(m, "absent") for m in (1, 2, 3, 4)} | {(1, texts[1]), (1, texts[1] + " "), (2, texts[2]), (9, "an")}
+    for meeting, text in texts.items():
+        for size in (1, 2, 5, 40, 300, 301, 2500, 9000):
+            for _ in range(6):
+                at = rng.randrange(max(1, len(text)))
+                needles |= {(meeting, text[at:at + size]), (meeting, text[at:at + size] + "q")}
+    needles = sorted(n for n in needles if n[1])
+    got = containment.found_in_meeting(spark.createDataFrame(needles, "meeting_id long, phrase string"), "phrase", spark.createDataFrame(rows, SEGMENT))
+    assert sorted(map(tuple, got.collect())) == [(m, n) for m, n in needles if n in texts.get(m, "")]
+
+
+def test_name_candidates_lose_no_match(spark):
+    """The prefix index of counted characters against all pairs."""
+    import difflib
+    import random
+
+    from colloquy.operators.speakers import fuzzy_name_join
+
+    rng = random.Random(5)
+    some = lambda: "".join(rng.choices("aabcdeÉ -", k=rng.randint(1, 14)))
+    names, speakers = [(m, some()) for m in (1, 2) for _ in range(80)], [(m, some()) for m in (1, 2, 3) for _ in range(60)]
+    names += [(1, ""), (1, None)]
+    for limit in (0.5, 0.7, 0.9):
+        want = set()
+        for m, a in set(names):
+            ratios = [(-difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), b) for n, b in set(speakers) if n == m] if a else []
+            if ratios and -min(ratios)[0] > limit:
+                want.add((m, a, min(ratios)[1], -min(ratios)[0]))
+        got = fuzzy_name_join(spark.createDataFrame(names, "meeting_id long, name string"), "name", spark.createDataFrame(speakers, "meeting_id long, speaker string"), limit)
+        assert {tuple(r) for r in got.collect()} == want
