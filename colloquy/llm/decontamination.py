@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.words import BREAK, binary_list, chunks, words_of
+from colloquy.llm.words import BREAK, binary_list, chunks, shed, sliced, words_of
 from colloquy.session import materialize
 
 RANK, EXTRA = 48, 8
@@ -45,7 +45,8 @@ def word_numbers(texts: list[bytes | None]) -> list[np.ndarray]:
 
 
 def _number(batches):
-    for batch in batches:
+    shed()
+    for batch in sliced(batches):
         numbers = word_numbers(binary_list(batch.column(1)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n.tobytes() for n in numbers], pa.binary())], names=["id", "words"])
 
@@ -273,7 +274,8 @@ def _search(term_of: np.ndarray, space: np.ndarray, items: list[tuple[int, np.nd
             yield text[near], near - first[text[near]], np.full(len(near), g)
 
     def run(batches):
-        for batch in batches:
+        shed()
+        for batch in sliced(batches):
             numbers = [np.frombuffer(x, np.uint16) for x in batch.column(1).to_pylist()]
             hits: list[dict[int | None, float]] = [{} for _ in numbers]
             for lo, part in _batches(numbers):

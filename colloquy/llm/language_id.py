@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.words import LOWER, SPACE, binary_list, chunks, shed
+from colloquy.llm.words import LOWER, SPACE, binary_list, chunks, shed, sliced
 from colloquy.session import materialize
 
 SLOTS = 1 << 16
@@ -77,7 +77,7 @@ def _likelihoods(model: np.ndarray, names: list[str]):
 
     def run(batches):
         shed()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or b"" for t in binary_list(batch.column(batch.schema.get_field_index("text")))]
             parts, letters, sizes = [], [], []
             for lo, hi in chunks(texts, 1 << 19):

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.tokens import public_path, word_ids
-from colloquy.llm.words import binary_list
+from colloquy.llm.tokens import LOADED, public_path, word_ids
+from colloquy.llm.words import binary_list, shed, sliced
 from colloquy.session import materialize
 
 CAPACITY = 2048
@@ -37,8 +37,9 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
+        shed(LOADED)
         ids_of = word_ids(path)
-        for batch in batches:
+        for batch in sliced(batches):
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, ids in enumerate(ids_of.texts_ids(binary_list(batch.column(1)))):
                 ids += b"\0\0\0\0"

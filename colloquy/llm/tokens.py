@@ -63,15 +63,15 @@ class WordIds(dict):
         return self.texts_ids([text])[0]
 
 
-_loaded: dict[str, WordIds] = {}
-CACHES.append(_loaded)
+LOADED: dict[str, WordIds] = {}
+CACHES.append(LOADED)
 
 
 def word_ids(path: str) -> WordIds:
     """One per worker process."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    if path not in LOADED:
+        LOADED[path] = WordIds(path)
+    return LOADED[path]
 
 
 def public_path(name: str = WORD_FILE) -> str:

@@ -30,15 +30,16 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 CACHES: list[dict] = [_powers]
 
 
-def shed() -> None:
-    """Give back memory that this worker process holds from earlier tasks: caches and freed arrays.
+def shed(*kept: dict) -> None:
+    """Give back memory that this worker process holds from earlier tasks: caches but those `kept`, and freed arrays.
 
     Python workers live on from stage to stage, so a stage with large arrays begins with what all earlier ones kept.
     """
     import pyarrow as pa
 
     for cache in CACHES:
-        cache.clear()
+        if not any(cache is k for k in kept):
+            cache.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -165,6 +166,13 @@ def from_planes(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(rows.T).view(kind).ravel()
 
 
+def sliced(batches, rows: int = 1024) -> Iterator:
+    """Arrow batches in slices of so many rows, for tasks that hold Python copies of a batch's texts."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def binary_list(column) -> list[bytes | None]:
     """UTF-8 bytes of an Arrow string column."""
     import pyarrow as pa
