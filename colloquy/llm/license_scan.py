@@ -1,12 +1,16 @@
 """License scans by patience alignment.
 
-Words are lower-cased runs of letters and digits. A template is looked for only around places that hold enough of its
-words (a lossless bound on coverage). There its text and the document's are aligned: words unique in both are anchors, the
-longest increasing subsequence of their places is kept, and the gaps between anchors are aligned in the same way; equal
-words at the ends of a gap are taken first. Coverage is the share of a template's words that are aligned.
+Words are lower-cased runs of letters and digits. A template may be stretched by foreign words to `stretch` times its
+length; a region of that many words is aligned wherever one of the words that a covered template can begin with is followed
+in it by enough of the others (a lossless bound). In the alignment words unique in both texts are anchors, the longest
+increasing subsequence of their places is kept, and the gaps between anchors are aligned in the same way; equal words at the
+ends of a gap are taken first, and a gap without anchors is aligned by its longest common subsequence. Coverage is the share
+of a template's words that are aligned. Of the places of one template the first that ends is taken, at its latest beginning;
+the next begins after it. Where places of several templates share a word, the one with the most aligned words stays (ties:
+higher coverage, earlier place, name), so a notice that contains another's words counts as itself alone.
 
-Defined cases: null and blank texts match nothing; a template without words is ignored; equal rows give equal rows; very
-long texts are searched as a whole, region by region.
+Defined cases: null and blank texts and empty tables match nothing; a template without words is ignored; equal rows give equal
+rows; other columns are not read, whatever their names; very long texts are searched as a whole, region by region.
 """
 
 from __future__ import annotations
@@ -34,15 +38,36 @@ TEMPLATES = {
 }
 
 
-def patience(a: list[int], b: list[int]) -> int:
-    """Number of words of `a` aligned in order with equal words of `b`."""
-    total, todo = 0, [(0, len(a), 0, len(b))]
+def _common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence."""
+    length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        own, below = length[i], length[i + 1]
+        for k in range(len(b) - 1, -1, -1):
+            own[k] = below[k + 1] + 1 if a[i] == b[k] else max(below[k], own[k + 1])
+    i, k, out = 0, 0, []
+    while i < len(a) and k < len(b):
+        if a[i] == b[k]:
+            out.append((i, k))
+            i, k = i + 1, k + 1
+        elif length[i + 1][k] >= length[i][k + 1]:
+            i += 1
+        else:
+            k += 1
+    return out
+
+
+def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places (in a, in b) of the words of `a` aligned in order with equal words of `b`."""
+    out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         i, j, k, m = todo.pop()
         while i < j and k < m and a[i] == b[k]:
-            total, i, k = total + 1, i + 1, k + 1
+            out.append((i, k))
+            i, k = i + 1, k + 1
         while i < j and k < m and a[j - 1] == b[m - 1]:
-            total, j, m = total + 1, j - 1, m - 1
+            j, m = j - 1, m - 1
+            out.append((j, m))
         if i >= j or k >= m:
             continue
         once: dict[int, list[int]] = {}
@@ -52,6 +77,10 @@ def patience(a: list[int], b: list[int]) -> int:
                 own[side] += 1
                 own[2 + side] = x
         anchors = sorted((x, y) for n, p, x, y in once.values() if n == p == 1)
+        if not anchors:
+            if any(n and p for n, p, _, _ in once.values()):
+                out += [(i + x, k + y) for x, y in _common(a[i:j], b[k:m])]
+            continue
         tails: list[int] = []
         back: list[int] = []
         at: list[int] = []
@@ -63,22 +92,58 @@ def patience(a: list[int], b: list[int]) -> int:
             else:
                 tails[p], at[p] = y, q
             back.append(at[p - 1] if p else -1)
-        chain, q = [], at[-1] if at else -1
-        while q >= 0:
-            chain.append(anchors[q])
-            q = back[q]
-        for x, y in chain:  # from the end
-            total += 1
+        q = at[-1]
+        while q >= 0:  # from the end
+            x, y = anchors[q]
+            out.append((x, y))
             todo.append((x + 1, j, y + 1, m))
-            j, m = x, y
-        if chain:
-            todo.append((i, j, k, m))
-    return total
+            j, m, q = x, y, back[q]
+        todo.append((i, j, k, m))
+    return sorted(out)
+
+
+def patience(a: list[int], b: list[int]) -> int:
+    """Number of words of `a` aligned in order with equal words of `b`."""
+    return len(aligned(a, b))
+
+
+def _starts(hash_: np.ndarray, limit: np.ndarray, own: np.ndarray, need: int, width: int) -> np.ndarray:
+    """Words from which `width` words (before the place `limit` of each) can hold `need` words of a template in order."""
+    start = np.flatnonzero(np.isin(hash_, own[: len(own) - need + 1]))
+    if not len(start):
+        return start
+    end = np.minimum(start + width, limit[start])
+    word, times = np.unique(own, return_counts=True)
+    held = np.zeros(len(start), np.int64)
+    for w, n in zip(word, times.tolist(), strict=True):
+        place = np.flatnonzero(hash_ == w)
+        held += np.minimum(np.searchsorted(place, end) - np.searchsorted(place, start), n)
+    return start[held >= need]
+
 
+def _places(hash_: np.ndarray, limit: np.ndarray, own: np.ndarray, least: float, stretch: int):
+    """(first word, last word, aligned words) of a template's places, which share no word."""
+    need, width, words = int(np.ceil(least * len(own) - 1e-9)), stretch * len(own), own.tolist()
+    start = _starts(hash_, limit, own, max(need, 1), width)
+    free = 0
+    for n, s in enumerate(start.tolist()):
+        if s < free:
+            continue
+        pairs = aligned(words, hash_[s:min(s + width, int(limit[s]))].tolist())
+        if len(pairs) < max(need, 1):
+            continue
+        first, free = s + pairs[0][1], s + pairs[-1][1] + 1
+        for later in start[n + 1:np.searchsorted(start, free)].tolist():
+            closer = aligned(words, hash_[later:free].tolist())
+            if len(closer) >= len(pairs):
+                pairs, first = closer, later + closer[0][1]
+        yield first, free - 1, len(pairs)
 
-def _scan(templates: dict[str, str], least: float):
+
+def _scan(templates: dict[str, str], least: float, stretch: int):
     names = sorted(templates)
     words = [words_of([templates[n].encode()], lower=True, space=BREAK).hash for n in names]
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
 
     def run(batches):
         for batch in batches:
@@ -86,40 +151,35 @@ def _scan(templates: dict[str, str], least: float):
             row, name, coverage, first, last = [], [], [], [], []
             for lo, hi in chunks(texts):
                 found = words_of(texts[lo:hi], lower=True, space=BREAK)
+                limit = found.first[1:][found.doc]
+                by_doc: dict[int, list[tuple]] = {}
+                present = vocabulary[np.isin(vocabulary, found.hash)]
                 for t, own in zip(names, words, strict=True):
-                    if not len(own):
-                        continue
-                    need, width = int(np.ceil(least * len(own) - 1e-9)), 2 * len(own)
-                    place = np.flatnonzero(np.isin(found.hash, own))
-                    if len(place) < need:
+                    if np.isin(own, present).sum() < max(1, np.ceil(least * len(own) - 1e-9)):
                         continue
-                    # the need-th hit from here lies within `width` words of the same document
-                    ahead = place[need - 1:]
-                    start = place[: len(ahead)]
-                    start = start[(ahead - start < width) & (found.doc[ahead] == found.doc[start])]
-                    end = -1
-                    for s in start.tolist():
-                        if s < end:
-                            continue
-                        d = int(found.doc[s])
-                        region = found.hash[s:min(s + width, int(found.first[d + 1]))]
-                        share = patience(own.tolist(), region.tolist()) / len(own)
-                        if share >= least:
-                            hits = np.flatnonzero(np.isin(region, own))
-                            end = s + int(hits[min(len(hits), len(own)) - 1]) + 1
-                            row.append(lo + d)
-                            name.append(t)
-                            coverage.append(share)
-                            first.append(s - int(found.first[d]))
-                            last.append(end - 1 - int(found.first[d]))
+                    for s, e, n in _places(found.hash, limit, own, least, stretch):
+                        by_doc.setdefault(int(found.doc[s]), []).append((-n, -n / len(own), s, e, t))
+                for d, places in sorted(by_doc.items()):
+                    kept: list[tuple] = []
+                    for place in sorted(places):
+                        at = bisect_left(kept, place[2], key=lambda x: x[3])  # the first kept place that ends here or later
+                        if at == len(kept) or kept[at][2] > place[3]:
+                            kept.insert(at, place)
+                    for _, share, s, e, t in kept:
+                        row.append(lo + d)
+                        name.append(t)
+                        coverage.append(-share)
+                        first.append(s - int(found.first[d]))
+                        last.append(e - int(found.first[d]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(name, pa.string()), pa.array(coverage, pa.float64()),
                                               pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["id", "license", "coverage", "first_word", "last_word"])
 
     return run
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.9) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.9,
+         stretch: int = 4) -> DataFrame:
     """(id, license, coverage, first_word, last_word) for every place where a template is covered by at least `least`."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_scan(templates or TEMPLATES, least), f"id {kind}, license string, coverage double, first_word bigint, last_word bigint")
+    return rows.mapInArrow(_scan(templates or TEMPLATES, least, stretch), f"id {kind}, license string, coverage double, first_word bigint, last_word bigint")

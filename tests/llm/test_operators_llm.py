@@ -136,6 +136,43 @@ def test_local_search_empties_a_bin():
     assert len(bins) == 2 and sorted(i for b in bins for i in b) == list(range(5)) and all(lengths[b].sum() == 10 for b in bins)
 
 
+def test_search_is_without_caps():
+    """Tiny inputs against the fewest bins there are; no donor, size or pair is left out."""
+    rng = random.Random(5)
+    for _ in range(60):
+        sizes = [rng.randint(1, 10) for _ in range(rng.randint(1, 8))]
+        fewest = [0] + [99] * (2 ** len(sizes) - 1)
+        for had in range(1, 2 ** len(sizes)):
+            part = had
+            while part:
+                if sum(x for i, x in enumerate(sizes) if part >> i & 1) <= 10:
+                    fewest[had] = min(fewest[had], fewest[had ^ part] + 1)
+                part = (part - 1) & had
+        lengths = np.array(sizes)
+        bins = packing.local_search([[i] for i in range(len(sizes))], lengths, 10)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(lengths[b].sum() <= 10 for b in bins)
+        assert len(packing.local_search(packing.best_fit(lengths, 10), lengths, 10)) <= fewest[-1] + (len(sizes) > 6)
+    # the only exchange: a pair of the donor's 33rd and 34th sizes for the one document of a bin with a gap of one
+    donor = [*range(1, 33), 100, 103]
+    bins = packing.local_search([list(range(34)), [34], [35]], np.array([*donor, 202, 1999]), 2000)
+    assert sum(np.array([*donor, 202, 1999])[b].sum() ** 2 for b in bins) > sum(donor) ** 2 + 202 ** 2 + 1999 ** 2
+
+
+def test_pack_deals_evenly_and_keeps_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 64)
+    rows = spark.range(0, 4096, 1, 64).selectExpr("id doc_id", "1 + id % 7 length", "id part", "'x' `open`", "-1L sequence_id", "'y' Offset", "id `a.b`")
+    got = packing.pack(rows, 64).collect()
+    assert sorted((r.doc_id, r.part, r.open, r["a.b"]) for r in got) == [(i, i, "x", i) for i in range(4096)]
+    by_seq = {}
+    for r in got:
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by_seq.values():
+        assert sum(x for _, x in parts) <= 64 and sorted(parts)[0][0] == 0
+    assert len(by_seq) <= -(-sum(r.length for r in got) // 64) + 1
+    parts = rows.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(64).cast("bigint")).alias("p")).groupBy("p").count().collect()
+    assert len(parts) == 64 and max(r["count"] for r in parts) < 128
+
+
 def test_rollup_is_additive_and_idempotent(spark, docs, tmp_path):
     rollup = token_counts.Rollup(spark, str(tmp_path))
     change = lambda *rows: spark.createDataFrame(rows, "op string, source string, lang string, version string, tokens long, old_version string, old_tokens long")
@@ -253,6 +290,54 @@ def test_decontamination_finds_passages_and_paraphrases(spark, empty):
     assert decontamination.common_length(np.array(a), np.array(b)) == table[40, 60]
 
 
+def test_license_places_against_all_regions(spark):
+    """Every template alone, all pairs side by side, and random texts against every region of the longest width."""
+    names = sorted(license_scan.TEMPLATES)
+    rows = [(i, f"so {license_scan.TEMPLATES[n]} and on") for i, n in enumerate(names)]
+    pairs = [(a, b) for a in names for b in names]
+    rows += [(100 + i, f"{license_scan.TEMPLATES[a]} then {license_scan.TEMPLATES[b]}") for i, (a, b) in enumerate(pairs)]
+    rows += [(1000, "Released x x x under y y y the z z z MIT License"), (1001, "Licensed under nothing. Licensed under CC BY-SA 4.0")]
+    got = {}
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.id, []).append((r.first_word, r.license, r.coverage, r.last_word))
+    for i, n in enumerate(names):
+        assert [x[1:3] for x in got.pop(i)] == [(n, 1.0)]
+    for i, (a, b) in enumerate(pairs):
+        assert [x[1] for x in sorted(got.pop(100 + i))] == [a, b]
+    assert got == {1000: [(0, "MIT", 1.0, 13)], 1001: [(3, "CC-BY-SA-4.0", 1.0, 9)]}
+    rng = random.Random(9)
+    templates = {"long": "a b c d e f", "part": "a b d e", "other": "e a a"}
+    texts = [" ".join(rng.choices("abcdefxy", k=rng.randint(0, 14))) for _ in range(300)]
+    found = {}
+    for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=templates, least=0.75).collect():
+        found.setdefault(r.id, []).append(r)
+        own, part = templates[r.license].split(), texts[r.id].split()[r.first_word:r.last_word + 1]
+        table = np.zeros((len(own) + 1, len(part) + 1), int)
+        for i, x in enumerate(own):
+            for j, y in enumerate(part):
+                table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+        assert 0.75 <= r.coverage <= table[-1, -1] / len(own)
+    hit = set()
+    for d, text in enumerate(texts):
+        words = [ord(x) for x in text.split()]
+        for t in templates.values():
+            own = [ord(x) for x in t.split()]
+            if any(license_scan.patience(own, words[s:s + 4 * len(own)]) >= 0.75 * len(own) for s in range(len(words))):
+                hit.add(d)
+        spans = sorted((r.first_word, r.last_word) for r in found.get(d, []))
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert set(found) == hit and 20 < len(hit) < 300
+
+
+def test_decontamination_compares_short_items_by_words(spark):
+    number = lambda w: int(decontamination.word_numbers([w.encode()])[0][0])
+    same = next(w for w in (f"w{i}" for i in range(10**6)) if number(w) == number("photosynthesis"))
+    rows = [(1, f"found in the {same} of"), (2, "Found in the Photosynthesis, of"), (3, "a red fox"), (4, "a red"), (5, "fox a red"), (None, "A red fox."), (7, None)]
+    bench = spark.createDataFrame([(1, "photosynthesis"), (2, "A red fox"), (3, "a RED fox!"), (None, "red fox"), (5, " ")], "item_id long, text string")
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.id, r.item_id, r.overlap) for r in got} == {(2, 1, 1.0)} | {(d, i, 1.0) for d in (3, None) for i in (2, 3, None)}
+
+
 def test_decontamination_finds_evenly_stretched_paraphrases(spark):
     """Against the longest common subsequence with every passage; filler words are in no item."""
     rng = random.Random(3)
