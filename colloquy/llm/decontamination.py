@@ -10,7 +10,10 @@ every window. The longest common subsequence of the item and any passage of at m
 decides: at least `exact` of the item, or at least `loose` together with `answer` of the item's answer (column answer if
 given, else its last sentence, or its last five words if that is short). Items are the stated query set: they are read in groups of ITEM_GROUP and meet all rows group by group.
 
-Defined cases: null or blank texts and items match nothing; items shorter than SHORT words count only as exact runs;
+Items shorter than SHORT words count only as exact runs of words. They are looked up in the texts by 64-bit hashes of runs of
+their lengths, as few 16-bit numbers would also agree by chance.
+
+Defined cases: null or blank texts and items match nothing;
 rows that repeat an id are judged by their own text; items of null id count and share one row a text; an empty benchmark leaves every document clean.
 """
 
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.words import BREAK, binary_list, chunks, shed, sliced, words_of
+from colloquy.llm.words import BREAK, WORD_BASE, binary_list, chunks, shed, sliced, words_of
 from colloquy.session import materialize
 
 RANK, EXTRA = 48, 8
@@ -174,9 +177,6 @@ def reach(n: int) -> int:
 def _overlap(words: np.ndarray, answer_words: np.ndarray, passage: np.ndarray, exact: float, loose: float, answer: float) -> float:
     """Largest share of an item found in order in any `reach` consecutive words of the passage; 0 if it doesn't count."""
     n = len(words)
-    if n < SHORT:
-        starts = np.flatnonzero(passage[: len(passage) - n + 1] == words[0]) if len(passage) >= n else []
-        return float(any((passage[i:i + n] == words).all() for i in starts))
     inside = np.zeros(1 << 16, bool)
     inside[words] = inside[answer_words] = True
     at = np.flatnonzero(inside[passage])  # a part may as well begin at one of these
@@ -300,6 +300,43 @@ def _search(term_of: np.ndarray, space: np.ndarray, items: list[tuple[int, np.nd
     return run
 
 
+def _run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of every run of n word hashes."""
+    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for i in range(n):
+        out = out * np.uint64(WORD_BASE) + words[i:i + len(out)]
+    return out
+
+
+def _exact_runs(items: list[tuple[int, bytes]]):
+    by_length: dict[int, dict[int, set]] = {}
+    for item_id, text in items:
+        words = words_of([text], lower=True, space=BREAK).hash
+        by_length.setdefault(len(words), {}).setdefault(int(_run_hashes(words, len(words))[0]), set()).add(item_id)
+    asked = {n: np.array(sorted(ids), np.uint64) for n, ids in by_length.items()}
+
+    def run(batches):
+        shed()
+        for batch in sliced(batches):
+            texts = binary_list(batch.column(1))
+            row, item = [], []
+            for lo, hi in chunks(texts):
+                found = words_of(texts[lo:hi], lower=True, space=BREAK)
+                hits = set()
+                for n, keys in asked.items():
+                    own = _run_hashes(found.hash, n)
+                    at = np.flatnonzero(np.isin(own, keys))
+                    at = at[found.doc[at] == found.doc[at + n - 1]]
+                    hits |= {(d, i) for d, h in set(zip(found.doc[at].tolist(), own[at].tolist(), strict=True)) for i in by_length[n][h]}
+                for d, i in hits:
+                    row.append(lo + d)
+                    item.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()),
+                                              pa.array([1.0] * len(row), pa.float64())], names=["row", "item_id", "overlap"])
+
+    return run
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: float = 0.8, loose: float = 0.55,
                  answer: float = 0.9) -> DataFrame:
     """(id, item_id, overlap) for every document and benchmark item it holds; overlap is the share of the item found in order."""
@@ -310,15 +347,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     asked = benchmark.filter("text is not null").select(F.col("item_id").cast("bigint"), F.col("text").cast("string"), given.cast("string").alias("answer"))
     words = materialize(asked.mapInArrow(_vocabulary, "number int").distinct()).toPandas()["number"].to_numpy()
     term_of, space = latent_space(numbered, np.sort(words).astype(np.int64))
-    out = None
+    out, schema = None, f"row {kind}, item_id bigint, overlap double"
 
     def searched(group: list) -> DataFrame:
         texts = word_numbers([r.text.encode() for r in group])
         answers = word_numbers([(r.answer or "").encode() for r in group])
-        items = [(r.item_id, w, a if len(a) >= 3 else w[-5:]) for r, w, a in zip(group, texts, answers, strict=True) if len(w)]
-        if not items:
-            return numbered.limit(0).select(F.col("id").alias("row"), F.lit(0).cast("bigint").alias("item_id"), F.lit(0.0).alias("overlap"))
-        return numbered.mapInArrow(_search(term_of, space, items, exact, loose, answer), f"row {kind}, item_id bigint, overlap double")
+        items = [(r.item_id, w, a if len(a) >= 3 else w[-5:]) for r, w, a in zip(group, texts, answers, strict=True) if len(w) >= SHORT]
+        short = [(r.item_id, r.text.encode()) for r, w in zip(group, texts, strict=True) if 0 < len(w) < SHORT]
+        found = numbered.limit(0).select(F.col("id").alias("row"), F.lit(0).cast("bigint").alias("item_id"), F.lit(0.0).alias("overlap"))
+        if items:
+            found = numbered.mapInArrow(_search(term_of, space, items, exact, loose, answer), schema)
+        if short:
+            runs = rows.mapInArrow(_exact_runs(short), schema)
+            found = found.unionByName(runs) if items else runs
+        return found
 
     group: list = []
     for r in asked.toLocalIterator():
