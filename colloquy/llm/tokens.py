@@ -7,10 +7,17 @@ texts, all in one call, whose character offsets tell the words apart again.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from colloquy.llm.words import CACHES, chunks
 
+#: Words of small letters alone are one unit for the tokenizer, whose last id ends a word, and need no normalising; marks after a
+#: letter or digit are a unit of their own.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+TAIL = re.compile(rb"(?<=[a-z0-9])[.,;:!?#$%&*()]+$|(?<=\xc3[\x9f-\xb6\xb8-\xbf])[.,;:!?#$%&*()]+$")
+
 WORD_FILE = "word_bpe_49k.json"
 CACHE_WORDS = 600_000
 CHUNK = 1 << 22
@@ -22,36 +29,58 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.units = Tokenizer.from_file(path)  # the same merges, for words of small letters
+        self.units.normalizer = normalizers.Sequence([])
+        self.units.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def encode(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, words: list[bytes]) -> None:
-        """Ids of new words; those with characters of the tokenizer's own marks go to it one by one."""
+        """Ids of new words. Marks at a word's end are learnt apart; words with characters of the tokenizer's own marks go to it one by one."""
+        plain, other, tailed = [], [], []
         for w in words:
-            if b"<|" in w:
+            if LETTERS.fullmatch(w):
+                plain.append(w)
+            elif b"<|" in w:
                 self[w] = self.encode(w.decode()).tobytes()
-        words = [w for w in words if b"<|" not in w]
-        for lo in range(0, len(words), CALL_WORDS):
-            part = words[lo:lo + CALL_WORDS]
+            elif found := TAIL.search(w):
+                tailed.append((w, w[:found.start()], w[found.start():]))
+            else:
+                other.append(w)
+        for p in {p for _, *two in tailed for p in two}.difference(self, plain, other):
+            (plain if LETTERS.fullmatch(p) else other).append(p)
+        for lo in range(0, len(plain), CALL_WORDS):
+            part = plain[lo:lo + CALL_WORDS]
+            ids = np.asarray(self.units.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            self._keep(part, ids, np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1]))
+        for lo in range(0, len(other), CALL_WORDS):
+            part = other[lo:lo + CALL_WORDS]
             texts = b" ".join(part).decode()
             found = self.tokenizer.encode(texts, add_special_tokens=False)
             begin = np.fromiter(map(len, texts.split(" ")), np.int64, len(part)) + 1
             begin = np.cumsum(begin) - begin
             at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
-            cut = np.append(np.searchsorted(at, begin), len(at)) * 4
-            ids = np.asarray(found.ids, "<u4").tobytes()
-            self.update(zip(part, [ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], strict=True))
+            self._keep(part, np.asarray(found.ids, "<u4"), np.append(np.searchsorted(at, begin), len(at)))
+        for w, core, tail in tailed:
+            self[w] = self[core] + self[tail]
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, cut: np.ndarray) -> None:
+        at, ids = (cut * 4).tolist(), ids.tobytes()
+        self.update(zip(words, [ids[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], strict=True))
 
     def texts_ids(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of UTF-8 texts; null counts as empty. Beyond CACHE_WORDS, new words are kept for these texts only."""
         out = []
         for lo, hi in chunks(texts, CHUNK):
             split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts[lo:hi]]
-            new = [w for w in set().union(*split) if w not in self]
+            new = list(set().union(*split).difference(self))
             self.learn(new)
             out += [b"".join(map(self.__getitem__, words)) for words in split]
             if len(self) > CACHE_WORDS:

@@ -107,6 +107,22 @@ def test_word_ids_equal_the_tokenizer():
         assert own.text_ids(text.encode()) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_word_ends_and_small_letters_have_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    whole, own = Tokenizer.from_file(tokens.public_path()), tokens.WordIds(tokens.public_path())
+    rng = random.Random(11)
+    letters = ["a", "b", "th", "é", "ß", "ÿ", "É", "Ö", "×", "÷", "e\u0301", "\u0338", "ñ", "7", "'s", "'", "ª", "İ", "ſ"]
+    marks = [",", ".", "###", "$$$", "&&&", "%%%", "!?", "(", "*", "-", "'", "’", "<|", "|>"]
+    texts = []
+    for _ in range(1500):
+        words = ["".join(rng.choices(letters, k=rng.randint(0, 5)) + rng.choices(marks, k=rng.choice([0, 0, 1, 2])) + rng.choices(letters, k=rng.choice([0, 0, 1])))
+                 for _ in range(rng.randint(0, 8))]
+        texts.append(" ".join(words))
+    got = own.texts_ids([t.encode() for t in texts])
+    assert got == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_packing_is_whole_gapless_and_tight(docs, empty):
     got = packing.pack_documents(docs, capacity=256, keep_ids=True).collect()
     by_seq, own = {}, tokens.WordIds(tokens.public_path())
