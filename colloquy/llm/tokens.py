@@ -54,7 +54,7 @@ class WordIds(dict):
                 tailed.append((w, w[:found.start()], w[found.start():]))
             else:
                 other.append(w)
-        for p in {p for _, *two in tailed for p in two}.difference(self, plain, other):
+        for p in {p for _, *two in tailed for p in two if p not in self}.difference(plain, other):
             (plain if LETTERS.fullmatch(p) else other).append(p)
         for lo in range(0, len(plain), CALL_WORDS):
             part = plain[lo:lo + CALL_WORDS]
@@ -80,7 +80,7 @@ class WordIds(dict):
         out = []
         for lo, hi in chunks(texts, CHUNK):
             split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts[lo:hi]]
-            new = list(set().union(*split).difference(self))
+            new = [w for w in set().union(*split) if w not in self]
             self.learn(new)
             out += [b"".join(map(self.__getitem__, words)) for words in split]
             if len(self) > CACHE_WORDS:
