@@ -1,6 +1,7 @@
 """Training-data operators against brute force, and on nulls, blanks, ties, repeats, empty tables and clashing names."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter
@@ -123,6 +124,34 @@ def test_word_ends_and_small_letters_have_the_tokenizers_ids():
     assert got == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_merges_of_the_vocabulary_agree_with_least_ids():
+    """What makes merging by least id the same as merging in the file's order (see tokens.py), over the whole file."""
+    with open(tokens.public_path(), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocabulary, merges = model["vocab"], [tuple(m) for m in model["merges"]]
+    ids = [vocabulary[a + b] for a, b in merges]
+    assert ids == sorted(set(ids))
+    assert max(i for w, i in vocabulary.items() if len(w.removesuffix("</w>")) == 1) < ids[0]
+    rank = {m: i for i, m in enumerate(merges)}
+    for a, b in merges:
+        body = list((a + b).removesuffix("</w>"))
+        body[-1] += "</w>" * b.endswith("</w>")
+        while len(body) > 2:
+            k = min(range(len(body) - 1), key=lambda i: rank.get((body[i], body[i + 1]), len(rank)))
+            assert (body[k], body[k + 1]) in rank
+            body[k:k + 2] = [body[k] + body[k + 1]]
+        assert body == [a, b]
+
+
+def test_words_of_letters_at_the_byte_limit():
+    from tokenizers import Tokenizer
+    whole, own, rng = Tokenizer.from_file(tokens.public_path()), tokens.WordIds(tokens.public_path()), np.random.default_rng(3)
+    words = ["".join(rng.choice(list("aeinrstàßöøÿ"), n)) for n in [*range(1, 60), 120, 127, 128, 255, 256, 257, 5000]]
+    words += ["a" * n for n in (255, 256, 257, 40_000)] + ["ß" * 128, "ß" * 129]
+    words += [w + m for w in words for m in (",", "...", "!?")]
+    assert own.texts_ids([w.encode() for w in words]) == [np.array(whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+
+
 def test_packing_is_whole_gapless_and_tight(docs, empty):
     got = packing.pack_documents(docs, capacity=256, keep_ids=True).collect()
     by_seq, own = {}, tokens.WordIds(tokens.public_path())
