@@ -88,3 +88,10 @@ def test_name_candidates_lose_no_match(spark):
                 want.add((m, a, min(ratios)[1], -min(ratios)[0]))
         got = fuzzy_name_join(spark.createDataFrame(names, "meeting_id long, name string"), "name", spark.createDataFrame(speakers, "meeting_id long, speaker string"), limit)
         assert {tuple(r) for r in got.collect()} == want
+
+
+def test_contradictions_beside_letters_and_line_ends(spark):
+    """Words end at letters outside ASCII, and only a line feed ends a line, as in the SQL."""
+    texts = ["yes\u00e9 no", "\u00e9yes, no\u4e2d", "yes\rno", "yes\u2028no", "will \u00e9 won't\u00e9", "yes\nno", "yes_ no", "yesterday no", "Yes, no"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(tx.contradicts(F.col("t"))).collect()] == [True] * 5 + [False] * 3 + [True]
