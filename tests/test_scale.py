@@ -51,3 +51,31 @@ def test_provenance_over_tiles_equals_all_pairs(files):
 
 def test_mentions_broadcast_nothing(files):
     assert "Broadcast" not in planned(mention_edges(files[1]))
+
+
+def test_pair_scores_stay_in_the_row(spark):
+    """Coverage and ROUGE against counted tokens, without a shuffle; a missing or empty text scores nothing."""
+    import math
+    import re
+    from collections import Counter
+
+    from colloquy.operators import summaries as sm
+
+    rng = random.Random(2)
+    some = lambda: " ".join(rng.choices(["Plan", "plan", "a", "budget", "b2", "the", "--"], k=rng.randint(0, 15)))
+    texts = {i: (some(), some()) for i in range(60)} | {60: (None, "plan"), 61: ("plan a", None), 62: (None, None)}
+    pairs = spark.createDataFrame([(i, *t) for i, t in texts.items()], "doc_id long, source string, summary string")
+    runs = [sm.summary_coverage(pairs, "doc_id"), sm.rouge_n(pairs, "doc_id", 1), sm.rouge_n(pairs, "doc_id", 2)]
+    assert not any("Exchange" in planned(r) for r in runs)
+    cover, *rouge = ({r.doc_id: r for r in run.collect()} for run in runs)
+    for i, (a, b) in texts.items():
+        s, m = (Counter(re.findall(r"\w{2,}", (x or "").lower())) for x in (a, b))
+        w = {t: 1 + math.log(3 / (1 + (t in s) + (t in m))) for t in s | m}
+        norm = math.sqrt(sum((s[t] * w[t]) ** 2 for t in w) * sum((m[t] * w[t]) ** 2 for t in w))
+        words = [set((x or "").lower().split()) for x in (a, b)]
+        assert cover[i].tfidf_similarity == pytest.approx(sum(s[t] * m[t] * w[t] ** 2 for t in w) / norm if norm else 0)
+        assert cover[i].token_overlap == pytest.approx(len(words[0] & words[1]) / len(words[0]) if words[0] else 0)
+        for n, got in enumerate(rouge, 1):
+            p, r = ([tuple(x[k:k + n]) for k in range(len(x) - n + 1)] for x in (re.findall("[a-z0-9]+", (x or "").lower()) for x in (b, a)))
+            hits = sum((Counter(p) & Counter(r)).values())
+            assert got[i][f"rouge_{n}_p"] == pytest.approx(hits / len(p) if p else 0) and got[i][f"rouge_{n}_r"] == pytest.approx(hits / len(r) if r else 0)
