@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from colloquy.functions import vector as vx
 from colloquy.operators.ordering import near_window, running_sums, scan_states
 
 MEETING = ["meeting_id"]
+#: Characters of windows that leave Python in a batch.
+OUT_CHARS = 1 << 20
 
 
 def context_window(segments: DataFrame, k: int = 1) -> DataFrame:
@@ -124,25 +127,36 @@ def overlap_chunks(texts: DataFrame, key: str, size: int = 8000, overlap: int =
     A cut that would not move the window forward is replaced by the window's end.
     """
 
-    @F.pandas_udf("array<struct<start: int, chunk: string>>")
-    def cut(col: pd.Series) -> pd.Series:
-        def windows(s):
-            if s is None:
-                return []
-            out, start = [], 0
-            while len(s) - start > size:
-                stop = max(s.rfind(".", start, start + size), -1)
-                stop = stop if stop != -1 else s.rfind("\n", start, start + size)
-                if stop + 1 - overlap <= start:
-                    stop = start + size - 1
-                out.append({"start": start, "chunk": s[start : stop + 1]})
-                start = stop + 1 - overlap
-            out.append({"start": start, "chunk": s[start:]})
-            return out
-
-        return col.map(windows)
-
-    return texts.select(key, F.posexplode(cut(text)).alias("chunk_no", "_c")).select(key, "chunk_no", "_c.start", "_c.chunk")
+    def windows(s):
+        start = 0
+        while len(s) - start > size:
+            stop = max(s.rfind(".", start, start + size), -1)
+            stop = stop if stop != -1 else s.rfind("\n", start, start + size)
+            if stop + 1 - overlap <= start:
+                stop = start + size - 1
+            yield start, s[start : stop + 1]
+            start = stop + 1 - overlap
+        yield start, s[start:]
+
+    def cut(batches):
+        """Texts are read one at a time, and windows leave in small batches."""
+        for batch in batches:
+            names, kinds = [*batch.schema.names[:1], "chunk_no", "start", "chunk"], [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string()]
+            rows, chars = [], 0
+            for r in range(batch.num_rows):
+                whole = batch.column(1)[r].as_py()
+                own = batch.column(0)[r].as_py()
+                for no, (start, chunk) in enumerate(windows(whole) if whole is not None else ()):
+                    rows.append((own, no, start, chunk))
+                    chars += len(chunk)
+                    if chars >= OUT_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                        rows, chars = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, text).mapInArrow(cut, f"`{key}` {kind}, chunk_no int, start int, chunk string")
 
 
 def resolve_pronouns(segments: DataFrame, pronouns=rules.PRONOUNS, reach: int = 3) -> DataFrame:

@@ -79,3 +79,12 @@ def test_pair_scores_stay_in_the_row(spark):
             p, r = ([tuple(x[k:k + n]) for k in range(len(x) - n + 1)] for x in (re.findall("[a-z0-9]+", (x or "").lower()) for x in (b, a)))
             hits = sum((Counter(p) & Counter(r)).values())
             assert got[i][f"rouge_{n}_p"] == pytest.approx(hits / len(p) if p else 0) and got[i][f"rouge_{n}_r"] == pytest.approx(hits / len(r) if r else 0)
+
+
+def test_windows_are_cut_without_whole_columns(spark):
+    from colloquy.operators.windows import overlap_chunks
+
+    texts = spark.createDataFrame([(1, "ab. cd. efghij"), (2, None), (3, "")], "doc_id long, text string")
+    got = overlap_chunks(texts, "doc_id", 6, 1)
+    assert "MapInArrow" in planned(got) and "ArrowEvalPython" not in planned(got)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 0, "ab."), (1, 1, 2, ". cd."), (1, 2, 6, ". efgh"), (1, 3, 11, "hij"), (3, 0, 0, "")]
