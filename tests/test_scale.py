@@ -88,3 +88,16 @@ def test_windows_are_cut_without_whole_columns(spark):
     got = overlap_chunks(texts, "doc_id", 6, 1)
     assert "MapInArrow" in planned(got) and "ArrowEvalPython" not in planned(got)
     assert sorted(map(tuple, got.collect())) == [(1, 0, 0, "ab."), (1, 1, 2, ". cd."), (1, 2, 6, ". efgh"), (1, 3, 11, "hij"), (3, 0, 0, "")]
+
+
+def test_phrases_found_leave_in_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    from colloquy.operators import containment
+
+    monkeypatch.setattr(containment, "TILE_CHARS", 8)
+    rows = [(1, 64, 0, ["plan", "lot"], "the plan"), (1, 64, 0, ["plan", "lot"], "a lot, a plan"), (2, 64, 0, ["lot"], "plan"), (2, 64, 1, ["plan"], "plan")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["meeting_id", "width", "tile", "needles", "text"])
+    got = list(containment._search()([batch]))
+    assert len(got) == 2
+    assert sorted(tuple(r.values()) for b in got for r in b.to_pylist()) == [(1, "lot"), (1, "plan"), (1, "plan"), (2, "plan")]
