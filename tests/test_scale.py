@@ -101,3 +101,46 @@ def test_phrases_found_leave_in_small_batches(monkeypatch):
     got = list(containment._search()([batch]))
     assert len(got) == 2
     assert sorted(tuple(r.values()) for b in got for r in b.to_pylist()) == [(1, "lot"), (1, "plan"), (1, "plan"), (2, "plan")]
+
+
+@pytest.fixture(scope="module")
+def jobs_of_a_run(spark):
+    """What each stored step of a run is planned as, and the run's metrics."""
+    from colloquy.operators import containment, evaluation, provenance, summaries
+    from colloquy.plans import flow
+    from colloquy.plans.catalog import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    summary, gold = tables.read("documents").selectExpr("doc_id AS meeting_id", "text"), tables.gold
+    plans, patch = [], pytest.MonkeyPatch()
+
+    def noted(df, stored=flow.materialize):
+        plans.append(planned(df))
+        return stored(df)
+
+    for module in (flow, containment, evaluation, provenance, summaries):
+        patch.setattr(module, "materialize", noted, raising=False)
+    metrics = flow.metric_table(flow.extract_all(tables.segments), tables.segments, gold, summary)
+    patch.undo()
+    return plans, metrics
+
+
+def test_no_job_of_a_run_is_a_large_plan(jobs_of_a_run):
+    """A plan is planned anew after each of its stages, so its size, not the data, decides what the driver needs."""
+    plans, metrics = jobs_of_a_run
+    assert max(p.count("Exchange ") for p in plans) <= 25
+    assert "Exchange" not in planned(metrics)
+    assert metrics.filter("metric = 'quality'").count() > 0
+
+
+def test_no_job_of_a_run_sends_bloom_filters(jobs_of_a_run):
+    """Spark gives joins of small filtered tables with stored joins, whose size it overrates, a Bloom filter that goes into every task."""
+    assert not [p for p in jobs_of_a_run[0] if "might_contain" in p]
+
+
+def test_gold_of_spaces_or_nothing_matches_nothing(spark):
+    from colloquy.operators.evaluation import match_items_to_gold
+
+    items = spark.createDataFrame([(1, "risk", 1, "Late Plan"), (1, "risk", 2, ""), (1, "risk", 3, None), (1, "risk", 4, "x")], "meeting_id long, kind string, item_id long, text string")
+    gold = spark.createDataFrame([(1, "risk", 1, "the late plan fails"), (1, "risk", 2, ""), (1, "risk", 3, None)], "meeting_id long, kind string, gold_id long, text string")
+    assert [r.item_id for r in match_items_to_gold(items, gold).collect()] == [1]
