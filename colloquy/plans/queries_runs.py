@@ -123,7 +123,8 @@ def _inputs(t) -> dict:
 def _(t):
     """Every metric of the extracted meetings: item and summary quality against transcripts, gold items and gold summaries."""
     i = _inputs(t)
-    m = flow.metric_table(flow.extract_all(t.segments), t.segments, i["gold_items"], i["gold_summaries"])
+    run = flow.extract_all(t.segments)
+    m = flow.metric_table(run, run.segments, i["gold_items"], i["gold_summaries"])
     return m.withColumn("value", F.round("value", 9))
 
 

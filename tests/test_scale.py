@@ -144,3 +144,26 @@ def test_gold_of_spaces_or_nothing_matches_nothing(spark):
     items = spark.createDataFrame([(1, "risk", 1, "Late Plan"), (1, "risk", 2, ""), (1, "risk", 3, None), (1, "risk", 4, "x")], "meeting_id long, kind string, item_id long, text string")
     gold = spark.createDataFrame([(1, "risk", 1, "the late plan fails"), (1, "risk", 2, ""), (1, "risk", 3, None)], "meeting_id long, kind string, gold_id long, text string")
     assert [r.item_id for r in match_items_to_gold(items, gold).collect()] == [1]
+
+
+def test_a_run_has_few_shuffles(jobs_of_a_run):
+    """Every shuffle costs the driver plans, generated code and threads, whatever the data: 86 of them before."""
+    plans, _ = jobs_of_a_run
+    assert sum(p.count("Exchange ") for p in plans) <= 75
+
+
+def test_metrics_do_not_run_what_only_the_meetings_need(jobs_of_a_run):
+    """Duration, type and topic of meetings are no metric."""
+    assert not [p for p in jobs_of_a_run[0] if "main_topic" in p]
+
+
+def test_items_that_are_never_boosted_need_no_join(jobs_of_a_run):
+    """Only the confidence of decisions depends on their links."""
+    assert not [p for p in jobs_of_a_run[0] if "due_date" in p and "Join" in p]
+
+
+def test_a_chunk_of_a_summary_is_shuffled_once(spark):
+    from colloquy.operators.summaries import extractive_summary
+
+    segments = spark.createDataFrame([(1, s, f"We plan lot {s}. Lot {s % 3} is late. ...") for s in range(30)], "meeting_id long, seg_id long, text string")
+    assert planned(extractive_summary(segments, chunk_words=20)).count("Exchange ") <= 5
