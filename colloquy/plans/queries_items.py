@@ -449,9 +449,9 @@ def _(t):
     return t.provenance
 
 
-@register("topk_sources", "SELECT meeting_id, kind, item_id, seg_id, similarity FROM links WHERE rank <= 1")
+@register("topk_sources", "SELECT meeting_id, kind, item_id, seg_id, similarity FROM links")
 def _(t):
-    return pv.link_provenance_lexical(t.items, t.segments, top=1).select("meeting_id", "kind", "item_id", "seg_id", "similarity")
+    return pv.link_provenance_lexical(t.items, t.segments, top=3).select("meeting_id", "kind", "item_id", "seg_id", "similarity")
 
 
 CTES["support"] = """SELECT i.meeting_id, i.kind, i.item_id, coalesce(max(l.similarity), 0) AS m, count(l.seg_id) AS n, sum(l.similarity) AS s FROM items i

@@ -49,6 +49,41 @@ def test_provenance_over_tiles_equals_all_pairs(files):
         assert sorted((r.meeting_id, r.item_id, r["rank"], r.seg_id, r.similarity) for r in got.collect()) == sorted(want)
 
 
+def sources(items, segments, above, top=3):
+    """The best segments of every item by all pairs, without those that have no id."""
+    out = []
+    for i in items.collect():
+        a, found = set(i.text.lower().split()), []
+        for s in segments.filter((F.col("meeting_id") == i.meeting_id) & F.col("seg_id").isNotNull()).collect():
+            b = set((s.text or "").lower().split())
+            if len(a & b) / len(a | b) > above:
+                found.append((-len(a & b) / len(a | b), s.seg_id))
+        out += [(i.meeting_id, i.kind, i.item_id, seg, -sim) for sim, seg in sorted(found)[:top]]
+    return sorted(out)
+
+
+def test_repeated_segments_push_no_source_out(spark):
+    texts = [(4, "Plan a"), (4, "plan a"), (7, "plan a b"), (None, "a plan"), (9, "lot c"), (9, "lot c"), (9, "lot d"), (9, None)] + [(None, "lot c")] * 9
+    segments = spark.createDataFrame([(1, n, t) for n, t in texts], "meeting_id long, seg_id long, text string")
+    items = spark.createDataFrame([(1, "risk", 1, "a plan"), (1, "risk", 2, "the lot c"), (1, "risk", 3, "b"), (2, "risk", 1, "a plan")], "meeting_id long, kind string, item_id long, text string")
+    for tile in (1, 1024):
+        for top in (1, 2, 3, 9):
+            got = pv.link_provenance_lexical(items, segments, tile=tile, top=top).select("meeting_id", "kind", "item_id", "seg_id", "similarity").collect()
+            assert sorted(map(tuple, got)) == sources(items, segments, 0.1, top)
+
+
+def test_topk_sources_has_three_an_item(spark, tmp_path):
+    from colloquy.plans.catalog import Tables
+    from colloquy.plans.registry import QUERIES
+
+    rows = [(m, t, "user", f"lot {t} is late") for m in (2, 3) for t in (*range(17), 6)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    tables = Tables(spark, str(tmp_path))
+    got = [tuple(r) for r in QUERIES["topk_sources"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sources(tables.items, tables.segments, 0.1)
+    assert sorted(r[3] for r in got if r[:3] == (2, "risk", 2)) == [2, 6, 6]
+
+
 def test_mentions_broadcast_nothing(files):
     assert "Broadcast" not in planned(mention_edges(files[1]))
 
